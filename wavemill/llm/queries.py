@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, sentencepiece_codec, token_files
+from . import exact_dedup, mixing, ngram_join, pivot_index, secret_ledger, sentencepiece_codec, token_files
 from .common import table
 
 
@@ -18,15 +18,29 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"), words=3, share=90)
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_amounts(table(spark, sf_dir, "documents"))
+
+
+def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_index(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.secrets_by_row(table(spark, sf_dir, "documents"))
+    # the three base rules are all rules, so the base spans are all spans
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_ngram_jaccard, op7_token_files, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op7_token_files, op9_secret_ledger, op10_exact_dedup)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -36,6 +50,62 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)
     """,
+    "op4_source_mixing": r"""
+        WITH d AS (
+          SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            strlen(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS width FROM documents),
+        k AS (
+          SELECT *, -ln((CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+            / (1::DOUBLE / (1::DOUBLE + abs(width::DOUBLE / greatest(size, 1) - 6::DOUBLE))) AS key FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+        f AS (
+          SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) * weight > 3 * source_size * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS full_
+          FROM w WINDOW b AS (ORDER BY 3 * source_size / weight::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (
+          SELECT source, source_size, CASE WHEN full_ THEN (3 * source_size)::DOUBLE
+            ELSE ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (full_) OVER (), 0)) * weight)::DOUBLE / (sum(weight) FILTER (NOT full_) OVER ())::DOUBLE END AS target FROM f),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+        p AS (
+          SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, floor(e.target + 0.5)::BIGINT - e.epochs * e.source_size AS rest,
+            coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p
+    """,
+    "op5_pivot_index": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+            label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+            AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda e: e <> 0)) > 0 AS ok FROM embeddings),
+        links AS MATERIALIZED (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.x) = len(b.x)
+          WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+        reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.m, v.vec_id) AS component_id, coalesce(c.m, v.vec_id) = v.vec_id AS kept
+        FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id LEFT JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) c ON c.node = v.vec_id
+    """,
+    "op9_secret_ledger": r"""
+        WITH RECURSIVE p(kind, place, pattern, least_) AS (VALUES
+          ('assign', 0, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
+          ('access', 1, 'AKIA[A-Z0-9]+', 18), ('hex', 2, '[0-9a-f]+', 16)),
+        cut AS (
+          SELECT doc_id, kind, place, least_, CASE place WHEN 0 THEN regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+              WHEN 1 THEN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') END AS hits,
+            CASE place WHEN 0 THEN string_split_regex(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+              WHEN 1 THEN string_split_regex(coalesce(text, ''), 'AKIA[A-Z0-9]+') ELSE string_split_regex(coalesce(text, ''), '[0-9a-f]+') END AS gaps
+          FROM documents CROSS JOIN p),
+        laid AS (SELECT doc_id, kind, place, least_, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS nr FROM cut WHERE len(hits) > 0),
+        spans AS (
+          SELECT doc_id, kind, place, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS e, least_ FROM laid),
+        good AS (
+          SELECT doc_id, kind, place, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM spans
+          WHERE length(CASE WHEN place = 0 THEN regexp_extract(hit, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE hit END) >= least_),
+        said AS (
+          SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM good GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN said USING (doc_id)
+    """,
     "op3_ngram_jaccard": r"""
         WITH RECURSIVE words AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
