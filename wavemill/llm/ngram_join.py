@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import flat_gather, lower_ascii, materialize, mix, small_batches, span_hashes, text_slices, word_bounds
 from .graph import components
 
-#: Members of a block: one pair of blocks is compared in one step of a task.
-BLOCK = 128
+#: Members of a block, and shingles they hold together: one pair of blocks is compared in one step of a task.
+BLOCK, BLOCK_SHINGLES = 1024, 1_500_000
 #: Growth of set sizes within one size band.
 BAND = 1.35
 
@@ -244,8 +244,9 @@ def _links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int,
     best = shared.join(crowd, "segment").groupBy("cls").agg(F.max_by("segment", F.struct("n", "segment")).alias("grp"))
     best = materialize(best)
     matrix = shared.join(best, "cls").select("segment", "grp").distinct()
-    sizes = best.groupBy("grp").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes.select("grp", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"), "n"))
+    sizes = best.join(classes, "cls").groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_SHINGLES))).cast("int")
+    sizes = materialize(sizes.select("grp", blocks.alias("blocks"), "n"))
     pairs = matrix.select("segment", F.col("grp").alias("a")).join(matrix.select("segment", F.col("grp").alias("b")), "segment").where("a < b").select("a", "b")
     pairs = pairs.union(sizes.where("n > 1").select("grp", "grp")).distinct()
 
@@ -276,10 +277,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = materialize(docs.mapInArrow(_sketch(words, share), "id long, n_shingles long, cls long, segments array<long>"))
-    classes = materialize(sketched.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("class_id")))
+    classes = materialize(sketched.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("class_id"), F.first("n_shingles").alias("n_shingles")))
     found = components(_links(docs, sketched, classes, words, share)).withColumnRenamed("node", "cls")
     smallest = classes.join(found, "cls").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(found, "cls", "left").join(smallest, "component", "left").select("cls", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = classes.drop("n_shingles").join(found, "cls", "left").join(smallest, "component", "left").select("cls", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sketched.select("id", "n_shingles", "cls").join(named, "cls", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, pivot_index, secret_ledger, sentencepiece_codec, token_files
+from . import exact_dedup, hmm, mixing, ngram_join, pivot_index, secret_ledger, sentencepiece_codec, token_files
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_index(table(spark, sf_dir, "documents"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.secrets_by_row(table(spark, sf_dir, "documents"))
     # the three base rules are all rules, so the base spans are all spans
@@ -40,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op7_token_files, op9_secret_ledger, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
