@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hmm, mixing, ngram_join, pivot_index, secret_ledger, sentencepiece_codec, token_files
+from . import cotraining, exact_dedup, hmm, mixing, ngram_join, pii, pivot_index, secret_ledger, sentencepiece_codec, token_files
 from .common import table
 
 
+#: A deployment passes its own secret; a fixed one keeps the registered query's result the same in every run.
+PII_KEY = b"registered query"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -26,6 +34,12 @@ def op5_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score_quality(docs, model, keep=["doc_id"]).withColumn("kept", F.col("score") >= 0.5)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_index(table(spark, sf_dir, "documents"))
 
@@ -44,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op6_quality_cotraining, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
