@@ -3,14 +3,14 @@ import pytest
 ODD_TEXTS = [
     None, "", " ", "   ", "a", " a", "a ", "  a  b  ", "\n", "a\nb\tc \r\n d", "▁", "a▁ b ▁c", "▁▁ x", "漢字 かな 🙂🙂 é é", "½ ﬁ ① ², ǅ",
     "don't we'll I'M <|endoftext|> x<|startoftext|>y </s> <s> <unk> <0x0A>", "\x00 \x01", " a b　", "ΑΣ ΟΔΟΣ İstanbul",
-    "x" * 3000, "word " * 2000, "lorem ipsum dolor sit amet " * 400, "   \n\n  tail   ", "same text here", "same text here", "same  text\there",
+    "x" * 3000, "word " * 2000, "don't (o'rely) x,y 'tis '5s a1b22c <|EndOfText|> a<|b|>c é,é. e\u0301, ,\u0301 =\u0338x I\u0307 'S'RE rock'n'roll ''s .'s", "lorem ipsum dolor sit amet " * 400, "   \n\n  tail   ", "same text here", "same text here", "same  text\there",
 ]
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     rows = [(i, t, f"s{i % 3}" if i % 5 else None, "clash") for i, t in enumerate(ODD_TEXTS)]
-    rows += [(3, ODD_TEXTS[3], "s0", "clash"), (24, ODD_TEXTS[24], "s0", "clash")]  # repeated rows
+    rows += [(3, ODD_TEXTS[3], "s0", "clash"), (25, ODD_TEXTS[25], "s0", "clash")]  # repeated rows
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens string").repartition(3)
 
 

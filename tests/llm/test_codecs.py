@@ -58,3 +58,17 @@ def test_token_files_prune(spark, sf, tmp_path):
     one = token_files.read_token_files(spark, path).where("doc_id = 7")
     assert one.count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().toString()
+
+
+def test_small_tables_give_the_same(odd):
+    from wavemill.llm.chunk_table import ChunkTable
+    from wavemill.llm.common import text_slices, word_bounds
+    import pyarrow as pa
+
+    column = pa.array([r.text for r in odd.collect()], pa.string())
+    whole, small = (ChunkTable(lambda c: [list(x.encode()) for x in c], lambda c, ids: c, limit=limit) for limit in (1000, 12))
+    for _, _, data, offsets in text_slices(column, 40):
+        starts, ends, _ = word_bounds(data, offsets)
+        a, b = (t.look_up(data, starts, ends) for t in (whole, small))
+        assert (whole.gather(a)[0] == small.gather(b)[0]).all()
+        assert [whole.decimals[k] for k in a] == [small.decimals[k] for k in b]

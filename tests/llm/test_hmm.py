@@ -77,7 +77,7 @@ def test_scores(spark, sf, odd, monkeypatch, counted):
         monkeypatch.setattr(hmm, "COUNTED", counted)
         monkeypatch.setattr(hmm, "SYMBOLS", counted)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.selectExpr("doc_id + 100000", "text"))
-    expected = _base([(r.doc_id, r.text) for r in docs.distinct().collect()] + [(100003, "   "), (100024, "same text here")])
+    expected = _base([(r.doc_id, r.text) for r in docs.distinct().collect()] + [(100003, "   "), (100025, "same text here")])
     got = hmm.score_texts(docs, warm_texts=60, warm_rounds=3, rounds=1, states=3).collect()
     assert len(got) == docs.count()
     for r in got:

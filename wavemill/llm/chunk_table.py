@@ -1,22 +1,23 @@
 """Distinct-chunk tables: a text is cut where tokens cannot cross, each distinct chunk is encoded once, ids are joined back by position.
 
 The cut makes encoding a text equal to encoding its chunks one by one. A task hashes all chunk spans of a slice at
-once, encodes those its table does not hold yet, and gathers the ids of every position from the table. The table of
-a task is bounded (``TABLE_CHUNKS``, then it starts anew), so memory does not follow the corpus's vocabulary, no
-token row is shuffled and a lost task just runs again.
+once, encodes those its table does not hold yet, and gathers the ids of every position from the table. A Python worker
+keeps its table from task to task. The table is bounded: when it is full, chunks that were met once leave, so memory
+does not follow the corpus's vocabulary, no token row is shuffled and a lost task just runs again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 
 from .common import flat_gather, span_hashes
 
-#: Distinct chunks that one Python worker keeps; about 200 bytes each.
-TABLE_CHUNKS = 400_000
+#: Distinct chunks that one Python worker keeps, about 200 bytes each, and chunks encoded in one call.
+TABLE_CHUNKS, CALL_CHUNKS = 400_000, 4096
 
 
 class ChunkTable:
@@ -31,19 +32,37 @@ class ChunkTable:
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)
         self.used = 0
         self.extras: list[str] = []
         self.decimals: list[str] = []
 
+    def _shrink(self) -> None:
+        """Keep the chunks that came in more than one slice, unless they are most of the table."""
+        n = len(self.place)
+        stay = np.flatnonzero(self.met[:n] > 1)
+        if len(stay) > self.limit // 2:
+            self.clear()
+            return
+        ids, counts = self.gather(stay)
+        keys = list(self.place)
+        self.place = {keys[k]: i for i, k in enumerate(stay.tolist())}
+        self.ids[: len(ids)] = ids
+        self.used = len(ids)
+        self.first[: len(stay)], self.count[: len(stay)], self.met[: len(stay)] = np.cumsum(counts) - counts, counts, 1
+        self.met[len(stay) :] = 0
+        if self.extra:
+            self.extras, self.decimals = ([old[k] for k in stay.tolist()] for old in (self.extras, self.decimals))
+
     def _add(self, keys: list[int], chunks: list[str]) -> None:
         encoded = self.encode(chunks)
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32)
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
         n = len(self.place)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + len(keys) > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+            self.first, self.count, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count, self.met))
         self.ids[self.used : self.used + len(flat)] = flat
         self.first[n : n + len(keys)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(keys)] = counts
@@ -58,15 +77,18 @@ class ChunkTable:
         codes, distinct = pd.factorize(span_hashes(data, starts, ends))
         keys = distinct.tolist()
         if len(self.place) + len(keys) > self.limit:
-            self.clear()
+            self._shrink()
         new = [k for k, h in enumerate(keys) if h not in self.place]
         if new:
             where = np.empty(len(keys), np.int64)
             where[codes[::-1]] = np.arange(len(codes))[::-1]  # first place of each distinct chunk
-            raw = data.tobytes()
-            at = where[new]
-            self._add([keys[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[codes]
+            raw, at = data.tobytes(), where[new]
+            spans = list(zip(starts[at].tolist(), ends[at].tolist()))
+            for i in range(0, len(new), CALL_CHUNKS):
+                self._add([keys[k] for k in new[i : i + CALL_CHUNKS]], [raw[a:b].decode("utf-8", "replace") for a, b in spans[i : i + CALL_CHUNKS]])
+        rows = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        self.met[rows] += 1
+        return rows[codes]
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the given table rows in order, and how many each has."""

@@ -25,6 +25,7 @@ from .common import small_batches, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 _LOADED: dict[str, tuple] = {}
+_TABLES: dict[str, ChunkTable] = {}
 
 
 def _model(path: str):
@@ -41,6 +42,15 @@ def _model(path: str):
     return _LOADED[path]
 
 
+def _table(path: str) -> ChunkTable:
+    """The worker's table for a model, kept between tasks."""
+    if path not in _TABLES:
+        sp, lone = _model(path)
+        encode = lambda chunks: [ids if c else [lone] for c, ids in zip(chunks, sp.encode(chunks, num_threads=1))]
+        _TABLES[path] = ChunkTable(encode, lambda chunk, ids: sp.decode(ids))
+    return _TABLES[path]
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the chunk keys of a slice and the first chunk of each text.
 
@@ -64,13 +74,8 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _coder(model_path: str, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, lone = _model(model_path)
-        end = sp.eos_id()
-
-        def encode(chunks: list[str]) -> list[list[int]]:
-            return [ids if c else [lone] for c, ids in zip(chunks, sp.encode(chunks, num_threads=1))]
-
-        table = ChunkTable(encode, lambda chunk, ids: sp.decode(ids))
+        sp, _ = _model(model_path)
+        end, table = sp.eos_id(), _table(model_path)
         for batch in batches:
             made: dict[str, list] = {name: [] for name in outputs}
             for i, j, data, offsets in text_slices(batch.column(0)):
@@ -85,13 +90,12 @@ def _coder(model_path: str, outputs: tuple[str, ...]):
                     flat = np.insert(flat, counts[1:], end)
                     made["ids"].append(pa.ListArray.from_arrays(pa.array((counts + np.arange(j - i + 1)).astype(np.int32)), pa.array(flat, pa.int32())))
                 if "text" in made or "decoded_sha256" in made:
-                    decoded, plain = table.extras, [table.extras[r] for r in rows.tolist()]
+                    plain = [table.extras[r] for r in rows.tolist()]
                     texts = [" ".join(plain[a:b]) for a, b in zip(per_text, per_text[1:])]
                     if "text" in made:
                         made["text"] += texts
                     if "decoded_sha256" in made:
                         made["decoded_sha256"] += [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                    del decoded
                 if "ids_sha256" in made:
                     plain = [table.decimals[r] for r in rows.tolist()]
                     tail = str(end)

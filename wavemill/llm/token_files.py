@@ -1,6 +1,6 @@
 """Token-id output as ORC: integer run-length stripes, row indexes and Bloom filters on the document id.
 
-Texts are encoded by a distinct-chunk table (tokens of the word BPE never cross white space), an end id is appended,
+Texts are encoded by a distinct-chunk table (see ``pieces`` for where tokens never cross), an end id is appended,
 and rows are written in ascending document order by a range partitioning: one file per range, so stripes are read in
 parallel and a lookup by id is pruned by stripe statistics, row indexes and Bloom filters. The cumulative start of
 each document comes from per-file counts, not from one ordered task.
@@ -11,6 +11,7 @@ text's ids. Empty input gives empty files. Extra columns are not written.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,32 +24,66 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunk_table import ChunkTable
-from .common import scratch_dir, small_batches, text_slices, word_bounds
+from .common import lower_ascii, scratch_dir, small_batches, text_slices, word_bounds
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: ORC settings: stripes that one task reads, an index entry each 10,000 rows, Bloom filters for id lookups.
 ORC_OPTIONS = {"orc.stripe.size": str(32 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
-_LOADED: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    if path not in _LOADED:
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+#: Distinct pieces that one Python worker keeps.
+TABLE_PIECES = 800_000
+_TABLES: dict[str, ChunkTable] = {}
+_LETTER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LETTER[97:123] = True
+_DIGIT[48:58] = True
+_MARK[33:127] = ~(_LETTER | _DIGIT)[33:127]
+_MARK[65:91] = False
+
+
+def _table(path: str) -> ChunkTable:
+    """The worker's table for a tokenizer, kept between tasks."""
+    if path not in _TABLES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _TABLES[path] = ChunkTable(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], limit=TABLE_PIECES)
+    return _TABLES[path]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes to encode, starts and ends of the pieces, and each text's first piece.
+
+    Tokens of this tokenizer (lower-casing; runs of letters, single digits, runs of marks, contractions) cross neither
+    white space nor the places cut here: before an ASCII mark that follows an ASCII letter or digit, before an ASCII
+    letter or digit that follows a mark other than the apostrophe, and around ASCII digits. Words with "<|" may spell a
+    special token and are encoded as they stand.
+    """
+    starts, ends, first = word_bounds(data, offsets)
+    if not len(starts):
+        return data, starts, ends, first
+    low = lower_ascii(data)
+    left, right = low[:-1], low[1:]
+    plain = _LETTER | _DIGIT
+    cut = (plain[left] & _MARK[right]) | (_MARK[left] & (left != 39) & plain[right]) | (_DIGIT[left] & plain[right]) | (plain[left] & _DIGIT[right])
+    for k in np.unique(np.searchsorted(starts, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1).tolist():
+        low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+        cut[starts[k] : ends[k] - 1] = False
+    inner = np.flatnonzero(cut) + 1
+    inner = inner[~np.isin(inner, starts, assume_unique=True)]
+    both = np.sort(np.concatenate((starts, inner)))
+    until = np.minimum(np.append(both[1:], len(data)), ends[np.searchsorted(starts, both, "right") - 1])
+    return low, both, until, np.searchsorted(both, offsets)
 
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        table = ChunkTable(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+        table = _table(path)
         for batch in batches:
             lists = []
             for i, j, data, offsets in text_slices(batch.column(1)):
-                starts, ends, first = word_bounds(data, offsets)
-                flat, per_word = table.gather(table.look_up(data, starts, ends))
-                counts = np.concatenate(([0], np.cumsum(per_word)))[first]
+                data, starts, ends, first = pieces(data, offsets)
+                flat, per_piece = table.gather(table.look_up(data, starts, ends))
+                counts = np.concatenate(([0], np.cumsum(per_piece)))[first]
                 flat = np.insert(flat, counts[1:], end_id)
                 lists.append(pa.ListArray.from_arrays(pa.array((counts + np.arange(j - i + 1)).astype(np.int32)), pa.array(flat, pa.int32())))
             ids = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
