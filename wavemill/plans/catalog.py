@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, splitting, statistics  # noqa: F401
+from . import evaluation, safety_errors, splitting, statistics  # noqa: F401
 from .fixtures import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

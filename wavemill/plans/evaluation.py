@@ -172,9 +172,9 @@ def entropy_uncertainty(spark, d):
 
 _REL = """WITH v AS (SELECT event_id, avg(decision) AS frac, count(*) AS n FROM fx_votes WHERE NOT is_adjudication GROUP BY event_id HAVING count(*) >= 2),
   p AS (SELECT record_id, round(avg(prob), 9) AS prob, max(y) AS y FROM fx_oof WHERE variant = 'A' GROUP BY record_id),
-  j AS (SELECT p.*, 1 - abs(2 * frac - 1) AS dis, CASE WHEN abs(2 * frac - 1) < 1 THEN 'split' ELSE 'unanimous' END AS grp,
-    round(-least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) * ln(least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE)) - (1 - least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE)) * ln(1 - least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE), 9) AS h
-    FROM p JOIN v ON p.record_id = v.event_id)"""
+  j AS (SELECT p.record_id, p.prob, p.y, 1 - abs(2 * frac - 1) AS dis, CASE WHEN abs(2 * frac - 1) < 1 THEN 'split' ELSE 'unanimous' END AS grp,
+    round(-p9 * ln(p9) - (1 - p9) * ln(1 - p9), 9) AS h
+    FROM (SELECT *, least(greatest(prob, 1e-6::DOUBLE), 1.0::DOUBLE - 1e-6::DOUBLE) AS p9 FROM p) p JOIN v ON p.record_id = v.event_id)"""
 
 
 def _reliability(spark, d):
