@@ -7,13 +7,15 @@ The result is a class id per document, not all pairs.
 2. Segments: the hash range is cut into ``d + 2`` parts, ``d`` the most shingles in which two linked sets of that size
    band can differ. Linked sets have at least one equal, non-empty part (pigeonhole). A part holds about nine
    shingles at share 90, so a passage that many documents share does not bring them together by itself.
-3. Groups: of the segments a class shares with others, the one held by most classes is its group. Near copies and
-   pages around one passage so fall into a few groups; classes that share no segment cannot link and leave here.
+3. Groups: of the segments a class shares with others, the one held by most classes is its group, and small groups
+   move to the largest group that holds one of their segments. Near copies and pages around one passage so fall into
+   a few groups; classes that share no segment cannot link and leave here.
 4. Matrix: which groups hold which segment. Only pairs of groups with a common segment can hold a link.
 5. Bound: within a pair of groups, a query's overlap with the other side's token union limits its similarity to every
    member there. Only where the union covers enough of the query are the members opened.
-6. Opened members are compared exactly, in blocks of at most ``BLOCK`` members; a block pair returns links to local
-   roots, never all its pairs.
+6. Members are first compared with the group's most typical one; those linked to it need no comparison among
+   themselves. The others are opened and compared exactly, in blocks of at most ``BLOCK`` members; a block pair returns
+   links to local roots, never all its pairs.
 7. Components of the links give each class, then each document, its smallest reachable id.
 
 Sets and classes are told apart by 64-bit hashes. Null, empty and blank texts have no shingles, size 0, and are linked
@@ -161,6 +163,21 @@ def _token_lists(words: int):
     return run
 
 
+def _near_head(share: int):
+    """(cls, head, tokens, head_tokens) -> the links (cls, head)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(len(batch), bool)
+            for k, (mine, other) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near[k] = 100 * both >= share * (len(a) + len(b) - both)
+            yield pa.record_batch([c.filter(pa.array(near)) for c in batch.columns[:2]], ["a", "b"])
+
+    return run
+
+
 def _root(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -239,35 +256,53 @@ def _links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int,
     shared = entries.repartition("segment").sortWithinPartitions("segment", "cls").mapInArrow(_shared_entries, "segment long, cls long")
     shared = materialize(shared)
 
-    # groups: the segment that most classes hold; sums only, so a crowded segment is no large group anywhere
+    # groups: the segment that most classes hold; then the largest group that holds one of the class's segments
     crowd = shared.groupBy("segment").agg(F.count("*").alias("n"))
-    best = shared.join(crowd, "segment").groupBy("cls").agg(F.max_by("segment", F.struct("n", "segment")).alias("grp"))
-    best = materialize(best)
-    matrix = shared.join(best, "cls").select("segment", "grp").distinct()
-    sizes = best.join(classes, "cls").groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    first = shared.join(crowd, "segment").groupBy("cls").agg(F.max_by("segment", F.struct("n", "segment")).alias("grp"), F.sum("n").alias("weight"))
+    first = materialize(first)
+    sizes = first.groupBy("grp").agg(F.count("*").alias("n"))
+    largest = shared.join(first, "cls").select("segment", "grp").distinct().join(sizes, "grp").groupBy("segment").agg(F.max(F.struct("n", "grp")).alias("g"))
+    best = shared.join(largest, "segment").groupBy("cls").agg(F.max("g").alias("g")).select("cls", F.col("g.grp").alias("grp"))
+    best = materialize(best.join(first.select("cls", "weight"), "cls"))
+
+    # only the texts of classes that share a segment are read again
+    needed = best.select("cls").join(classes, "cls").select(F.col("class_id").alias("id")).distinct()
+    on = docs["id"].eqNullSafe(needed["id"])
+    tokens = docs.join(needed.hint("shuffle_hash"), on, "left_semi").select("text").mapInArrow(_token_lists(words), "cls long, tokens binary")
+    tokens = materialize(tokens.join(best.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+
+    # heads: the member whose segments most others hold. Members linked to it are one component already, so a large
+    # group of near copies costs one comparison a member; only the others meet the members one by one.
+    heads = best.groupBy("grp").agg(F.max_by("cls", F.struct("weight", "cls")).alias("head"), F.count("*").alias("n")).where("n > 1").select("grp", "head")
+    heads = heads.join(tokens.select(F.col("cls").alias("head"), F.col("tokens").alias("head_tokens")), "head")
+    near = best.select("cls", "grp").join(heads, "grp").where("cls <> head").join(tokens, "cls").select("cls", "head", "tokens", "head_tokens")
+    near = materialize(near.mapInArrow(_near_head(share), "a long, b long"))
+    core = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct().withColumn("core", F.lit(1))
+    best = materialize(best.join(core, "cls", "left").select("cls", "grp", F.coalesce("core", F.lit(0)).alias("core")))
+
+    sizes = best.join(classes, "cls").groupBy("grp", "core").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_SHINGLES))).cast("int")
-    sizes = materialize(sizes.select("grp", blocks.alias("blocks"), "n"))
+    sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), *(F.coalesce(F.max(F.when(F.col("core") == k, blocks)), F.lit(0)).alias(name) for k, name in ((1, "cores"), (0, "others"))))
+    sizes = materialize(sizes)
+    matrix = shared.join(best, "cls").select("segment", "grp").distinct()
     pairs = matrix.select("segment", F.col("grp").alias("a")).join(matrix.select("segment", F.col("grp").alias("b")), "segment").where("a < b").select("a", "b")
-    pairs = pairs.union(sizes.where("n > 1").select("grp", "grp")).distinct()
+    pairs = pairs.union(sizes.where("n > 1 and others > 0").select("grp", "grp")).distinct()
 
-    # blocks of each pair of groups; a group meets itself in the upper triangle only
-    size_a, size_b = (sizes.select(F.col("grp").alias(x), F.col("blocks").alias(f"n_{x}")) for x in ("a", "b"))
-    pairs = pairs.join(size_a, "a").join(size_b, "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(F.lit(0)), F.col("n_b") - 1)))
+    # blocks of each pair of groups, cores first; a group meets itself in the upper triangle, core blocks not each other
+    side = lambda x: sizes.select(F.col("grp").alias(x), (F.col("cores") + F.col("others")).alias(f"n_{x}"), F.col("cores").alias(f"cores_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.greatest("i", "cores_a")).otherwise(F.lit(0)), F.col("n_b") - 1)))
     pairs = materialize(pairs.select("a", "b", "i", "j"))
-    placed = best.join(sizes, "grp").select("grp", "cls", F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block"))
+    block = F.when(F.col("core") == 1, F.pmod(F.xxhash64("cls"), "cores")).otherwise(F.col("cores") + F.pmod(F.xxhash64("cls"), "others"))
+    placed = best.join(sizes, "grp").select("grp", "cls", block.cast("int").alias("block"))
     call = F.struct("a", "b", "i", "j").alias("call")
     left = pairs.select(call, F.col("a").alias("grp"), F.col("i").alias("block"), F.lit(0).alias("side"))
     right = pairs.where("not (a = b and i = j)").select(call, F.col("b").alias("grp"), F.col("j").alias("block"), F.lit(1).alias("side"))
     calls = left.union(right).join(placed, ["grp", "block"]).select("call.*", "side", "cls")
 
-    # only the texts of classes that share a segment are read again
-    needed = best.select("cls").join(classes, "cls").select(F.col("class_id").alias("id")).distinct()
-    on = docs["id"].eqNullSafe(needed["id"])
-    tokens = docs.join(needed.hint("shuffle_hash"), on, "left_semi").select("text").mapInArrow(_token_lists(words), "cls long, tokens binary")
-    tokens = materialize(tokens.join(best.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
     opened = calls.join(tokens, "cls").select("a", "b", "i", "j", "side", F.col("cls").alias("member"), "tokens")
-    return opened.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(_open_groups(share), "a long, b long")
+    links = opened.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(_open_groups(share), "a long, b long")
+    return links.unionByName(near)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, share: int = 90) -> DataFrame:
