@@ -18,9 +18,9 @@ def sigmoid(z: Column) -> Column:
 
 def temperature_grid(val: DataFrame, by: list[str], low: float = -3.0, high: float = 3.0, steps: int = 25) -> DataFrame:
     """(by, log_t, nll): mean negative log-likelihood at each temperature of a bounded grid."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("_k")
     rows = val.select(*by, logit(F.col("prob")).alias("z"), F.col("y").cast("double").alias("y"), grid)
-    log_t = F.lit(low) + F.col("k") * F.lit((high - low) / (steps - 1))
+    log_t = F.lit(low) + F.col("_k") * F.lit((high - low) / (steps - 1))
     q = F.least(F.greatest(sigmoid(F.col("z") / F.exp(log_t)), F.lit(1e-12)), F.lit(1 - 1e-12))
     return rows.groupBy(*by, log_t.alias("log_t")).agg(F.avg(-(F.col("y") * F.log(q) + (F.lit(1.0) - F.col("y")) * F.log(F.lit(1.0) - q))).alias("nll"))
 
@@ -30,8 +30,8 @@ def temperature_fit(val: DataFrame, by: list[str], rounds: int = 3) -> DataFrame
     centre = val.select(*by).distinct().withColumn("c", F.lit(0.0)).withColumn("w", F.lit(3.0))
     z, y = logit(F.col("prob")), F.col("y").cast("double")
     for _ in range(rounds):
-        rows = val.join(F.broadcast(centre), by).select(*by, "c", "w", z.alias("z"), y.alias("y"), F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("k"))
-        log_t = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.col("c") + F.col("w") * F.col("k") / F.lit(12.0)))
+        rows = val.join(F.broadcast(centre), by).select(*by, "c", "w", z.alias("z"), y.alias("y"), F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("_k"))
+        log_t = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.col("c") + F.col("w") * F.col("_k") / F.lit(12.0)))
         q = F.least(F.greatest(sigmoid(F.col("z") / F.exp(log_t)), F.lit(1e-12)), F.lit(1 - 1e-12))
         nll = rows.groupBy(*by, "w", log_t.alias("log_t")).agg(F.avg(-(F.col("y") * F.log(q) + (F.lit(1.0) - F.col("y")) * F.log(F.lit(1.0) - q))).alias("nll"))
         centre = nll.groupBy(*by).agg(F.min_by("log_t", F.struct(F.round("nll", 12), F.abs("log_t"))).alias("c"), (F.max("w") / 8).alias("w"))

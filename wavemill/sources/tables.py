@@ -60,7 +60,7 @@ def read_subject_csv(spark: SparkSession, directories: dict[int, str]) -> DataFr
 
 def subject_id_map(spark: SparkSession, path: str) -> DataFrame:
     """Export name -> original subject, read from sidecar texts."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     original = F.nullif(F.regexp_extract("value", r"Original Subject ID:\s*(\S+)", 1), F.lit(""))
     export = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
     return rows.select(export.alias("export"), F.coalesce(original, export).alias("subject"))
