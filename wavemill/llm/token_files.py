@@ -30,7 +30,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: ORC settings: stripes that one task reads, an index entry each 10,000 rows, Bloom filters for id lookups.
 ORC_OPTIONS = {"orc.stripe.size": str(32 << 20), "orc.row.index.stride": "10000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 #: Distinct pieces that one Python worker keeps.
-TABLE_PIECES = 800_000
+TABLE_PIECES = 600_000
 _TABLES: dict[str, ChunkTable] = {}
 _LETTER, _DIGIT, _MARK = (np.zeros(256, bool) for _ in range(3))
 _LETTER[97:123] = True
@@ -68,10 +68,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in np.unique(np.searchsorted(starts, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)), "right") - 1).tolist():
         low[starts[k] : ends[k]] = data[starts[k] : ends[k]]
         cut[starts[k] : ends[k] - 1] = False
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    cut[edges - 1] = False
+    # pieces start where a word starts or is cut, and end where a word ends or is cut: both in order
+    begin, end = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begin[starts], end[ends] = True, True
     inner = np.flatnonzero(cut) + 1
-    inner = inner[~np.isin(inner, starts, assume_unique=True)]
-    both = np.sort(np.concatenate((starts, inner)))
-    until = np.minimum(np.append(both[1:], len(data)), ends[np.searchsorted(starts, both, "right") - 1])
+    begin[inner], end[inner] = True, True
+    both = np.flatnonzero(begin)
+    until = np.flatnonzero(end)
     return low, both, until, np.searchsorted(both, offsets)
 
 
