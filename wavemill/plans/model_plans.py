@@ -144,6 +144,9 @@ def clf_stack(spark, d):
     return md.predict_fold(md.fit_fold(rows, list(fx.VARIANTS), "logreg", {"reg": 0.3}), rows, list(fx.VARIANTS), ["seed", "record_id"])
 
 
+query("ens_stack")(clf_stack)
+
+
 @query("search_val_auc")
 def search_val_auc(spark, d):
     grid = [{"reg": r} for r in (0.001, 0.03, 0.3)]
