@@ -12,10 +12,8 @@ The result is a class id per document, not all pairs.
    move to the largest group that holds one of their segments. Near copies and pages around one passage so fall into
    a few groups; classes that share no segment cannot link and leave here.
 4. Matrix: which groups hold which segment. Only pairs of groups with a common segment can hold a link.
-5. Bounds: two sets whose counts by hash range differ by more than linked sets can are no candidates, and classes without
-   a candidate leave before their shingles are read again. Then, within a pair of groups, a query's overlap with the
-   other side's token union limits its similarity to every member there. Only where the union covers enough of the
-   query are the members opened.
+5. Bound: within a pair of groups, a query's overlap with the other side's token union limits its similarity to every
+   member there. Only where the union covers enough of the query are the members opened.
 6. Members are first compared with the group's most typical one; those linked to it need no comparison among
    themselves. The others are opened and compared exactly, in blocks of at most ``BLOCK`` members; a block pair returns
    links to local roots, never all its pairs.
@@ -123,7 +121,7 @@ def _set_key(tokens: np.ndarray) -> int:
 def _sketch(words: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, listed, counts, needs, profiles = [], [], [], [], [], []
+            sizes, keys, listed, counts, needs = [], [], [], [], []
             seen: set[int] = set()  # copies within a batch list their segments once
             for tokens in shingle_sets(batch.column(1), words):
                 key = _set_key(tokens)
@@ -132,14 +130,13 @@ def _sketch(words: int, share: int):
                     found = found[:0]
                 seen.add(key)
                 needs.append(need)
-                profiles.append(np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 sizes.append(len(tokens))
                 keys.append(key)
                 listed.append(found)
                 counts.append(len(found))
             offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)
             names = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(listed) if listed else np.zeros(0, np.int64)))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs, pa.int32()), pa.array(profiles, pa.binary()), names], ["id", "n_shingles", "cls", "need", "profile", "segments"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(needs, pa.int32()), names], ["id", "n_shingles", "cls", "need", "segments"])
 
     return run
 
@@ -180,68 +177,6 @@ def _token_lists(words: int):
     return run
 
 
-def _may_link(share: int):
-    """From rows sorted by block pair: the classes that some class across may link with, by their hash-range counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[int] = set()
-
-        def close(rows: list[tuple]) -> None:
-            side, cls, size = (np.array([r[k] for r in rows]) for k in range(3))
-            profile = np.stack([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.int16)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            right = right if len(right) else left
-            for q in left.tolist():
-                apart = np.abs(profile[right] - profile[q]).sum(axis=1)  # at most the size of the symmetric difference
-                may = right[((100 + share) * apart <= (100 - share) * (size[right] + size[q])) & (cls[right] != cls[q])]
-                if len(may):
-                    found.add(int(cls[q]))
-                    found.update(cls[may].tolist())
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(sorted(found), pa.int64())], ["cls"])
-            found.clear()
-            return out
-
-        key, rows = None, []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for row in zip(zip(*columns[:4]), *columns[4:]):
-                if row[0] != key:
-                    if len(rows) > 1:
-                        close(rows)
-                    key, rows = row[0], []
-                rows.append(row[1:])
-            yield flush()
-        if len(rows) > 1:
-            close(rows)
-        yield flush()
-
-    return run
-
-
-def _block_calls(pairs: DataFrame, sizes: DataFrame, placed: DataFrame) -> DataFrame:
-    """(a, b, i, j, side, cls): the members of both blocks of every block pair.
-
-    A pair of groups meets block by block; a group meets itself in the upper triangle only, its core blocks not each other.
-    """
-    side = lambda x: sizes.select(F.col("grp").alias(x), (F.col("cores") + F.col("others")).alias(f"n_{x}"), F.col("cores").alias(f"cores_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.greatest("i", "cores_a")).otherwise(F.lit(0)), F.col("n_b") - 1)))
-    pairs = materialize(pairs.select("a", "b", "i", "j"))
-    call = F.struct("a", "b", "i", "j").alias("call")
-    left = pairs.select(call, F.col("a").alias("grp"), F.col("i").alias("block"), F.lit(0).alias("side"))
-    right = pairs.where("not (a = b and i = j)").select(call, F.col("b").alias("grp"), F.col("j").alias("block"), F.lit(1).alias("side"))
-    return left.union(right).join(placed, ["grp", "block"]).select("call.*", "side", "cls")
-
-
-def _group_pairs(shared: DataFrame, best: DataFrame) -> DataFrame:
-    """(a, b) of different groups that hold a common segment: the matrix joined with itself, each entry once."""
-    matrix = shared.join(best.select("cls", "grp"), "cls").select("segment", "grp").distinct()
-    pairs = matrix.select("segment", F.col("grp").alias("a")).join(matrix.select("segment", F.col("grp").alias("b")), "segment")
-    return pairs.where("a < b").select("a", "b").distinct()
-
-
 def _near_head(share: int):
     """(cls, head, tokens, head_tokens) -> the links (cls, head)."""
 
@@ -335,10 +270,11 @@ def _links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int,
     shared = entries.repartition("segment").sortWithinPartitions("segment", "cls").mapInArrow(_shared_entries, "segment long, cls long")
     shared = materialize(shared)
     # a class that shares too few segments with all others together links with none: common passages leave here
-    enough = shared.groupBy("cls").agg(F.count("*").alias("n")).join(classes.select("cls", "need"), "cls").where("n >= need").select("cls")
-    shared = shared.join(enough, "cls", "left_semi")
-    several = shared.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1").select("segment")
-    shared = materialize(shared.join(several, "segment", "left_semi"))
+    for _ in range(2):
+        enough = shared.groupBy("cls").agg(F.count("*").alias("n")).join(classes.select("cls", "need"), "cls").where("n >= need").select("cls")
+        shared = shared.join(enough, "cls", "left_semi")
+        several = shared.groupBy("segment").agg(F.count("*").alias("n")).where("n > 1").select("segment")
+        shared = materialize(shared.join(several, "segment", "left_semi"))
 
     # groups: the segment that most classes hold; then the largest group that holds one of the class's segments
     crowd = shared.groupBy("segment").agg(F.count("*").alias("n"))
@@ -349,19 +285,11 @@ def _links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int,
     best = shared.join(largest, "segment").groupBy("cls").agg(F.max("g").alias("g")).select("cls", F.col("g.grp").alias("grp"))
     best = materialize(best.join(first.select("cls", "weight"), "cls"))
 
-    # bound by counts: sets whose hash-range counts are too far apart cannot link; classes without a possible partner leave
-    sizes = best.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("others"), F.lit(0).alias("cores"))
-    sizes = materialize(sizes)
-    pairs = materialize(_group_pairs(shared, best).union(sizes.where("n > 1").select("grp", "grp")))
-    placed = best.join(sizes, "grp").select("grp", "cls", F.pmod(F.xxhash64("cls"), "others").cast("int").alias("block"))
-    asked = _block_calls(pairs, sizes, placed).join(classes.select("cls", "n_shingles", "profile"), "cls").select("a", "b", "i", "j", "side", "cls", "n_shingles", "profile")
-    may = asked.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(_may_link(share), "cls long").distinct()
-    best = materialize(best.join(may, "cls", "left_semi"))
-
-    # only the texts of these classes are read again; the optimizer broadcasts the ids if their table is small
-    needed = materialize(best.select("cls").join(classes, "cls").select(F.col("class_id").alias("id")).distinct())
-    tokens = docs.join(needed, docs["id"].eqNullSafe(needed["id"]), "left_semi").select("text").mapInArrow(_token_lists(words), "cls long, tokens binary")
-    tokens = materialize(tokens)
+    # only the texts of classes that share a segment are read again
+    needed = best.select("cls").join(classes, "cls").select(F.col("class_id").alias("id")).distinct()
+    on = docs["id"].eqNullSafe(needed["id"])
+    tokens = docs.join(needed.hint("shuffle_hash"), on, "left_semi").select("text").mapInArrow(_token_lists(words), "cls long, tokens binary")
+    tokens = materialize(tokens.join(best.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
     # heads: the member whose segments most others hold. Members linked to it are one component already, so a large
     # group of near copies costs one comparison a member; only the others meet the members one by one.
@@ -376,9 +304,22 @@ def _links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, words: int,
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("held") / F.lit(BLOCK_SHINGLES))).cast("int")
     sizes = sizes.groupBy("grp").agg(F.sum("n").alias("n"), *(F.coalesce(F.max(F.when(F.col("core") == k, blocks)), F.lit(0)).alias(name) for k, name in ((1, "cores"), (0, "others"))))
     sizes = materialize(sizes)
-    pairs = _group_pairs(shared, best).union(sizes.where("n > 1 and others > 0").select("grp", "grp"))
+    matrix = shared.join(best, "cls").select("segment", "grp").distinct()
+    pairs = matrix.select("segment", F.col("grp").alias("a")).join(matrix.select("segment", F.col("grp").alias("b")), "segment").where("a < b").select("a", "b")
+    pairs = pairs.union(sizes.where("n > 1 and others > 0").select("grp", "grp")).distinct()
+
+    # blocks of each pair of groups, cores first; a group meets itself in the upper triangle, core blocks not each other
+    side = lambda x: sizes.select(F.col("grp").alias(x), (F.col("cores") + F.col("others")).alias(f"n_{x}"), F.col("cores").alias(f"cores_{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
+    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.greatest("i", "cores_a")).otherwise(F.lit(0)), F.col("n_b") - 1)))
+    pairs = materialize(pairs.select("a", "b", "i", "j"))
     block = F.when(F.col("core") == 1, F.pmod(F.xxhash64("cls"), "cores")).otherwise(F.col("cores") + F.pmod(F.xxhash64("cls"), "others"))
-    calls = _block_calls(pairs, sizes, best.join(sizes, "grp").select("grp", "cls", block.cast("int").alias("block")))
+    placed = best.join(sizes, "grp").select("grp", "cls", block.cast("int").alias("block"))
+    call = F.struct("a", "b", "i", "j").alias("call")
+    left = pairs.select(call, F.col("a").alias("grp"), F.col("i").alias("block"), F.lit(0).alias("side"))
+    right = pairs.where("not (a = b and i = j)").select(call, F.col("b").alias("grp"), F.col("j").alias("block"), F.lit(1).alias("side"))
+    calls = left.union(right).join(placed, ["grp", "block"]).select("call.*", "side", "cls")
+
     opened = calls.join(tokens, "cls").select("a", "b", "i", "j", "side", F.col("cls").alias("member"), "tokens")
     links = opened.repartition("a", "b", "i", "j").sortWithinPartitions("a", "b", "i", "j").mapInArrow(_open_groups(share), "a long, b long")
     return links.unionByName(near)
@@ -390,11 +331,11 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("share is in hundredths, above 50")
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = materialize(docs.mapInArrow(_sketch(words, share), "id long, n_shingles long, cls long, need int, profile binary, segments array<long>"))
-    classes = materialize(sketched.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("need").alias("need"), F.first("profile").alias("profile")))
+    sketched = materialize(docs.mapInArrow(_sketch(words, share), "id long, n_shingles long, cls long, need int, segments array<long>"))
+    classes = materialize(sketched.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("need").alias("need")))
     found = components(_links(docs, sketched, classes, words, share)).withColumnRenamed("node", "cls")
     smallest = classes.join(found, "cls").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = classes.select("cls", "class_id").join(found, "cls", "left").join(smallest, "component", "left").select("cls", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = classes.drop("n_shingles", "need").join(found, "cls", "left").join(smallest, "component", "left").select("cls", F.coalesce("component_id", "class_id").alias("component_id"))
     out = sketched.select("id", "n_shingles", "cls").join(named, "cls", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
