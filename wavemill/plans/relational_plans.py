@@ -165,7 +165,7 @@ _NB = "nb AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY even
 def perturb_noise_snr(spark, d):
     from pyspark.sql import Window as W
 
-    bank = fx.read(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_type").alias("channel"), (F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1).alias("i"), F.col("value").alias("v"))
+    bank = fx.read(spark, d, "events").select(F.col("event_type").alias("channel"), (F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1).alias("i"), F.col("value").alias("v"))
     return pb.noise_snr(_w(spark, d), bank, "window_id", 64, 6.0).select("window_id", "i", F.round("x", 5).alias("x"))
 
 

@@ -63,7 +63,7 @@ def window_bootstrap_auc(spark, d):
   r AS (SELECT x.*, r FROM x CROSS JOIN (SELECT unnest(range(20)) AS r)), l AS (SELECT r, quality, row_number() OVER (PARTITION BY r ORDER BY record_id) AS k FROM r), s AS (SELECT r, prob, row_number() OVER (PARTITION BY r ORDER BY {_H.format("'perm:' || r || ':' || record_id")}, record_id) AS k FROM r),
   n AS (SELECT r, corr(quality, prob) AS c FROM l JOIN s USING (r, k) GROUP BY r), t AS (SELECT corr(quality, prob) AS rho FROM x) SELECT round(rho, 6) AS rho, avg((abs(c) >= abs(rho) - 1e-12)::INT) AS p FROM n CROSS JOIN t GROUP BY rho""")
 def permutation_test(spark, d):
-    rows = oof(spark, d).where("variant = 'A' and record_id % 10 = 0").groupBy("record_id").agg(F.avg("quality").alias("quality"), F.round(F.avg("prob"), 9).alias("prob"))
+    rows = oof(spark, d).where("variant = 'A'").groupBy("record_id").agg(F.avg("quality").alias("quality"), F.round(F.avg("prob"), 9).alias("prob"))
     return st.permutation_test(rows, "quality", "prob", "record_id", 20).select(*r6("rho"), "p")
 
 
