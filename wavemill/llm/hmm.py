@@ -14,8 +14,8 @@ Vocabulary sizes are bounded by counts, not by cutting the data: at most ``M`` w
  * broadcast counts: words with at least N / COUNTED occurrences (12 bytes each);
  * all other words join their counts through a shuffle, so counts cover the whole corpus at any size.
 
-The chain starts from random emissions, is fitted on ``warm_texts`` texts for ``warm_rounds`` rounds and then on all
-training texts for ``rounds`` rounds. Null text counts as empty: its only token is the end. Repeated rows are scored
+The chain starts from random emissions and is fitted on all training texts for ``warm_rounds`` + ``rounds`` rounds (a
+number given as ``warm_texts`` bounds the texts of the first ``warm_rounds``). Texts are turned into emissions once. Null text counts as empty: its only token is the end. Repeated rows are scored
 each. A null id counts as training text. Without training texts every probability is the smoothing's.
 """
 
@@ -233,14 +233,30 @@ def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, list]:
     return np.concatenate([e for e, *_ in held]), np.concatenate(([0], np.cumsum(lengths))), [r for *_, r in held]
 
 
-def _expect(chain, lexicon):
+def _emissions(lexicon):
+    """One row per text: its emissions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, emissions, _, bounds, *_ in _coded(batch.column(0), lexicon.value):
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(emissions))], ["emissions"])
+
+    return run
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, None]:
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets.astype(np.int64) - offsets[0], None
+
+
+def _expect(chain):
     """One row per emission met (row >= 0) and, with row = -1 - k, of transitions and starts (row -1 - K), per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, lex = chain.value, lexicon.value
+        c = chain.value
         k = len(c.start)
         starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros(c.emit.shape), 0.0
-        for emissions, bounds, _ in _gathered((x[2], x[4], None) for batch in batches for x in _coded(batch.column(0), lex)):
+        for emissions, bounds, _ in _gathered(_listed(batch.column(0)) for batch in batches):
             found = expected_counts(c, emissions, bounds)
             for total, more in zip((starts, moves, emits), found):
                 total += more
@@ -260,10 +276,11 @@ def baum_welch(train: DataFrame, chain: Chain, lexicon, rounds: int) -> tuple[Ch
     spark = train.sparkSession
     k, said = len(chain.start), []
     base = np.maximum(_unigram(lexicon.value), 1e-12)
+    coded = materialize(train.select("text").mapInArrow(_emissions(lexicon), "emissions array<int>")) if rounds else None
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(chain)
         schema = "row long, " + ", ".join(f"s{s} double" for s in range(k))
-        found = train.select("text").mapInArrow(_expect(sent, lexicon), schema).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toPandas()
+        found = coded.mapInArrow(_expect(sent), schema).groupBy("row").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(k))).toPandas()
         rows, values = found["row"].to_numpy(np.int64), found.drop(columns="row").to_numpy(float)
         emits, rest = np.zeros(chain.emit.shape), np.zeros((k + 2, k))
         emits[rows[rows >= 0]] = values[rows >= 0]
@@ -321,7 +338,7 @@ def _score(chain, lexicon):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, warm_texts: int = 1500, warm_rounds: int = 8, rounds: int = 2, seed: int = 5) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, warm_texts: int | None = None, warm_rounds: int = 8, rounds: int = 2, seed: int = 5) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -334,9 +351,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chain = Chain.fresh(lexicon.emissions, states, seed)
     chain = Chain(chain.start, chain.move, chain.emit * _unigram(lexicon)[:, None])
     chain.emit /= chain.emit.sum(axis=0)
-    chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(warm_texts)  # a bounded sample, only to start from
-    warm = materialize(train.join(chosen.distinct(), "id", "left_semi").repartition(8))
-    chain, _ = baum_welch(warm, chain, sent, warm_rounds)
+    if warm_texts is None:
+        rounds += warm_rounds
+    else:
+        chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(warm_texts)  # a bounded sample, only to start from
+        warm = materialize(train.join(chosen.distinct(), "id", "left_semi").repartition(8))
+        chain, _ = baum_welch(warm, chain, sent, warm_rounds)
     chain, _ = baum_welch(train, chain, sent, rounds)
 
     schema = "id long, n_tokens long, n_known long, log_counts double, score double, words array<long>, times array<long>"
