@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,17 +118,21 @@ def standardize_clip5(spark, d):
     return md.standardize_clip(_two(spark, d), ["b"], ["fold"]).select("window_id", "role", F.round("b", 5).alias("b"))
 
 
-def _prepared(spark, d, fold: int = 0) -> DataFrame:
-    rows = md.prep_pipeline(_dataset(spark, d).where(F.col("fold") == fold), FEATURES, ["fold"])
-    return rows.repartition(8, "window_id").cache()
+def _prepared(spark, d) -> DataFrame:
+    return md.prep_pipeline(_dataset(spark, d), FEATURES, ["fold"]).repartition(8, "window_id").cache()
+
+
+def _folds(rows: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Every fold of rows with its rows; folds are few."""
+    return [(r.fold, rows.where(F.col("fold") == r.fold)) for r in rows.select("fold").distinct().orderBy("fold").collect()]
 
 
 def _classifier(name: str):
     def run(spark, d):
         rows = _prepared(spark, d)
-        return md.predict_fold(md.fit_fold(rows, FEATURES, name), rows, FEATURES, ["window_id"])
+        return md.cross_predict(rows, FEATURES, [name], [fold for fold, _ in _folds(rows)], ["window_id"]).drop("variant")
 
-    run.__doc__ = f"Predictions of {name} on the first fold's validation and test rows."
+    run.__doc__ = f"Predictions of {name} on every fold's validation and test rows."
     return run
 
 
@@ -136,12 +142,14 @@ for _name, _kind in (("clf_logreg", "logreg"), ("clf_rf", "rf"), ("clf_boost", "
 
 @query("clf_stack")
 def clf_stack(spark, d):
-    """Logistic regression on the members' log-odds, fitted on validation rows, applied to test rows."""
+    """Logistic regression on the members' log-odds, fitted on validation rows, applied to test rows, per seed and fold."""
     from ..operators.safety import logit
 
-    wide = fx.predictions(spark, d).where("fold = 0").groupBy("seed", "record_id", "role", "y").pivot("variant", list(fx.VARIANTS)).agg(F.first(logit(F.col("prob"))))
+    wide = fx.predictions(spark, d).groupBy("seed", "fold", "record_id", "role", "y").pivot("variant", list(fx.VARIANTS)).agg(F.first(logit(F.col("prob"))))
     rows = wide.withColumn("role", F.when(F.col("role") == "val", "fit").otherwise("test")).cache()
-    return md.predict_fold(md.fit_fold(rows, list(fx.VARIANTS), "logreg", {"reg": 0.3}), rows, list(fx.VARIANTS), ["seed", "record_id"])
+    parts = [part.where(F.col("seed") == r.seed) for _, part in _folds(rows) for r in part.select("seed").distinct().orderBy("seed").collect()]
+    preds = (md.predict_fold(md.fit_fold(part, list(fx.VARIANTS), "logreg", {"reg": 0.3}), part, list(fx.VARIANTS), ["seed", "fold", "record_id"]) for part in parts)
+    return reduce(DataFrame.unionByName, preds)
 
 
 query("ens_stack")(clf_stack)
@@ -150,15 +158,17 @@ query("ens_stack")(clf_stack)
 @query("search_val_auc")
 def search_val_auc(spark, d):
     grid = [{"reg": r} for r in (0.001, 0.03, 0.3)]
-    best, preds = md.search_val_auc(_prepared(spark, d), FEATURES, "logreg", grid, ["window_id"])
-    return preds.withColumn("config", F.lit(str(best)))
+    found = (md.search_val_auc(part, FEATURES, "logreg", grid, ["fold", "window_id"]) for _, part in _folds(_prepared(spark, d)))
+    return reduce(DataFrame.unionByName, (preds.withColumn("config", F.lit(str(best))) for best, preds in found))
 
 
 @query("perm_importance")
 def perm_importance(spark, d):
-    rows = _prepared(spark, d)
-    few = ["std", "kurtosis", "low", "entropy"]
-    return md.permutation_importance(md.fit_fold(rows, few, "logreg"), rows.where("role = 'val'"), few, "window_id", 1)
+    """Loss of AUC by feature: five repetitions, mean over folds, the fifteen largest."""
+    parts = (md.permutation_importance(md.fit_fold(part, FEATURES, "logreg"), part.where("role = 'val'"), FEATURES, "window_id", 5) for _, part in _folds(_prepared(spark, d)))
+    # a table of a row per fold and feature is put together fold by fold: one plan of all repetitions would be too large
+    rows = spark.createDataFrame([tuple(r) for part in parts for r in part.collect()], "feature string, drop double")
+    return rows.groupBy("feature").agg(F.avg("drop").alias("drop")).orderBy(F.col("drop").desc(), "feature").limit(15)
 
 
 @query("af_screen")
