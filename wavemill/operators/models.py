@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.ranking import ranked
 from .metrics import auc
+from .safety import logit
+from .splits import group_folds
 
 #: name -> (hyperparameters -> estimator). MLP has no weights; all others balance the classes by weightCol.
 ESTIMATORS: dict[str, Callable] = {
@@ -88,17 +91,40 @@ def search_val_auc(rows: DataFrame, features: list[str], name: str, grid: list[d
     return best, predict_fold(best_model or fit_fold(rows, features, name, best), rows, features, keep)
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str], key: str, reps: int = 2, seed: str = "imp") -> DataFrame:
-    """(feature, drop): loss of AUC when one feature's values are dealt anew among the rows, mean over repetitions."""
-    base = _score(model, _vectors(rows, features)).withColumn("k", F.lit(1))
-    real = auc(base, ["k"]).first().auc
-    order = W.orderBy(key)
+def stacked(rows: DataFrame, features: list[str], names: list[str], key: str, inner: int, keep: list[str]) -> DataFrame:
+    """Test predictions of a logistic regression on the members' log-odds.
+
+    Its training rows are the fit rows, each scored by members fitted without the row's group of ``inner`` folds.
+    """
+    fit, other = rows.where("role = 'fit'"), rows.where("role <> 'fit'")
+    dealt = fit.join(group_folds(fit, key, inner, 11).withColumnRenamed("fold", "_inner"), key)
     out = None
-    for c in features:
-        for r in range(reps):
-            ranked = rows.withColumn("_a", F.row_number().over(order))
-            dealt = rows.select(F.col(c).alias("_v"), F.row_number().over(W.orderBy(draw(F.lit(f"{seed}-{r}"), F.col(key)), key)).alias("_a"))
-            mixed = ranked.join(dealt, "_a").drop("_a").withColumn(c, F.col("_v")).drop("_v")
-            one = auc(_score(model, _vectors(mixed, features)).withColumn("k", F.lit(1)), ["k"]).select(F.lit(c).alias("feature"), (F.lit(real) - F.col("auc")).alias("drop"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("feature").agg(F.avg("drop").alias("drop"))
+    for name in names:
+        parts = []
+        for k in range(inner):
+            part = dealt.withColumn("role", F.when(F.col("_inner") == k, "val").otherwise("fit"))
+            parts.append(predict_fold(fit_fold(part, features, name), part, features, [*keep, key]).withColumn("role", F.lit("fit")))
+        parts.append(predict_fold(fit_fold(fit, features, name), other, features, [*keep, key]))
+        own = reduce(DataFrame.unionByName, parts).select(*keep, key, "role", "y", logit(F.col("prob")).alias(f"z_{name}"))
+        out = own if out is None else out.join(own.drop("role", "y"), [*keep, key])
+    members = [f"z_{name}" for name in names]
+    out = out.cache()
+    return predict_fold(fit_fold(out, members, "logreg"), out, members, [*keep, key])
+
+
+def permutation_importance(model, rows: DataFrame, features: list[str], key: str, reps: int = 2, seed: str = "imp") -> DataFrame:
+    """(feature, drop): loss of AUC when one feature's values are dealt anew among the rows, mean over repetitions.
+
+    All repetitions of all features are one plan: a row is scored once for each, with the value that its place in that
+    repetition's shuffled order brings.
+    """
+    real = auc(_score(model, _vectors(rows, features)).withColumn("k", F.lit(1)), ["k"]).first().auc
+    trial = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep")) for c in features for r in range(reps)))).alias("trial")
+    value = reduce(lambda x, c: F.when(F.col("trial.feature") == c, F.col(c)).otherwise(x), features, F.lit(None).cast("double"))
+    ends = float(1 << 32)
+    fixed = ranked(rows, [], draw(F.lit(seed), F.col(key)), [key], 0.0, ends, "_a")
+    trials = rows.select("*", trial).select(F.col("trial.feature").alias("feature"), F.col("trial.rep").alias("rep"), key, value.alias("_v"))
+    dealt = ranked(trials, ["feature", "rep"], draw(F.concat_ws("-", F.lit(seed), "feature", "rep"), F.col(key)), [key], 0.0, ends, "_a").select("feature", "rep", "_v", "_a")
+    mixed = fixed.join(dealt, "_a").withColumns({c: F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col(c)) for c in features})
+    found = auc(_score(model, _vectors(mixed, features)), ["feature", "rep"])
+    return found.groupBy("feature").agg(F.avg(F.lit(real) - F.col("auc")).alias("drop"))

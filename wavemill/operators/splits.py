@@ -3,30 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.ranking import ranked
 
 
-def _order(seed: Column | int, key: str, *first: Column):
-    return (*first, draw(seed if isinstance(seed, Column) else F.lit(seed), key), F.col(key))
+def _shuffled(rows: DataFrame, key: str, seed: Column | int, by: list[str], name: str = "_r") -> DataFrame:
+    """rows with their place, from 1, in the shuffled order of each ``by``."""
+    return ranked(rows, by, draw(seed if isinstance(seed, Column) else F.lit(seed), key), [key], 0.0, float(1 << 32), name)
 
 
 def group_folds(groups: DataFrame, key: str, k: int, seed: Column | int = 0, by: list[str] | None = None) -> DataFrame:
     """Distinct groups dealt round robin to k folds in shuffled order, once per value of ``by``."""
     by = by or []
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*_order(seed, key))) - 1
-    return groups.select(*by, key).distinct().withColumn("fold", (rank % k).cast("int"))
+    rows = _shuffled(groups.select(*by, key).distinct(), key, seed, by)
+    return rows.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+
+
+def _first_share(rows: DataFrame, by: list[str], fraction: float, least: int) -> DataFrame:
+    """Adds _taken: whether the place _r is within max(least, round half even (fraction * n)) of its ``by``."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)), "_n")
+    on = F.lit(True)
+    for k, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{k}"))
+    take = F.greatest(F.lit(least), F.bround(F.col("_n") * F.lit(fraction)).cast("long"))
+    return rows.join(sizes, on).withColumn("_taken", F.col("_r") <= take).drop("_r", "_n", *(f"_by_{k}" for k in range(len(by))))
 
 
 def group_holdout(groups: DataFrame, key: str, fraction: float, by: list[str], seed: Column | int = 1) -> DataFrame:
     """Per ``by``: max(1, round half even (fraction * n)) groups become val, the others fit."""
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(*_order(seed, key)))
-    n = F.count("*").over(W.partitionBy(*by))
-    rows = groups.select(*by, key).distinct().withColumn("_r", rank).withColumn("_n", n)
-    take = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("long"))
-    return rows.withColumn("role", F.when(F.col("_r") <= take, "val").otherwise("fit")).drop("_r", "_n")
+    rows = _first_share(_shuffled(groups.select(*by, key).distinct(), key, seed, by), by, fraction, 1)
+    return rows.withColumn("role", F.when(F.col("_taken"), "val").otherwise("fit")).drop("_taken")
 
 
 def iter_splits(groups: DataFrame, key: str, seeds: int, k: int, fraction: float) -> DataFrame:
@@ -41,11 +49,10 @@ def iter_splits(groups: DataFrame, key: str, seeds: int, k: int, fraction: float
 def strat_group_folds(groups: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """Class 1 first, then class 0, one running counter over both, dealt to k folds."""
     rows = groups.groupBy(key).agg(F.max(label).alias(label))
-    counts = W.partitionBy(label).orderBy(*_order(seed, key))
-    rows = rows.withColumn("_r", F.row_number().over(counts) - 1)
+    rows = _shuffled(rows, key, seed, [label])
     # the counter goes on after class 1: only its size is needed, no single ordered partition
     ones = rows.agg(F.count_if(F.col(label) == 1).alias("_ones"))
-    return rows.join(F.broadcast(ones)).withColumn("fold", ((F.col("_r") + F.when(F.col(label) == 1, 0).otherwise(F.col("_ones"))) % k).cast("int")).drop("_r", "_ones")
+    return rows.join(F.broadcast(ones)).withColumn("fold", ((F.col("_r") - 1 + F.when(F.col(label) == 1, 0).otherwise(F.col("_ones"))) % k).cast("int")).drop("_r", "_ones")
 
 
 def strat_group_holdout(groups: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -55,16 +62,13 @@ def strat_group_holdout(groups: DataFrame, key: str, label: str, fraction: float
 
 def strat_window_folds(windows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """The leaky comparison: single windows dealt to folds within each class."""
-    rank = F.row_number().over(W.partitionBy(label).orderBy(*_order(seed, key))) - 1
-    return windows.select(key, label).withColumn("fold", (rank % k).cast("int"))
+    return _shuffled(windows.select(key, label), key, seed, [label]).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def label_budget(windows: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """Windows of a fraction of the records per class, at least two records of each."""
     records = windows.groupBy(key).agg(F.max(label).alias("_c"))
-    rank = F.row_number().over(W.partitionBy("_c").orderBy(*_order(seed, key)))
-    n = F.count("*").over(W.partitionBy("_c"))
-    kept = records.withColumn("_r", rank).withColumn("_n", n).where(F.col("_r") <= F.greatest(F.lit(2), F.bround(F.col("_n") * F.lit(fraction)).cast("long")))
+    kept = _first_share(_shuffled(records, key, seed, ["_c"]), ["_c"], fraction, 2).where("_taken")
     return windows.join(kept.select(key), key, "left_semi")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.ranking import ranked
 
 
 def corrected_t(diffs: DataFrame, by: list[str], value: str, test_over_train: float) -> DataFrame:
@@ -28,8 +31,11 @@ def holm(pvalues: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
 def bootstrap_draws(units: DataFrame, unit: str, draws: int, by: list[str] | None = None, seed: str = "boot") -> DataFrame:
     """(b, by, unit, weight): how often each of n units is drawn in n draws with replacement, per replicate."""
     by = by or []
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(unit)) - 1
-    known = units.select(*by, unit).distinct().withColumn("ord", rank.cast("long")).withColumn("n", F.count("*").over(W.partitionBy(*by)))
+    known = units.select(*by, unit).distinct()
+    ends = units.agg(F.min(unit).cast("double").alias("_low"), F.max(unit).cast("double").alias("_high"))
+    known = ranked(known.join(F.broadcast(ends)), by, F.col(unit).cast("double"), [unit], F.col("_low"), F.col("_high"), "ord").withColumn("ord", F.col("ord") - 1)
+    sizes = known.groupBy(*by).agg(F.count("*").alias("n"))
+    known = (known.join(sizes, by) if by else known.join(F.broadcast(sizes))).select(*by, unit, "ord", "n")
     picks = known.select(*by, "ord", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     picks = picks.withColumn("ord", draw(F.lit(seed), F.col("b"), *by, F.col("ord")) % F.col("n"))
     picks = picks.groupBy(*by, "b", "ord").agg(F.count("*").alias("weight"))
@@ -61,22 +67,35 @@ def paired_record_bootstrap(tallies: DataFrame, arm: str, a: str, b: str, record
     return per.groupBy("b").agg((F.max(F.when(F.col(arm) == b, F.col("m"))) - F.max(F.when(F.col(arm) == a, F.col("m")))).alias("diff"))
 
 
+def _fisher_p(a: int, b: int, c: int, d: int, step: int = 1 << 20) -> float:
+    """Two-sided p of one table: the share of all tables with its margins that are at most as likely. Cells are visited in runs."""
+    r, k, n = a + b, a + c, a + b + c + d
+    low, high = max(0, r + k - n), min(r, k)
+
+    def runs():
+        at = 0.0  # log likelihood relative to the first cell
+        for first in range(low, high + 1, step):
+            x = np.arange(first, min(high, first + step - 1) + 1, dtype=float)
+            up = np.log((r - x) * (k - x)) if x[-1] < high else np.append(np.log((r - x[:-1]) * (k - x[:-1])), 0.0)
+            moves = up - np.log((x + 1) * (n - r - k + x + 1))
+            yield x, at + np.concatenate(([0.0], np.cumsum(moves[:-1])))
+            at += float(moves.sum())
+
+    most = max(float(lp.max()) for _, lp in runs())
+    own = next(float(lp[x == a][0]) for x, lp in runs() if x[0] <= a <= x[-1])
+    total = sum(float(np.exp(lp - most).sum()) for _, lp in runs())
+    return min(1.0, sum(float(np.exp(lp[lp <= own + 1e-7] - most).sum()) for _, lp in runs()) / total)
+
+
 def fisher_exact(tables: DataFrame, key: list[str], a: str = "a", b: str = "b", c: str = "c", d: str = "d") -> DataFrame:
-    """Two-sided p and odds ratio of 2 x 2 tables; log-factorials come from one running sum over 1 .. the largest total."""
-    rows = tables.withColumn("_n", F.col(a) + F.col(b) + F.col(c) + F.col(d)).withColumn("_r", F.col(a) + F.col(b)).withColumn("_k", F.col(a) + F.col(c))
-    spark = tables.sparkSession
-    top = rows.agg(F.max("_n")).first()[0] or 0
-    facts = spark.range(0, top + 1).select("id", F.sum(F.log(F.greatest(F.col("id"), F.lit(1)).cast("double"))).over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)).alias("lf"))
-    cells = rows.select(*key, "_n", "_r", "_k", F.col(a).alias("_a"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("_r") + F.col("_k") - F.col("_n")), F.least("_r", "_k"))).alias("x"))
-    terms = {"_r": 1, "_nr": 1, "_k": 1, "_nk": 1, "_n": -1, "x": -1, "_rx": -1, "_kx": -1, "_rest": -1}
-    cells = cells.withColumns({"_nr": F.col("_n") - F.col("_r"), "_nk": F.col("_n") - F.col("_k"), "_rx": F.col("_r") - F.col("x"), "_kx": F.col("_k") - F.col("x"), "_rest": F.col("_n") - F.col("_r") - F.col("_k") + F.col("x")})
-    for name, sign in terms.items():
-        cells = cells.join(facts.select(F.col("id").alias(name), (F.col("lf") * sign).alias(f"l{name}")), name)
-    cells = cells.withColumn("lp", sum((F.col(f"l{name}") for name in terms), F.lit(0.0)))
-    seen = cells.withColumn("own", F.max(F.when(F.col("x") == F.col("_a"), F.col("lp"))).over(W.partitionBy(*key)))
-    p = seen.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("lp") <= F.col("own") + 1e-7, F.exp("lp")).otherwise(0.0))).alias("p"))
+    """Two-sided p and odds ratio of 2 x 2 tables, one row each, in one pass without a shuffle."""
+
+    @F.pandas_udf("double")
+    def p(w: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([_fisher_p(*map(int, t)) for t in zip(w, x, y, z)], dtype=float)
+
     odds = F.when(F.col(b) * F.col(c) > 0, F.col(a) * F.col(d) / (F.col(b) * F.col(c)).cast("double")).alias("odds_ratio")
-    return tables.select(*key, odds).join(p, key)
+    return tables.select(*key, odds, p(*(F.col(x).cast("long") for x in (a, b, c, d))).alias("p"))
 
 
 def shapley(values: DataFrame, players: int, mask: str = "mask", value: str = "v", empty: float = 0.5) -> DataFrame:
@@ -101,9 +120,11 @@ def _factorial(n: int) -> int:
 def permutation_test(rows: DataFrame, a: str, b: str, key: str, draws: int, seed: str = "perm") -> DataFrame:
     """(rho, p): correlation of a and b, and the share of shuffles of b with at least that |correlation|."""
     base = rows.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    reps = base.select(key, a, b, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
-    left = reps.select("r", a, F.row_number().over(W.partitionBy("r").orderBy(key)).alias("k"))
-    right = reps.select("r", b, F.row_number().over(W.partitionBy("r").orderBy(draw(F.lit(seed), F.col("r"), F.col(key)), key)).alias("k"))
-    null = left.join(right, ["r", "k"]).groupBy("r").agg(F.corr(a, b).alias("c"))
+    # ranks in the order of the keys are the same for every shuffle; only the shuffled side is ranked once per draw
+    ends = base.agg(F.min(key).cast("double").alias("_low"), F.max(key).cast("double").alias("_high"))
+    left = ranked(base.select(key, a).join(F.broadcast(ends)), [], F.col(key).cast("double"), [key], F.col("_low"), F.col("_high"), "k").select(a, "k")
+    reps = base.select(key, b, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
+    right = ranked(reps, ["r"], draw(F.lit(seed), F.col("r"), F.col(key)), [key], 0.0, float(1 << 32), "k").select("r", b, "k")
+    null = left.join(right, "k").groupBy("r").agg(F.corr(a, b).alias("c"))
     real = base.agg(F.corr(a, b).alias("rho"))
     return null.join(F.broadcast(real)).groupBy("rho").agg(F.avg((F.abs("c") >= F.abs("rho") - 1e-12).cast("double")).alias("p"))

@@ -97,25 +97,30 @@ def _dataset(spark, d, k: int = 3) -> DataFrame:
     return _matrix(spark, d).join(attrs, "window_id").join(parts, "record_id")
 
 
-_FITQ = "fr AS (SELECT window_id, record_id, x, i, CASE WHEN record_id % 3 = 0 THEN 'test' ELSE 'fit' END AS role FROM fx_windows WHERE i IN (0, 1))"
+# every sample of a window is a feature, the first one with gaps
+_FITQ = "r AS (SELECT window_id, i, CASE WHEN i = 0 AND window_id % 7 = 0 THEN NULL ELSE x END AS x, CASE WHEN record_id % 3 = 0 THEN 'test' ELSE 'fit' END AS role FROM fx_windows)"
+_SAMPLES = [f"x{i}" for i in range(64)]
 
 
-def _two(spark, d) -> DataFrame:
-    rows = fx.windows(spark, d).where("i in (0, 1)").groupBy("window_id", "record_id").pivot("i", [0, 1]).agg(F.first("x")).withColumnsRenamed({"0": "a", "1": "b"})
-    return rows.withColumns({"role": F.when(F.col("record_id") % 3 == 0, "test").otherwise("fit"), "fold": F.lit(0)}).withColumn("a", F.when(F.col("window_id") % 7 == 0, None).otherwise(F.col("a")))
+def _wide(spark, d) -> DataFrame:
+    rows = fx.windows(spark, d).groupBy("window_id", "record_id").pivot("i", list(range(64))).agg(F.first("x")).withColumnsRenamed({str(i): f"x{i}" for i in range(64)})
+    return rows.withColumns({"role": F.when(F.col("record_id") % 3 == 0, "test").otherwise("fit"), "fold": F.lit(0)}).withColumn("x0", F.when(F.col("window_id") % 7 == 0, None).otherwise(F.col("x0")))
 
 
-@query("prep_pipeline", f"""WITH {_FITQ}, r AS (SELECT window_id, role, CASE WHEN window_id % 7 = 0 THEN NULL ELSE max(x) FILTER (i = 0) END AS a, max(x) FILTER (i = 1) AS b FROM fr GROUP BY window_id, role),
-  q AS (SELECT quantile_cont(a, 0.005) AS al, quantile_cont(a, 0.5) AS am, quantile_cont(a, 0.995) AS ah, quantile_cont(b, 0.005) AS bl, quantile_cont(b, 0.5) AS bm, quantile_cont(b, 0.995) AS bh FROM r WHERE role = 'fit'),
-  c AS (SELECT window_id, role, least(greatest(coalesce(a, am), al), ah) AS a, least(greatest(coalesce(b, bm), bl), bh) AS b FROM r CROSS JOIN q), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM c WHERE role = 'fit')
-  SELECT window_id, role, round((a - ma) / (sa + 1e-6), 5) AS a, round((b - mb) / (sb + 1e-6), 5) AS b FROM c CROSS JOIN s""")
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.select("window_id", "role", F.posexplode(F.array(*_SAMPLES)).alias("i", "x")).select("window_id", "role", "i", F.round("x", 5).alias("x"))
+
+
+@query("prep_pipeline", f"""WITH {_FITQ}, q AS (SELECT i, quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.5) AS md, quantile_cont(x, 0.995) AS hi FROM r WHERE role = 'fit' GROUP BY i),
+  c AS (SELECT window_id, role, i, least(greatest(coalesce(x, md), lo), hi) AS x FROM r JOIN q USING (i)), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM c WHERE role = 'fit' GROUP BY i)
+  SELECT window_id, role, i, round((x - m) / (s + 1e-6), 5) AS x FROM c JOIN s USING (i)""")
 def prep_pipeline(spark, d):
-    return md.prep_pipeline(_two(spark, d), ["a", "b"], ["fold"]).select("window_id", "role", F.round("a", 5).alias("a"), F.round("b", 5).alias("b"))
+    return _long(md.prep_pipeline(_wide(spark, d), _SAMPLES, ["fold"]))
 
 
-@query("standardize_clip5", f"WITH {_FITQ}, r AS (SELECT window_id, role, max(x) FILTER (i = 1) AS b FROM fr GROUP BY window_id, role), s AS (SELECT avg(b) AS m, stddev_pop(b) AS s FROM r WHERE role = 'fit') SELECT window_id, role, round(least(5.0, greatest(-5.0, (b - m) / (s + 1e-6))), 5) AS b FROM r CROSS JOIN s")
+@query("standardize_clip5", f"WITH {_FITQ}, s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM r WHERE role = 'fit' GROUP BY i) SELECT window_id, role, i, round(least(5.0, greatest(-5.0, (x - m) / (s + 1e-6))), 5) AS x FROM r JOIN s USING (i)")
 def standardize_clip5(spark, d):
-    return md.standardize_clip(_two(spark, d), ["b"], ["fold"]).select("window_id", "role", F.round("b", 5).alias("b"))
+    return _long(md.standardize_clip(_wide(spark, d), _SAMPLES, ["fold"]))
 
 
 def _prepared(spark, d) -> DataFrame:
@@ -142,7 +147,15 @@ for _name, _kind in (("clf_logreg", "logreg"), ("clf_rf", "rf"), ("clf_boost", "
 
 @query("clf_stack")
 def clf_stack(spark, d):
-    """Logistic regression on the members' log-odds, fitted on validation rows, applied to test rows, per seed and fold."""
+    """Stacked classifiers per fold: members' log-odds on fit rows come from models that have not seen the row's record."""
+    rows = _prepared(spark, d)
+    preds = (md.stacked(part, FEATURES, ["logreg", "rf"], "record_id", 3, ["fold", "window_id"]) for _, part in _folds(rows))
+    return reduce(DataFrame.unionByName, preds)
+
+
+@query("ens_stack")
+def ens_stack(spark, d):
+    """Logistic regression on the variants' log-odds, fitted on validation rows, applied to test rows, per seed and fold."""
     from ..operators.safety import logit
 
     wide = fx.predictions(spark, d).groupBy("seed", "fold", "record_id", "role", "y").pivot("variant", list(fx.VARIANTS)).agg(F.first(logit(F.col("prob"))))
@@ -152,9 +165,6 @@ def clf_stack(spark, d):
     return reduce(DataFrame.unionByName, preds)
 
 
-query("ens_stack")(clf_stack)
-
-
 @query("search_val_auc")
 def search_val_auc(spark, d):
     grid = [{"reg": r} for r in (0.001, 0.03, 0.3)]

@@ -155,7 +155,7 @@ def perturb_missing(spark, d):
     return pb.missing(fx.windows(spark, d), F.col("alarm_type") == 2).select("window_id", "i", *r6("x"))
 
 
-_NB = "nb AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value AS v FROM events WHERE event_id % 2 = 0)"
+_NB = "nb AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, value AS v FROM events)"
 
 
 @query("perturb_noise_snr", f"""WITH {_NB}, b AS (SELECT channel, count(*) AS len, row_number() OVER (ORDER BY channel) - 1 AS c FROM nb GROUP BY channel HAVING count(*) >= 64),

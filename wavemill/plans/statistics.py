@@ -48,18 +48,20 @@ def cluster_bootstrap(spark, d):
     return rows.join(weights, "record_id").groupBy("b").agg(F.sum(w).alias("windows"), F.round(F.sum(F.when((F.col("prob") >= 0.5) & (F.col("y") == 1), w).otherwise(0)) / F.sum(w * F.col("y")), 6).alias("sensitivity"))
 
 
-@query("window_bootstrap_auc", f"""WITH x AS (SELECT variant, seed * 1000000000 + record_id AS win, prob, y FROM fx_oof WHERE variant = 'A' AND seed = 1), k AS (SELECT *, row_number() OVER (ORDER BY win) - 1 AS ord, count(*) OVER () AS n FROM x),
-  w AS (SELECT b, {_H.format("'boot:' || b || ':' || ord")} % n AS ord, count(*) AS weight FROM k CROSS JOIN (SELECT unnest(range(20)) AS b) GROUP BY ALL),
-  g AS (SELECT b, prob, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM w JOIN k USING (ord) GROUP BY ALL), c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM g),
-  a AS (SELECT b, sum(pos * (under + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS auc FROM c GROUP BY b HAVING sum(pos) > 0 AND sum(neg) > 0)
-  SELECT round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a""")
+@query("window_bootstrap_auc", f"""WITH k AS (SELECT variant, seed, record_id, prob, y, row_number() OVER (PARTITION BY variant, seed ORDER BY record_id) - 1 AS ord, count(*) OVER (PARTITION BY variant, seed) AS n FROM fx_oof),
+  w AS (SELECT b, variant, seed, {_H.format("'boot:' || b || ':' || variant || ':' || seed || ':' || ord")} % n AS ord, count(*) AS weight FROM k CROSS JOIN (SELECT unnest(range(20)) AS b) GROUP BY ALL),
+  g AS (SELECT b, variant, seed, prob, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM w JOIN k USING (variant, seed, ord) GROUP BY ALL), c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b, variant, seed ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM g),
+  a AS (SELECT b, variant, seed, sum(pos * (under + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS auc FROM c GROUP BY b, variant, seed HAVING sum(pos) > 0 AND sum(neg) > 0)
+  SELECT variant, seed, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a GROUP BY variant, seed""")
 def window_bootstrap_auc(spark, d):
-    rows = test_rows(spark, d).where("variant = 'A' and seed = 1").select((F.col("seed").cast("long") * 1000000000 + F.col("record_id")).alias("win"), "prob", "y")
-    drawn = rows.join(st.bootstrap_draws(rows, "win", 20), "win")
-    return st.interval(m.auc(drawn, ["b"], "weight").where("auc is not null"), [], "auc").select(*r6("mean", "low", "high"))
+    """Windows of every variant and seed are drawn anew; a seed has one window per record."""
+    by = ["variant", "seed"]
+    rows = test_rows(spark, d).select(*by, "record_id", "prob", "y")
+    drawn = rows.join(st.bootstrap_draws(rows, "record_id", 20, by), [*by, "record_id"])
+    return st.interval(m.auc(drawn, ["b", *by], "weight").where("auc is not null"), by, "auc").select(*by, *r6("mean", "low", "high"))
 
 
-@query("permutation_test", f"""WITH x AS (SELECT record_id, avg(quality) AS quality, round(avg(prob), 9) AS prob FROM fx_oof WHERE variant = 'A' AND record_id % 10 = 0 GROUP BY record_id),
+@query("permutation_test", f"""WITH x AS (SELECT record_id, avg(quality) AS quality, round(avg(prob), 9) AS prob FROM fx_oof WHERE variant = 'A' GROUP BY record_id),
   r AS (SELECT x.*, r FROM x CROSS JOIN (SELECT unnest(range(20)) AS r)), l AS (SELECT r, quality, row_number() OVER (PARTITION BY r ORDER BY record_id) AS k FROM r), s AS (SELECT r, prob, row_number() OVER (PARTITION BY r ORDER BY {_H.format("'perm:' || r || ':' || record_id")}, record_id) AS k FROM r),
   n AS (SELECT r, corr(quality, prob) AS c FROM l JOIN s USING (r, k) GROUP BY r), t AS (SELECT corr(quality, prob) AS rho FROM x) SELECT round(rho, 6) AS rho, avg((abs(c) >= abs(rho) - 1e-12)::INT) AS p FROM n CROSS JOIN t GROUP BY rho""")
 def permutation_test(spark, d):
@@ -67,26 +69,26 @@ def permutation_test(spark, d):
     return st.permutation_test(rows, "quality", "prob", "record_id", 20).select(*r6("rho"), "p")
 
 
-@query("holm", f"""WITH {_DIFFS}, q AS (SELECT variant || '-' || seed AS name, least(1.0::DOUBLE, round(abs(d) * 20, 9)) AS p FROM (SELECT b.variant, b.seed, b.f1 - a.f1 AS d FROM f b JOIN f a USING (seed, fold) WHERE a.variant = 'A' AND b.variant <> 'A' AND b.fold = 0)),
+@query("holm", f"""WITH {_DIFFS}, q AS (SELECT variant || '-' || seed || '-' || fold AS name, least(1.0::DOUBLE, round(abs(d) * 20, 9)) AS p FROM (SELECT b.variant, seed, fold, b.f1 - a.f1 AS d FROM f b JOIN f a USING (seed, fold) WHERE a.variant = 'A' AND b.variant <> 'A')),
   s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1) * p AS x FROM q) SELECT name, p, round(least(1.0, max(x) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 6) AS holm FROM s""")
 def holm(spark, d):
-    f = m.confusion(test_rows(spark, d).where("fold = 0"), FOLD).select(*FOLD, m.f1().alias("f1"))
+    f = m.confusion(test_rows(spark, d), FOLD).select(*FOLD, m.f1().alias("f1"))
     p = f.where("variant <> 'A'").join(f.where("variant = 'A'").select("seed", "fold", F.col("f1").alias("base")), ["seed", "fold"])
-    p = p.select(F.concat_ws("-", "variant", "seed").alias("name"), F.least(F.lit(1.0), F.round(F.abs(F.col("f1") - F.col("base")) * 20, 9)).alias("p"))
+    p = p.select(F.concat_ws("-", "variant", "seed", "fold").alias("name"), F.least(F.lit(1.0), F.round(F.abs(F.col("f1") - F.col("base")) * 20, 9)).alias("p"))
     return st.holm(p, [], "p", "name").withColumn("holm", F.round("holm", 6))
 
 
-_FISH = """lf AS (SELECT i, sum(ln(greatest(i, 1)::DOUBLE)) OVER (ORDER BY i) AS l FROM (SELECT unnest(range(0, 200001)) AS i)),
+_FISH = """lf AS (SELECT i, sum(ln(greatest(i, 1)::DOUBLE)) OVER (ORDER BY i) AS l FROM (SELECT unnest(range(0, (SELECT max(a + b + c + d) FROM tab)::BIGINT + 1)) AS i)),
   c AS (SELECT name, a, a + b AS r, a + c AS k, a + b + c + d AS n, unnest(generate_series(greatest(0, a + b + a + c - (a + b + c + d)), least(a + b, a + c))) AS x FROM tab),
   e AS (SELECT c.*, f1.l + f2.l + f3.l + f4.l - f5.l - f6.l - f7.l - f8.l - f9.l AS lp FROM c JOIN lf f1 ON f1.i = r JOIN lf f2 ON f2.i = n - r JOIN lf f3 ON f3.i = k JOIN lf f4 ON f4.i = n - k JOIN lf f5 ON f5.i = n JOIN lf f6 ON f6.i = x JOIN lf f7 ON f7.i = r - x JOIN lf f8 ON f8.i = k - x JOIN lf f9 ON f9.i = n - r - k + x),
   o AS (SELECT *, max(lp) FILTER (x = a) OVER (PARTITION BY name) AS own FROM e), pv AS (SELECT name, least(1.0, sum(exp(lp)) FILTER (lp <= own + 1e-7)) AS p FROM o GROUP BY name)"""
 
 
-@query("fisher_exact", f"""WITH tab AS (SELECT variant || '-' || alarm_type AS name, fn AS a, tp AS b, fp AS c, tn AS d FROM ({_conf('(SELECT * FROM fx_oof WHERE seed = 7 AND fold = 0)', 'variant, alarm_type')})), {_FISH}
+@query("fisher_exact", f"""WITH tab AS (SELECT variant || '-' || seed || '-' || fold || '-' || alarm_type AS name, fn AS a, tp AS b, fp AS c, tn AS d FROM ({_conf('fx_oof', 'variant, seed, fold, alarm_type')})), {_FISH}
   SELECT tab.name, CASE WHEN b * c > 0 THEN round(a * d / (b * c)::DOUBLE, 6) END AS odds_ratio, round(p, 6) AS p FROM tab JOIN pv USING (name)""")
 def fisher_exact(spark, d):
-    tab = m.confusion(oof(spark, d).where("seed = 7 and fold = 0"), ["variant", "alarm_type"])
-    tab = tab.select(F.concat_ws("-", "variant", "alarm_type").alias("name"), F.col("fn").alias("a"), F.col("tp").alias("b"), F.col("fp").alias("c"), F.col("tn").alias("d"))
+    tab = m.confusion(oof(spark, d), [*FOLD, "alarm_type"])
+    tab = tab.select(F.concat_ws("-", *FOLD, "alarm_type").alias("name"), F.col("fn").alias("a"), F.col("tp").alias("b"), F.col("fp").alias("c"), F.col("tn").alias("d"))
     return st.fisher_exact(tab, ["name"]).select("name", *r6("odds_ratio", "p"))
 
 
