@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from wavemill.llm import exact_dedup, ngram_join
 from wavemill.llm.graph import components
 
@@ -52,8 +53,9 @@ def _classes(rows, n, share):
     return sorted((i, len(s), root(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("words,share", [(3, 90), (5, 80), (1, 60)])
-def test_similar_classes(spark, odd, words, share):
+@pytest.mark.parametrize("words,share,hot", [(3, 90, 64), (5, 80, 1), (1, 60, 2)])
+def test_similar_classes(spark, odd, monkeypatch, words, share, hot):
+    monkeypatch.setattr(ngram_join, "HOT_GROUPS", hot)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(300)]
     common = [rng.choice(vocabulary) for _ in range(60)]
@@ -78,6 +80,37 @@ def test_similar_classes(spark, odd, words, share):
     assert got == _classes(rows, words, share)
 
 
+def test_clashing_set_keys_and_repeated_ids(spark, odd):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(r.doc_id, r.text) for r in odd.collect()] + [(50, base), (7, base + " x"), (7, "quite another text of its own"), (None, base + " y"), (None, "text without an id or copy"), (50, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "grp": F.lit(1)}).repartition(3)
+    got = ngram_join.similar_classes(docs, words=3, share=90, key_bits=2).collect()  # four keys for all sets
+    assert sorted(map(str, got)) == sorted(map(str, ngram_join.similar_classes(docs, words=3, share=90).collect()))
+    assert {r.component_id for r in got if r.n_shingles in (58, 59)} == {7}
+    kept = ngram_join.keep_one_of_each(docs, words=3, share=90, key_bits=2)
+    assert kept.columns == docs.columns
+    long_ones = sorted(((r.doc_id, r.text[:5]) for r in kept.collect() if r.text and ("w1 w2" in r.text or "of its own" in r.text or "without an id" in r.text)), key=str)
+    assert long_ones == sorted([(7, "w0 w1"), (7, "quite"), (None, "text ")], key=str)
+
+
+def test_rows_shipped_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    shipped, opened = [], ngram_join._opened
+    monkeypatch.setattr(ngram_join, "_opened", lambda rows, *rest: (shipped.append(rows.count()), opened(rows, *rest))[1])
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    rng, totals = random.Random(8), []
+    for m in (300, 1200):
+        shipped.clear()
+        rows = []
+        for i in range(m):
+            words = [f"v{k}" for k in range(240)]
+            words[rng.randrange(240)] = f"n{rng.randrange(10**6)}"
+            rows.append((i, " ".join(words)))
+        got = ngram_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert {r.component_id for r in got.collect()} == {0}
+        totals.append(sum(shipped))
+    assert totals[1] <= 5 * totals[0] and totals[1] <= 3 * 1200
+
+
 def test_keep_one_of_each(odd, nothing):
     kept = ngram_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
@@ -85,7 +118,8 @@ def test_keep_one_of_each(odd, nothing):
     assert ngram_join.keep_one_of_each(nothing).count() == ngram_join.similar_classes(nothing).count() == 0
 
 
-def test_components_chain_and_star(spark):
+@pytest.mark.parametrize("task_links", [1_000_000, 40])
+def test_components_chain_and_star(spark, task_links):
     links = [(i, i + 1) for i in range(200)] + [(500, k) for k in range(300, 400)] + [(7, 7), (900, 900), (None, 3)]
-    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long"), task_links=task_links).collect()))
     assert got == {**{i: 0 for i in range(201)}, **{k: 300 for k in [*range(300, 400), 500]}, 900: 900}

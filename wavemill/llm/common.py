@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass holds at a time; a longer single text forms a pass of its own.
 SLICE_BYTES = 2 << 20
@@ -17,13 +22,74 @@ SLICE_BYTES = 2 << 20
 BATCH_ROWS = 1024
 
 
+_ROOTS: dict[str, str] = {}  # application id -> its folder
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors share.
+
+    Where the setting is missing, a local master gets a temporary folder of its machine; on a cluster that is an error.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="wavemill-scratch-")
+        if not _ROOTS:
+            atexit.register(_clear_all)
+        _ROOTS[app] = f"{base.rstrip('/')}/wavemill-{uuid.uuid4().hex}"
+    return _ROOTS[app]
+
+
+_STAGE: list[str] | None = None  # names given while a stage runs
+_LEFT: list[str] = []  # what the stage before has left
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir (all executors share it). Sets a folder only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wavemill-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wavemill-{uuid.uuid4().hex}"
+    """A new name below the application's folder."""
+    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    if _STAGE is not None:
+        _STAGE.append(path)
+    return path
+
+
+def frees_scratch(stage):
+    """For stages whose results are written before the next one begins: the scratch tables of one stage go when the next begins."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, *args):
+        global _STAGE
+        while _LEFT:
+            _delete(spark, _LEFT.pop())
+        _STAGE = []
+        try:
+            return stage(spark, *args)
+        finally:
+            _LEFT.extend(_STAGE)
+            _STAGE = None
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application. Results not yet written are lost with them."""
+    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        _delete(spark, root)
+
+
+def _clear_all() -> None:
+    """At the end of the driver's Python: what its running session still holds goes."""
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        clear_scratch(SparkSession(context))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -31,7 +97,35 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables made by ``materialize`` that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+
+
+#: Rows of one key that a join leaves in one task, and how many keys are looked at as larger ones.
+KEY_ROWS, HOT_KEYS = 1000, 4096
+
+
+def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left") -> DataFrame:
+    """rows joined with right, which has one row per key; a key of very many rows is dealt to many tasks by ``spread``.
+
+    The HOT_KEYS most frequent keys (a bounded table, hence broadcast) get a salt per KEY_ROWS rows, at most HOT_KEYS salts;
+    right's row of such a key is repeated once per salt.
+    """
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > KEY_ROWS).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    hot = materialize(hot.select(*keys, F.least(F.ceil(F.col("_n") / F.lit(KEY_ROWS)), F.lit(HOT_KEYS)).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return rows.join(right, keys, how)
+    hot = F.broadcast(hot)
+    rows = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), "_salts"), F.lit(0)).cast("int")).drop("_salts")
+    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return rows.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,23 +188,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_BASE = 0x9E3779B97F4A7C55 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        tables = []
-        for base in (_BASE, _INVERSE):
-            factors = np.full(size, base, np.uint64)
-            factors[0] = 1
-            tables.append(np.cumprod(factors, dtype=np.uint64))
-        _POWERS[:] = tables
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), on unsigned integers."""
     h = h ^ (h >> np.uint64(30))
@@ -121,15 +198,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Longest span that is hashed by 8-byte words; longer ones get a cryptographic digest.
+WORD_SPAN = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hash of each byte span, all spans at once by one running sum."""
+    """64-bit hash of each byte span.
+
+    Spans of at most WORD_SPAN bytes are folded 8 bytes at a time, all spans at once, each step a bijection of the state;
+    of longer ones BLAKE2b is taken. No sum or product over positions is involved, so no pair of spans collides by its form.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=running[1:])
-    h = (running[ends] - running[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ascontiguousarray(np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,)))  # the 8 bytes from each position
+    h = mix((words[starts] & _KEEP[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    left = np.flatnonzero((size > 8) & (size <= WORD_SPAN))
+    at = 8
+    while len(left):
+        h[left] = mix((h[left] * np.uint64(0x9FB21C651E98DF25)) ^ (words[starts[left] + at] & _KEEP[np.minimum(size[left] - at, 8)]))
+        at += 8
+        left = left[size[left] > at]
+    far = np.flatnonzero(size > WORD_SPAN)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        made = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[far].tolist(), ends[far].tolist()))
+        h[far] = np.frombuffer(made, "<u8")
+    return h
 
 
 def flat_gather(first: np.ndarray, count: np.ndarray) -> np.ndarray:
