@@ -3,9 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 from wavemill.llm import queries, sentencepiece_codec, token_files
+from wavemill.llm.chunk_table import ChunkTable, corpus_table
+from wavemill.llm.common import span_hashes, text_slices, word_bounds
 
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -60,15 +64,26 @@ def test_token_files_prune(spark, sf, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().toString()
 
 
-def test_small_tables_give_the_same(odd):
-    from wavemill.llm.chunk_table import ChunkTable
-    from wavemill.llm.common import text_slices, word_bounds
-    import pyarrow as pa
-
+@pytest.mark.parametrize("bits", [0, 61])  # 61: three bits of hash are left, most chunks meet another's hash
+def test_small_tables_and_weak_hashes_give_the_same(odd, bits):
     column = pa.array([r.text for r in odd.collect()], pa.string())
-    whole, small = (ChunkTable(lambda c: [list(x.encode()) for x in c], lambda c, ids: c, limit=limit) for limit in (1000, 12))
+    weak = lambda data, a, b: span_hashes(data, a, b) >> np.uint64(bits)
+    encode, given = lambda c: [list(x.encode()) for x in c], ([b"word", b"lorem"], [list(b"word"), list(b"lorem")], ["word", "lorem"])
+    whole = ChunkTable(encode, lambda c, ids: c, limit=1000)
+    small = ChunkTable(encode, lambda c, ids: c, limit=12, hashes=weak, given=given)
     for _, _, data, offsets in text_slices(column, 40):
         starts, ends, _ = word_bounds(data, offsets)
         a, b = (t.look_up(data, starts, ends) for t in (whole, small))
         assert (whole.gather(a)[0] == small.gather(b)[0]).all()
-        assert [whole.decimals[k] for k in a] == [small.decimals[k] for k in b]
+        assert [whole.decimals[k] for k in a] == [small.decimals[k] for k in b] and [whole.extras[k] for k in a] == [small.extras[k] for k in b]
+        assert [whole.raw[k] for k in a] == [data.tobytes()[x:y] for x, y in zip(starts, ends)]
+
+
+@pytest.mark.parametrize("limit", [0, 3, 50])
+def test_corpus_table_is_bounded_and_gives_the_same(odd, limit):
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    got = sorted(map(tuple, sentencepiece_codec.encode(odd.select("doc_id", "text"), outputs=outputs, table_chunks=limit).collect()))
+    assert got == sorted((r.doc_id, *_sp(r.text)) for r in odd.collect())
+    if limit:
+        made = corpus_table(odd.select("text"), sentencepiece_codec._cuts, lambda chunks: [([1], c) for c in chunks], limit).collect()
+        assert 0 < len(made) <= limit and len({r.chunk for r in made}) == len(made)

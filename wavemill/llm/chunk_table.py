@@ -1,96 +1,180 @@
 """Distinct-chunk tables: a text is cut where tokens cannot cross, each distinct chunk is encoded once, ids are joined back by position.
 
-The cut makes encoding a text equal to encoding its chunks one by one. A task hashes all chunk spans of a slice at
-once, encodes those its table does not hold yet, and gathers the ids of every position from the table. A Python worker
-keeps its table from task to task. The table is bounded: when it is full, chunks that were met once leave, so memory
-does not follow the corpus's vocabulary, no token row is shuffled and a lost task just runs again.
+The cut makes encoding a text equal to encoding its chunks one by one. ``corpus_table`` counts the chunks of the whole
+corpus, encodes each distinct one that comes often enough once, in one Spark job, and sends that table to the tasks: at
+most ``limit`` chunks can occur a ``limit``-th of all times or more, so the table is bounded at any corpus size. Rarer
+chunks are encoded where they stand, once per slice or while the task's own part of the table holds them: sending each of
+their positions through a join would move the corpus, not its vocabulary.
+
+A lookup goes by a 64-bit hash and is then checked by the bytes, so chunks whose hashes meet get their own ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import flat_gather, span_hashes
+from .common import flat_gather, materialize, span_hashes, text_slices
 
-#: Distinct chunks that one Python worker keeps, about 200 bytes each, and chunks encoded in one call.
+#: Distinct chunks that one Python worker keeps of its own, about 200 bytes each, and chunks encoded in one call.
 TABLE_CHUNKS, CALL_CHUNKS = 400_000, 4096
+#: Most chunks of a corpus table.
+CORPUS_CHUNKS = 1 << 18
 
 
 class ChunkTable:
     """encode: list of chunk strings -> list of id lists. extra: (chunk string, ids) -> a string kept beside them."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], extra: Callable[[str, list[int]], str] | None = None, limit: int = TABLE_CHUNKS):
-        self.encode, self.extra, self.limit = encode, extra, limit
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(
+        self, encode: Callable[[list[str]], list[list[int]]], extra: Callable[[str, list[int]], str] | None = None, limit: int = TABLE_CHUNKS, hashes: Callable = span_hashes,
+        given: tuple[list[bytes], list[list[int]], list[str]] | None = None,
+    ):
+        self.encode, self.extra, self.limit, self.hashes = encode, extra, limit, hashes
         self.place: dict[int, int] = {}
+        self.odd: dict[bytes, int] = {}  # chunks whose hash belongs to another one
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.met = np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.used = self.size = 0
+        self.raw: list[bytes] = []
         self.extras: list[str] = []
         self.decimals: list[str] = []
+        if given and given[0]:
+            raw, encoded, extras = given
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            keys = self.hashes(data, np.concatenate(([0], ends[:-1])), ends).tolist()
+            for row, (key, chunk) in enumerate(zip(keys, raw)):
+                if self.place.setdefault(key, row) != row:
+                    self.odd[chunk] = row
+            self._append(list(raw), encoded, list(extras))
+        self.fixed = self.size, self.used, dict(self.place), dict(self.odd)
 
-    def _shrink(self) -> None:
-        """Keep the chunks that came in more than one slice, unless they are most of the table."""
-        n = len(self.place)
-        stay = np.flatnonzero(self.met[:n] > 1)
-        if len(stay) > self.limit // 2:
-            self.clear()
-            return
-        ids, counts = self.gather(stay)
-        keys = list(self.place)
-        self.place = {keys[k]: i for i, k in enumerate(stay.tolist())}
-        self.ids[: len(ids)] = ids
-        self.used = len(ids)
-        self.first[: len(stay)], self.count[: len(stay)], self.met[: len(stay)] = np.cumsum(counts) - counts, counts, 1
-        self.met[len(stay) :] = 0
-        if self.extra:
-            self.extras, self.decimals = ([old[k] for k in stay.tolist()] for old in (self.extras, self.decimals))
+    def clear(self) -> None:
+        """Back to the given chunks."""
+        self.size, self.used = self.fixed[:2]
+        self.place, self.odd = dict(self.fixed[2]), dict(self.fixed[3])
+        for x in (self.raw, self.extras, self.decimals):
+            del x[self.size :]
 
-    def _add(self, keys: list[int], chunks: list[str]) -> None:
-        encoded = self.encode(chunks)
+    def _append(self, raw: list[bytes], encoded: list[list[int]], extras: list[str] | None) -> None:
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))
-        n = len(self.place)
+        n, more = self.size, len(raw)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while n + len(keys) > len(self.first):
-            self.first, self.count, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count, self.met))
+        while n + more > len(self.first):
+            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.first[n : n + len(keys)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(keys)] = counts
+        self.first[n : n + more] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + more] = counts
         self.used += len(flat)
-        self.place.update(zip(keys, range(n, n + len(keys))))
+        self.size += more
+        self.raw += raw
         if self.extra:
-            self.extras += [self.extra(c, ids) for c, ids in zip(chunks, encoded)]
+            self.extras += extras
             self.decimals += [" ".join(map(str, ids)) for ids in encoded]
 
+    def _add(self, raw: list[bytes]) -> range:
+        """New rows for the chunks."""
+        begin = self.size
+        for i in range(0, len(raw), CALL_CHUNKS):
+            part = raw[i : i + CALL_CHUNKS]
+            chunks = [c.decode("utf-8", "replace") for c in part]
+            encoded = self.encode(chunks)
+            self._append(part, encoded, [self.extra(c, ids) for c, ids in zip(chunks, encoded)] if self.extra else None)
+        return range(begin, self.size)
+
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row for each chunk span of the slice."""
-        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+        codes, distinct = pd.factorize(self.hashes(data, starts, ends))
         keys = distinct.tolist()
-        if len(self.place) + len(keys) > self.limit:
-            self._shrink()
+        if self.size - self.fixed[0] + len(keys) > self.limit:
+            self.clear()
+        where = np.empty(len(keys), np.int64)
+        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # first place of each distinct hash
+        text = data.tobytes()
+        chunks = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
         new = [k for k, h in enumerate(keys) if h not in self.place]
-        if new:
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes))[::-1]  # first place of each distinct chunk
-            raw, at = data.tobytes(), where[new]
-            spans = list(zip(starts[at].tolist(), ends[at].tolist()))
-            for i in range(0, len(new), CALL_CHUNKS):
-                self._add([keys[k] for k in new[i : i + CALL_CHUNKS]], [raw[a:b].decode("utf-8", "replace") for a, b in spans[i : i + CALL_CHUNKS]])
+        self.place.update(zip([keys[k] for k in new], self._add([chunks[k] for k in new])))
         rows = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        self.met[rows] += 1
-        return rows[codes]
+        # the bytes decide: first each hash's first chunk against the table's, then every chunk against the first one
+        raw = self.raw
+        wrong = [k for k, (r, c) in enumerate(zip(rows.tolist(), chunks)) if raw[r] != c]
+        if wrong:
+            rows[wrong] = self._odd_rows([chunks[k] for k in wrong])
+        out = rows[codes]
+        size, model = ends - starts, where[codes]
+        apart = size != size[model]
+        check = np.flatnonzero((size > 8) & ~apart) if self.hashes is span_hashes else np.flatnonzero(~apart)  # up to 8 bytes the hash is a bijection
+        if len(check):
+            n = size[check]
+            same = data[flat_gather(starts[check], n)] == data[flat_gather(starts[model[check]], n)]
+            if not same.all():
+                apart[check] |= np.add.reduceat(same, np.cumsum(n) - n) != n if (n > 0).all() else [text[a : a + k] != text[b : b + k] for a, b, k in zip(starts[check], starts[model[check]], n)]
+        apart = np.flatnonzero(apart)
+        if len(apart):
+            out[apart] = self._odd_rows([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist())])
+        return out
+
+    def _odd_rows(self, chunks: list[bytes]) -> list[int]:
+        new = list(dict.fromkeys(c for c in chunks if c not in self.odd))
+        self.odd.update(zip(new, self._add(new)))
+        return [self.odd[c] for c in chunks]
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the given table rows in order, and how many each has."""
         counts = self.count[rows]
         return self.ids[flat_gather(self.first[rows], counts)], counts
+
+
+def _count_chunks(cut: Callable):
+    """Distinct chunks of a task's texts with how often they come; sent on whenever very many are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["chunk", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column(0)):
+                starts, ends, _ = cut(data, offsets)
+                codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+                where = np.empty(len(distinct), np.int64)
+                where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+                text = data.tobytes()
+                # a count only chooses what the table holds, so hashes may stand for chunks here
+                for a, b, n in zip(starts[where].tolist(), ends[where].tolist(), np.bincount(codes, minlength=len(distinct)).tolist()):
+                    chunk = text[a:b]
+                    held[chunk] = held.get(chunk, 0) + n
+                if len(held) > TABLE_CHUNKS:
+                    yield flush()
+        yield flush()
+
+    return run
+
+
+def corpus_table(texts: DataFrame, cut: Callable, encode: Callable, limit: int = CORPUS_CHUNKS) -> DataFrame:
+    """(chunk, ids, extra) of the distinct chunks with at least two and a ``limit``-th of all occurrences: at most ``limit`` rows.
+
+    texts has one string column; cut gives chunk starts and ends of a slice; encode maps chunk strings to (ids, extra) pairs.
+    """
+    counts = materialize(texts.mapInArrow(_count_chunks(cut), "chunk binary, n long").groupBy("chunk").agg(F.sum("n").alias("n")).where("n > 1"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = encode([c.decode("utf-8", "replace") for c in batch.column(0).to_pylist()])
+            yield pa.record_batch([batch.column(0), pa.array([p[0] for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.string())], ["chunk", "ids", "extra"])
+
+    often = counts.where(F.col("n") >= max(2, total / limit)).select("chunk")
+    return materialize(often.mapInArrow(run, "chunk binary, ids array<int>, extra string"))

@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a distinct-chunk table.
 
 Pieces of the model never run from a character into a following white space mark, so a text may be cut before every
-run of marks. Each distinct marked word is segmented once per table and its ids are joined back by position.
-The result is what the library gives for the whole text, the end id appended, and its decode() of those ids.
+run of marks. The distinct marked words of the whole corpus are counted, each one that comes often enough is segmented
+once (``chunk_table.corpus_table``, a bounded table that is sent to the tasks), and ids are joined back by position.
+Rarer words are segmented where they stand. The result is what the library gives for the whole text, the end id
+appended, and its decode() of those ids.
 
 Null text counts as empty: only the end id, decoded to "". Very long texts form a slice of their own. The mark itself
 (U+2581) in a text is handled as the library does: it decodes to a space. Repeated rows give repeated results; extra
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_table import ChunkTable
-from .common import small_batches, text_slices
+from .chunk_table import CORPUS_CHUNKS, ChunkTable, corpus_table
+from .common import discard, small_batches, text_slices
 
 DEFAULT_MODEL = "piece_bpe_32k.model"
 _LOADED: dict[str, tuple] = {}
-_TABLES: dict[str, ChunkTable] = {}
+_TABLES: dict[tuple, ChunkTable] = {}
 
 
 def _model(path: str):
@@ -42,13 +44,27 @@ def _model(path: str):
     return _LOADED[path]
 
 
-def _table(path: str) -> ChunkTable:
-    """The worker's table for a model, kept between tasks."""
-    if path not in _TABLES:
-        sp, lone = _model(path)
-        encode = lambda chunks: [ids if c else [lone] for c, ids in zip(chunks, sp.encode(chunks, num_threads=1))]
-        _TABLES[path] = ChunkTable(encode, lambda chunk, ids: sp.decode(ids))
-    return _TABLES[path]
+def _segmenter(path: str):
+    sp, lone = _model(path)
+    return sp, lambda chunks: [ids if c else [lone] for c, ids in zip(chunks, sp.encode(chunks, num_threads=1))]
+
+
+def _table(path: str, given) -> ChunkTable:
+    """The worker's table for a model and a corpus table (a broadcast of its rows, or None), kept between tasks."""
+    key = path, given and given.value[0]
+    if key not in _TABLES:
+        _TABLES.clear()
+        sp, encode = _segmenter(path)
+        _TABLES[key] = ChunkTable(encode, lambda chunk, ids: sp.decode(ids), given=given and given.value[1:])
+    return _TABLES[key]
+
+
+def _encode_pairs(path: str):
+    def run(chunks: list[str]) -> list[tuple[list[int], str]]:
+        sp, encode = _segmenter(path)
+        return [(ids, sp.decode(ids)) for ids in encode(chunks)]
+
+    return run
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +88,10 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts + led, ends, np.searchsorted(starts, offsets)
 
 
-def _coder(model_path: str, outputs: tuple[str, ...]):
+def _coder(model_path: str, outputs: tuple[str, ...], given=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp, _ = _model(model_path)
-        end, table = sp.eos_id(), _table(model_path)
+        end, table = sp.eos_id(), _table(model_path, given)
         for batch in batches:
             made: dict[str, list] = {name: [] for name in outputs}
             for i, j, data, offsets in text_slices(batch.column(0)):
@@ -117,12 +133,24 @@ def _coder(model_path: str, outputs: tuple[str, ...]):
 _TYPES = {"n_tokens": "long", "ids": "array<int>", "text": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, outputs: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
-    """The columns of docs (but the text) plus the wanted of ids, n_tokens, text (decoded), ids_sha256, decoded_sha256."""
-    small_batches(docs.sparkSession)
+def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = None, outputs: tuple[str, ...] = ("ids", "n_tokens"), table_chunks: int = CORPUS_CHUNKS) -> DataFrame:
+    """The columns of docs (but the text) plus the wanted of ids, n_tokens, text (decoded), ids_sha256, decoded_sha256.
+
+    table_chunks bounds the corpus table; with 0 every task segments for itself and the texts are read once.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = model_path or public_tokenizers.path(DEFAULT_MODEL)
     kept = [c for c in docs.columns if c != text_col and c not in outputs]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"{name} {_TYPES[name]}" for name in outputs])
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(f"`{c}`") for c in kept)).mapInArrow(_coder(model_path or public_tokenizers.path(DEFAULT_MODEL), outputs), schema)
+    text, given = F.col(f"`{text_col}`").cast("string").alias("_text"), None
+    if table_chunks:
+        made = corpus_table(docs.select(text), _cuts, _encode_pairs(path), table_chunks)
+        rows = made.toArrow()  # table_chunks rows at most
+        chunks, ids, extras = (rows.column(k).to_pylist() for k in range(3))
+        given = spark.sparkContext.broadcast((made._scratch, chunks, ids, extras))
+        discard(made)
+    return docs.select(text, *(F.col(f"`{c}`") for c in kept)).mapInArrow(_coder(path, outputs, given), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model_path: str | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ and rows are written in ascending document order by a range partitioning: one fi
 parallel and a lookup by id is pruned by stripe statistics, row indexes and Bloom filters. The cumulative start of
 each document comes from per-file counts, not from one ordered task.
 
-Null text counts as empty (only the end id). Rows without an id sort first. Repeated ids keep an order given by their
-text's ids. Empty input gives empty files. Extra columns are not written.
+Null text counts as empty (only the end id). Rows without an id sort first. Rows of one id are in the order of their
+texts; each stored row has its number in the file, which is what starts follow. Empty input gives empty files. Extra
+columns are not written, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -46,10 +47,26 @@ def _table(path: str) -> ChunkTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        _check(tokenizer)
         _TABLES[path] = ChunkTable(lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], limit=TABLE_PIECES)
     return _TABLES[path]
 
 
+# Texts whose tokens show whether a tokenizer keeps to the cuts of ``pieces``.
+_PROBES = ("It's 12a3 (x,y)=z, don't; O'Neil", " a  b\tc\n d ", "é,É. 漢字 a漢1 '' 's x'y'z", "<|endoftext|>a <|b|> <|", "A.B.C. 1,000.50 #tag @me a_b-c")
+
+
+def _check(tokenizer) -> None:
+    """Encoding whole texts must equal encoding their pieces."""
+    for text in _PROBES:
+        column = pa.array([text], pa.string())
+        for _, _, data, offsets in text_slices(column):
+            data, starts, ends, _ = pieces(data, offsets)
+            parts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
+            if [i for p in parts for i in tokenizer.encode(p, add_special_tokens=False).ids] != tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("tokens of this tokenizer cross the places where texts are cut")
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes to encode, starts and ends of the pieces, and each text's first piece.
 
@@ -82,7 +99,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        table, row = _table(path), 0
         for batch in batches:
             lists = []
             for i, j, data, offsets in text_slices(batch.column(1)):
@@ -92,16 +109,18 @@ def _encoder(path: str, end_id: int):
                 flat = np.insert(flat, counts[1:], end_id)
                 lists.append(pa.ListArray.from_arrays(pa.array((counts + np.arange(j - i + 1)).astype(np.int32)), pa.array(flat, pa.int32())))
             ids = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+            numbers = pa.array(np.arange(row, row + len(batch)))
+            row += len(batch)
+            yield pa.record_batch([batch.column(0), pc.cast(pc.list_value_length(ids), pa.int64()), ids, numbers], ["doc_id", "n_tokens", "ids", "row"])
 
     return run
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:
-    """doc_id, n_tokens, ids (the tokenizer's ids without its special ones, then end_id)."""
+    """doc_id, n_tokens, ids (the tokenizer's ids without its special ones, then end_id), row (place within its partition)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(tokenizer_path or public_tokenizers.path(DEFAULT_TOKENIZER), end_id), "doc_id long, n_tokens long, ids array<int>")
+    return rows.mapInArrow(_encoder(tokenizer_path or public_tokenizers.path(DEFAULT_TOKENIZER), end_id), "doc_id long, n_tokens long, ids array<int>, row long")
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1) -> None:
@@ -117,8 +136,8 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids of all files; filters on doc_id are pushed to stripes and Bloom filters."""
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>").orc(path)
+    """doc_id, n_tokens, ids, row (place in its file) of all files; filters on doc_id are pushed to stripes and Bloom filters."""
+    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, row long").orc(path)
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +145,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(2)
         flat, bounds = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy().tolist()  # offsets count from the start of values
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-        yield pa.record_batch([batch.column(0), pc.list_value_length(ids).cast(pa.int64()), pa.array(crc, pa.int64()), batch.column(3)], ["doc_id", "n_tokens", "ids_crc32", "file"])
+        yield pa.record_batch([batch.column(0), pc.list_value_length(ids).cast(pa.int64()), pa.array(crc, pa.int64()), *batch.columns[3:]], ["doc_id", "n_tokens", "ids_crc32", "row", "file"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -136,12 +155,13 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     each file's first position and a running sum inside each file the rest.
     """
     small_batches(spark)
-    rows = read_token_files(spark, path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = rows.mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, file string")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    before = W.orderBy(F.col("low").asc_nulls_first(), "high", "file").rowsBetween(W.unboundedPreceding, -1)
+    stored, file = read_token_files(spark, path), F.col("_metadata.file_name").alias("file")
+    # the sums read two narrow columns only; ids are read once, for their digests
+    files = stored.select("doc_id", "n_tokens", file).groupBy("file").agg(F.sum("n_tokens").alias("in_file"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    before = W.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "file").rowsBetween(W.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("before"))
-    inside = W.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(W.unboundedPreceding, -1)
+    rows = stored.select("doc_id", "n_tokens", "ids", "row", file).mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, row long, file string")
+    inside = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(files, "file")
     return rows.select("doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
