@@ -50,8 +50,8 @@ def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_ledger.secrets_by_row(table(spark, sf_dir, "documents"))
-    # the three base rules are all rules, so the base spans are all spans
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    base = F.array_join(F.filter(F.split("spans", ","), lambda span: span.rlike("^(assign|access|hex):")), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), "spans")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,42 @@ QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec,
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
+# Kinds in their order, patterns, capture group that is measured, fewest characters.
+SECRET_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    ("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
+    ("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20),
+    ("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
+    ("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
+)
+
+
+def _secrets_sql() -> str:
+    quoted = [(kind, pattern.replace("'", "''"), group, least) for kind, pattern, group, least in SECRET_KINDS]
+    cut = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS place, '{kind}' AS kind, {least} AS least_, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern.replace('([', '(?:[') if group else pattern}') AS gaps, "
+        f"regexp_extract_all(t, '{pattern}', {group}) AS measured FROM d"
+        for k, (kind, pattern, group, least) in enumerate(quoted)
+    )
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        cut AS ({cut}),
+        laid AS (SELECT doc_id, kind, place, least_, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(measured) AS said, unnest(range(len(hits))) AS nr FROM cut WHERE len(hits) > 0),
+        spans AS (SELECT doc_id, kind, place, hit, said, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS e, least_ FROM laid),
+        good AS (SELECT doc_id, kind, place, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM spans WHERE length(said) >= least_),
+        said AS (
+          SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base,
+            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM good GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN said USING (doc_id)
+    """
+
+
 ORACLES = {
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -70,11 +106,13 @@ ORACLES = {
     """,
     "op4_source_mixing": r"""
         WITH d AS (
-          SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-            strlen(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS width FROM documents),
+          SELECT doc_id, source, len(w) AS size, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]') AND NOT regexp_matches(x, '[0-9]'))) AS plain,
+            len(list_distinct(w)) AS differ, strlen(array_to_string(w, '')) AS width
+          FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
         k AS (
           SELECT *, -ln((CAST('0x' || substr(md5('17:' || doc_id), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
-            / (1::DOUBLE / (1::DOUBLE + abs(width::DOUBLE / greatest(size, 1) - 6::DOUBLE))) AS key FROM d),
+            / greatest(1e-6::DOUBLE, 1::DOUBLE / (1::DOUBLE + abs(width::DOUBLE / greatest(size, 1) - 6::DOUBLE))
+              * (0.1::DOUBLE + plain::DOUBLE / greatest(size, 1)) * (0.1::DOUBLE + differ::DOUBLE / greatest(size, 1))) AS key FROM d),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
         f AS (
@@ -102,28 +140,7 @@ ORACLES = {
         SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.m, v.vec_id) AS component_id, coalesce(c.m, v.vec_id) = v.vec_id AS kept
         FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id LEFT JOIN (SELECT node, min(seen) AS m FROM reach GROUP BY node) c ON c.node = v.vec_id
     """,
-    "op9_secret_ledger": r"""
-        WITH RECURSIVE p(kind, place, pattern, least_) AS (VALUES
-          ('assign', 0, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
-          ('access', 1, 'AKIA[A-Z0-9]+', 18), ('hex', 2, '[0-9a-f]+', 16)),
-        cut AS (
-          SELECT doc_id, kind, place, least_, CASE place WHEN 0 THEN regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
-              WHEN 1 THEN regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') END AS hits,
-            CASE place WHEN 0 THEN string_split_regex(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
-              WHEN 1 THEN string_split_regex(coalesce(text, ''), 'AKIA[A-Z0-9]+') ELSE string_split_regex(coalesce(text, ''), '[0-9a-f]+') END AS gaps
-          FROM documents CROSS JOIN p),
-        laid AS (SELECT doc_id, kind, place, least_, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS nr FROM cut WHERE len(hits) > 0),
-        spans AS (
-          SELECT doc_id, kind, place, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS e, least_ FROM laid),
-        good AS (
-          SELECT doc_id, kind, place, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM spans
-          WHERE length(CASE WHEN place = 0 THEN regexp_extract(hit, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE hit END) >= least_),
-        said AS (
-          SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
-            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM good GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-        FROM documents d LEFT JOIN said USING (doc_id)
-    """,
+    "op9_secret_ledger": _secrets_sql(),
     "op3_ngram_jaccard": r"""
         WITH RECURSIVE words AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

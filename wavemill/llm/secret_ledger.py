@@ -10,7 +10,11 @@ Matches are leftmost and non-overlapping per rule; a match shorter than the rule
 Positions are code points, end exclusive: the pieces between matches and the matches are laid end to end. Running
 sums are windows over the matches of one text, so a text with very many matches needs no growing array.
 
-Null text counts as empty. Repeated rows get the findings of their text each; only the id and text columns are used.
+The registered query starts from an empty ledger; a caller that names a folder scans only what is new in it.
+
+Null text counts as empty, a null id is kept. Repeated rows get the findings of their text each, rows of one id and
+different texts those of their own. Very long texts are matched whole. An empty table gives an empty result. Only the id
+and text columns are used, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import join_hot, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,16 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA"),
     Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
 )
+# Further rules, same form; their order follows that of the first ones.
+MORE_RULES = (
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30, r"PRIVATE KEY"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ"),
+    Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40, r"gh[oprsu]_"),
+    Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20, r"xox"),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, r"AIza"),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24, r"k_live_"),
+)
+ALL_RULES = RULES + MORE_RULES
 FINDINGS = "blob string, rule string, rule_version int, start long, end long"
 SCANNED = "blob string, rule string, rule_version int"
 
@@ -68,22 +82,25 @@ def matches(texts: DataFrame, rule: Rule) -> DataFrame:
     return hit.select("blob", F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("rule_version"), (F.col("end") - F.length("hit")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger up to date; returns (id, blob) of every row. The ledger folder must be shared by all executors."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
+    """Bring the ledger up to date; returns (id, blob, may: some rule can match) of every row. The ledger folder must be shared by all executors."""
+    spark, batch = docs.sparkSession, scratch_dir(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    may = F.col("text").rlike("|".join(r.hint for r in rules))  # some rule can match
+    texts.select("id", F.sha2("text", 256).alias("blob"), may.alias("may")).write.parquet(f"{batch}/rows")
+    rows = spark.read.parquet(f"{batch}/rows")
     scanned = _read(docs, f"{ledger}/scanned", SCANNED)
     known = scanned.where(" or ".join(f"(rule = '{r.name}' and rule_version = {r.version})" for r in rules)).groupBy("blob").agg(F.collect_set("rule").alias("done"))
     # one carrier row per blob, counted before anything is shuffled; blobs with all rules done leave here
-    carriers = rows.groupBy("blob").agg(F.min("id").alias("carrier")).join(known, "blob", "left")
-    carriers = carriers.where(F.coalesce(F.size("done"), F.lit(0)) < len(rules)).select("blob", "carrier", F.coalesce("done", F.array().cast("array<string>")).alias("done"))
-    batch = scratch_dir(docs.sparkSession)
+    carriers = rows.groupBy("blob").agg(F.min("id").alias("carrier"), F.max("may").alias("may")).join(known, "blob", "left")
+    carriers = carriers.where(F.coalesce(F.size("done"), F.lit(0)) < len(rules)).select("blob", "carrier", "may", F.coalesce("done", F.array().cast("array<string>")).alias("done"))
     carriers.write.parquet(f"{batch}/unseen")
-    unseen = docs.sparkSession.read.parquet(f"{batch}/unseen")
-    on = rows["id"].eqNullSafe(unseen["carrier"]) & (rows["blob"] == unseen["blob"])
-    texts = rows.join(unseen.hint("shuffle_hash"), on).select(rows["blob"], "text", "done")
+    unseen = spark.read.parquet(f"{batch}/unseen")
     # only texts in which some rule can match go on; they are few and are written once for all rules
-    texts.where(F.col("text").rlike("|".join(r.hint for r in rules))).write.parquet(f"{batch}/candidates")
-    candidates = docs.sparkSession.read.parquet(f"{batch}/candidates").dropDuplicates(["blob"])
+    wanted = unseen.where("may").select("blob", "carrier", "done")
+    found = texts.where(may).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("carrier"))).where(F.sha2("text", 256) == F.col("blob"))
+    found.select("blob", "text", "done").write.parquet(f"{batch}/candidates")
+    candidates = spark.read.parquet(f"{batch}/candidates").dropDuplicates(["blob"])
     found = None
     for rule in rules:
         one = matches(candidates.where(~F.array_contains("done", rule.name)).select("blob", "text"), rule)
@@ -93,16 +110,16 @@ def scan(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "
     pairs = unseen.select("blob", F.explode(F.array_except(F.array(*(F.lit(r.name) for r in rules)), "done")).alias("rule"))
     version = F.element_at(F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(r.version)))), F.col("rule"))
     pairs.select("blob", "rule", version.alias("rule_version")).write.mode("append").parquet(f"{ledger}/scanned")
-    return rows.select("id", "blob")
+    return rows
 
 
-def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
     """(blob, rule, start, end) of the rules' current versions, each once."""
     current = " or ".join(f"(rule = '{r.name}' and rule_version = {r.version})" for r in rules)
     return _read(docs, f"{ledger}/findings", FINDINGS).where(current).select("blob", "rule", "start", "end").distinct()
 
 
-def secrets_by_row(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def secrets_by_row(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = ALL_RULES) -> DataFrame:
     """One row per input row: id, n_<rule> of each rule, spans (kind:start:end by start, then rule order, comma-joined)."""
     ledger = ledger or scratch_dir(docs.sparkSession)
     rows = scan(docs, ledger, id_col, text_col, rules)
@@ -112,5 +129,6 @@ def secrets_by_row(docs: DataFrame, ledger: str | None = None, id_col: str = "do
         *(F.count_if(F.col("rule") == r.name).alias(f"n_{r.name}") for r in rules),
         F.array_join(F.transform(F.sort_array(F.collect_list(span)), lambda s: s["said"]), ",").alias("spans"),
     )
-    out = rows.join(per_blob, "blob", "left")
+    # rows that no rule can match look up nothing; copies of one blob may be a third of the others
+    out = join_hot(rows.where("may"), per_blob, ["blob"], F.col("id")).unionByName(rows.where("not may"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), *(F.coalesce(f"n_{r.name}", F.lit(0)).cast("long").alias(f"n_{r.name}") for r in rules), F.coalesce("spans", F.lit("")).alias("spans"))
