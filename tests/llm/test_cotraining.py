@@ -19,6 +19,39 @@ def test_held_out_accuracy(spark):
     assert (rows.loc[rows["quality"] == 1, "score"] >= 0.5).mean() > 0.96
 
 
+def test_exchange_teaches_from_few_labels(spark):
+    docs, labels = _docs(spark, "/root/testdata/sf0.01")
+    few = labels.where("doc_id % 6 = 1")
+    loss = {}
+    for rounds in (0, 3):
+        model = cotraining.fit_quality(docs, few, rounds=rounds)
+        rows = cotraining.score_quality(docs, model, keep=["doc_id"]).join(labels.where("doc_id % 6 <> 1"), "doc_id").toPandas()
+        p = rows["p_metadata"].clip(1e-6, 1 - 1e-6)
+        loss[rounds] = -np.mean(np.where(rows["quality"] == 1, np.log(p), np.log(1 - p))), rows["p_metadata"].to_numpy()
+    assert not np.allclose(loss[0][1], loss[3][1])  # what the other view has told changes the scores
+    assert loss[3][0] < loss[0][0] + 0.02
+
+
+def test_score_of_single_documents(spark, odd):
+    """The scoring pass against the formula, word by word, for every odd text (repeated rows and ties included)."""
+    rng = np.random.default_rng(2)
+    views = tuple(cotraining.View(rng.normal(size=n), 0.3, 0.7, -0.2) for n in (cotraining.CONTENT, cotraining.METADATA))
+    got = cotraining.score_quality(odd.withColumn("lang", F.col("source")), cotraining.Quality(views, 0.5), keep=["doc_id", "text", "source"]).collect()
+    assert len(got) == odd.count()
+    import pyarrow as pa
+
+    for r in got:
+        x, m = cotraining._features(pa.record_batch([pa.array([c], pa.string()) for c in (r.text, r.source, r.source)], ["t", "l", "s"]))
+        odds = [0.7 * (sum(a * b for a, b in zip(f[0], v.weights)) + 0.3) - 0.2 for f, v in zip((x, m), views)]
+        for name, z in (("p_content", odds[0]), ("p_metadata", odds[1]), ("score", sum(odds) / 2)):
+            assert abs(r[name] - 1 / (1 + np.exp(-z))) < 1e-9
+        words = [w for w in (r.text or "").replace("\x0b", " ").split(" ") if w] if r.text and r.text.isascii() and "\n" not in r.text and "\t" not in r.text else None
+        if words:  # two figures by hand: the share of words equal to the one before, and of different words
+            low = [w.lower() for w in words]
+            assert abs(x[0][cotraining.LEXICAL] - sum(a == b for a, b in zip(low, low[1:])) / len(low)) < 1e-9
+            assert abs(x[0][cotraining.LEXICAL + 1] - len(set(low)) / len(low)) < 1e-9
+
+
 def test_features_equal_one_by_one(spark, odd):
     import pyarrow as pa
 
