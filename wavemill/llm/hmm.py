@@ -37,7 +37,7 @@ SYMBOLS, COUNTED = 1 << 15, 1 << 21
 CLASSES = 1 << 11
 ADD = 0.1
 #: Texts that run through the recursions side by side, tokens of such a group, and tokens gathered before a run.
-LANES, LANE_TOKENS, GATHER = 1024, 1_500_000, 2_000_000
+LANES, LANE_TOKENS, GATHER = 2048, 1_000_000, 6_000_000
 END = np.uint64(0)
 
 
@@ -165,54 +165,50 @@ def _alive(n: np.ndarray, steps: int) -> np.ndarray:
 def log_likelihood(chain: Chain, emissions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 of each text's emission sequence: the scaled forward recursion, exact over whole texts."""
     out = np.zeros(len(bounds) - 1)
+    fore, start, emit = np.ascontiguousarray(chain.move.T), chain.start[:, None], np.ascontiguousarray(chain.emit.T)
     for rows, grid, n in _lanes(emissions, bounds):
-        total, state = np.zeros(len(rows)), np.empty((len(rows), len(chain.start)))
-        alive = _alive(n, len(grid))
-        for t, m in enumerate(alive.tolist()):
-            ahead = np.broadcast_to(chain.start, (m, len(chain.start))) if t == 0 else state[:m] @ chain.move
-            ahead = ahead * chain.emit[grid[t, :m]]
-            scale = ahead.sum(axis=1)
-            state[:m] = ahead / scale[:, None]
-            total[:m] += np.log10(scale)
-        out[rows] = total
+        state, scales = start, np.ones(grid.shape)
+        for t, m in enumerate(_alive(n, len(grid)).tolist()):
+            state = (fore @ state[:, :m] if t else start) * emit.take(grid[t, :m], axis=1)
+            state /= state.sum(axis=0, out=scales[t, :m])
+        out[rows] = np.log10(scales).sum(axis=0)
     return out
 
 
 def expected_counts(chain: Chain, emissions: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch sums over the texts: starts, moves, emissions, and the log10 likelihood."""
+    """Baum-Welch sums over the texts: starts, moves, emissions, and the log10 likelihood. States are rows, texts lie side by side."""
     k = len(chain.start)
-    starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros(chain.emit.shape), 0.0
-    move = chain.move.astype(np.float32)
-    emit = chain.emit.astype(np.float32)
+    starts, moves, emits, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(chain.emit))), 0.0
+    back = np.ascontiguousarray(chain.move, np.float32)
+    fore, start, emit = np.ascontiguousarray(back.T), chain.start.astype(np.float32)[:, None], np.ascontiguousarray(chain.emit.T, np.float32)
     for _, grid, n in _lanes(emissions, bounds):
         steps, lanes = grid.shape
         alive = _alive(n, steps).tolist()
-        forward = np.zeros((steps, lanes, k), np.float32)
+        ahead, state, arriving = (np.zeros((steps, k, lanes), np.float32) for _ in range(3))
         scales = np.ones((steps, lanes), np.float32)
+        before = start
         for t, m in enumerate(alive):
-            ahead = np.broadcast_to(chain.start.astype(np.float32), (m, k)) if t == 0 else forward[t - 1, :m] @ move
-            ahead = ahead * emit[grid[t, :m]]
-            scales[t, :m] = ahead.sum(axis=1)
-            forward[t, :m] = ahead / scales[t, :m, None]
-        likelihood += float(np.log10(scales.astype(float)).sum())
-        behind = np.ones((lanes, k), np.float32)
-        posterior = forward  # turned into posteriors from the last step on
-        summed = np.zeros((k, k))
+            made = emit.take(grid[t, :m], axis=1)
+            ahead[t, :, :m] = fore @ before[:, :m] if t else start
+            before = state[t, :, :m]
+            np.multiply(ahead[t, :, :m], made, out=before)
+            scale = before.sum(axis=0, out=scales[t, :m])
+            before /= scale
+            np.divide(made, scale, out=arriving[t, :, :m])
+        behind = np.ones((k, lanes), np.float32)
         for t in range(steps - 1, -1, -1):
-            m = alive[t]
-            before = forward[t - 1, :m].copy() if t else None
-            arriving = (emit[grid[t, :m]] * behind[:m]) / scales[t, :m, None]
-            if t:
-                summed += before.T @ arriving
-            posterior[t, :m] *= behind[:m]
-            behind[:m] = arriving @ move.T
-        moves += summed * chain.move
-        starts += posterior[0].sum(axis=0)
-        seen = grid >= 0
-        at = grid[seen]
+            a = arriving[t, :, : alive[t]]
+            a *= behind[:, : alive[t]]
+            behind[:, : alive[t]] = back @ a
+        likelihood += float(np.log10(scales, dtype=float).sum())
+        moves += np.matmul(state[:-1], arriving[1:].transpose(0, 2, 1)).sum(axis=0, dtype=float) * chain.move
+        ahead *= arriving  # the posteriors
+        starts += ahead[0].sum(axis=1)
+        seen = np.flatnonzero(grid.ravel() >= 0)
+        at = grid.ravel()[seen]
         for s in range(k):
-            emits[:, s] += np.bincount(at, weights=posterior[..., s][seen], minlength=len(emits))
-    return starts, moves, emits, likelihood
+            emits[s] += np.bincount(at, weights=ahead[:, s].ravel()[seen], minlength=emits.shape[1])
+    return starts, moves, emits.T, likelihood
 
 
 def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, object]]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:

@@ -4,8 +4,10 @@ Found values are validated (check digits, ranges, calendar), read as a number wi
 keyed Feistel network over exactly that set of numbers (cycle walking). Equal values get equal pseudonyms in every
 document and every run with the key, different values stay different, and the pseudonym is again a valid value of
 the format: card numbers keep their length and a right check digit, IBANs their country and right check digits, dates
-stay dates in the same notation, IPv4 addresses stay addresses. Dates are permuted as calendar days, so one day in two
-notations stays one day. With the key the mapping can be undone (``reveal=True``).
+stay dates in the same notation and with the same digits, IPv4 addresses stay addresses, case stays in e-mail addresses.
+Dates are permuted as calendar days within classes of equal form, so one day in two notations stays one day. A phone
+number with its country code and the same number without are linked, because the code is left as it is. With the key the
+mapping can be undone (``reveal=True``).
 
 One pass without a shuffle: texts without a digit or an @ leave untouched after a look at their bytes. Null text stays
 null with no spans; empty texts stay empty. Repeated rows are treated alike. Extra columns are kept; a column named
@@ -14,7 +16,9 @@ like an output column is replaced.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import hmac
 import re
@@ -75,6 +79,21 @@ _DAY_0, _DAY_1 = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12,
 _MONTHS = "January February March April May June July August September October November December".split()
 
 
+def _day_class(month: int, day: int) -> str:
+    """How a date is written depends on whether day and month have one digit, and slashes are read by whether the day can be a month."""
+    return ("short" if day < 10 else "middle" if day < 13 else "late") + ("-short" if month < 10 else "-long")
+
+
+@functools.cache
+def _day_classes() -> dict[str, list[int]]:
+    """The ordinals of all days from 1900 to 2099 by class."""
+    out: dict[str, list[int]] = {}
+    for x in range(_DAY_0, _DAY_1 + 1):
+        date = datetime.date.fromordinal(x)
+        out.setdefault(_day_class(date.month, date.day), []).append(x)
+    return out
+
+
 class Pseudonyms:
     """Replacement of one validated value; every method gives None when the value is not valid for its format."""
 
@@ -103,11 +122,27 @@ class Pseudonyms:
         return self.refill(value, body + str(-luhn(body + "0") % 10))
 
     def phone(self, value: str) -> str | None:
+        """The national number is permuted, a country code stays. Ten digits are read as area, exchange and line, neither of the first two beginning with 0 or 1, where that is so; other numbers stay outside of that plan."""
         plain = re.sub(r"\D", "", value)
         if not 8 <= len(plain) <= 15:
             return None
-        country = len(re.match(r"\+?(\d{1,3})(?=[ .(-])", value)[1]) if value.startswith("+") and re.match(r"\+\d{1,3}[ .(-]", value) else 0
-        return self.refill(value, plain[:country] + self.digits("phone", plain[country:]))
+        code = re.match(r"\+(\d{1,3})[ .(-]", value)
+        country = len(code[1]) if code else 0
+        national = plain[country:]
+        if len(national) == 10 and national[0] > "1" and national[3] > "1":
+            x = ((int(national[0]) - 2) * 100 + int(national[1:3])) * 8 + int(national[3]) - 2
+            x, rest = divmod(self.permute("phone|n", 800 * 8 * 10**6, x * 10**6 + int(national[4:])), 10**6)
+            area, exchange = divmod(x, 8)
+            return self.refill(value, f"{plain[:country]}{area + 200}{exchange + 2}{rest:06}")
+        if len(national) == 10:  # outside of that plan it stays outside: the two digits that say so are kept
+            rest = self.digits("phone|o", national[1:3] + national[4:])
+            return self.refill(value, f"{plain[:country]}{national[0]}{rest[:2]}{national[3]}{rest[2:]}")
+        zeros = len(national) - len(national.lstrip("0"))
+        if zeros == len(national):
+            return None
+        # trunk zeros stay, and the digit after them stays other than zero
+        least = 10 ** (len(national) - zeros - 1)
+        return self.refill(value, f"{plain[:country]}{national[:zeros]}{least + self.permute('phone', 9 * least, int(national) - least)}")
 
     def ssn(self, value: str) -> str | None:
         def number(plain: str) -> int | None:
@@ -161,14 +196,19 @@ class Pseudonyms:
     def email(self, value: str) -> str | None:
         local, _, domain = value.rpartition("@")
         name, dot, top = domain.rpartition(".")
-        return f"{self.mixed('email', local)}@{self.mixed('domain', name.lower()) if name else name}{dot}{top}"
+        return f"{self.mixed('email', local)}@{self.mixed('domain', name)}{dot}{top}"
 
     def day(self, year: int, month: int, day: int) -> datetime.date | None:
+        """Another day of the same class, see ``_day_classes``: written in the same way it has the same form."""
         try:
             x = datetime.date(year, month, day).toordinal()
         except ValueError:
             return None
-        return datetime.date.fromordinal(_DAY_0 + self.permute("date", _DAY_1 - _DAY_0 + 1, x - _DAY_0)) if _DAY_0 <= x <= _DAY_1 else None
+        if not _DAY_0 <= x <= _DAY_1:
+            return None
+        name, days = _day_class(month, day), _day_classes()
+        members = days[name]
+        return datetime.date.fromordinal(members[self.permute(f"date|{name}", len(members), bisect.bisect_left(members, x))])
 
     def iso_date(self, value: str) -> str | None:
         y, m, d = (int(x) for x in re.split(r"\D", value))
@@ -176,19 +216,19 @@ class Pseudonyms:
         return new and self.refill(value, f"{new.year:04}{new.month:02}{new.day:02}")
 
     def local_date(self, value: str) -> str | None:
-        """Day and month in front of the year. With a slash the month is read first where it can be, and is written first."""
-        a, b, y = (int(x) for x in re.split(r"\D", value))
-        month_first = "/" in value and a <= 12
-        new = self.day(y, a, b) if month_first else self.day(y, b, a)
+        """Day and month in front of the year, written in the order and with the digits they came in. With a slash the month is first where it can be."""
+        a, b, y = re.split(r"\D", value)
+        month_first = "/" in value and int(a) <= 12
+        new = self.day(int(y), int(a), int(b)) if month_first else self.day(int(y), int(b), int(a))
         if new is None:
             return None
-        first, second = (new.month, new.day) if "/" in value else (new.day, new.month)
-        return f"{first:02}{value[2 if value[1].isdigit() else 1]}{second:02}{re.findall(r'[^0-9]', value)[1]}{new.year:04}"
+        first, second = (new.month, new.day) if month_first else (new.day, new.month)
+        return self.refill(value, f"{first:0{len(a)}}{second:0{len(b)}}{new.year:04}")
 
     def word_date(self, value: str) -> str | None:
         m = re.fullmatch(r"([A-Za-z]+)( )(\d{1,2})(,? )(\d{4})", value)
         new = self.day(int(m[5]), 1 + [x.lower() for x in _MONTHS].index(m[1].lower()), int(m[3]))
-        return new and f"{_MONTHS[new.month - 1]}{m[2]}{new.day}{m[4]}{new.year}"
+        return new and f"{_MONTHS[new.month - 1]}{m[2]}{new.day:0{len(m[3])}}{m[4]}{new.year}"
 
 
 # Kinds in order of precedence with their patterns.
