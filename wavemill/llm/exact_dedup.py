@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_space, materialize, small_batches, span_hashes, text_slices
+from .common import is_space, join_hot, materialize, small_batches, span_hashes, text_slices
 
 BLOCK_BYTES = 4096
 
@@ -99,7 +99,7 @@ def _first_names(docs: DataFrame, texts: DataFrame, size: int, hash_bits: int) -
     places = texts.select("row", F.posexplode("routes").alias("place", "route"))
     simple = names.select("route", "name")
     if shared.isEmpty():
-        return places.join(simple, "route").select("row", "place", "name")
+        return join_hot(places, simple, ["route"], F.col("row"), "inner").select("row", "place", "name")
     # Two different blocks met in one route: those routes are resolved by a digest of the bytes, checked to be unique.
     doubled = names.join(shared, "route", "left_semi").groupBy("route", "check").count().where("count > 1")
     if not doubled.isEmpty():
@@ -131,7 +131,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         )
         pairs = materialize(pairs)
         names = materialize(pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()))
-        left = materialize(pairs.join(names, ["a", "b"]).select("row", "n", "place", "name"))
+        left = materialize(join_hot(pairs, names, ["a", "b"], F.col("row"), "inner").select("row", "n", "place", "name"))
         width = -(-width // 2)
         done.append(left.where(f"n > {1 << (len(done) - 1)} and n <= {1 << len(done)}").select("row", "n", "name"))
         left = left.where(f"n > {1 << (len(done) - 1)}")
@@ -144,8 +144,10 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hash_bits: int = 63) -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256. Of equal texts the smallest id stays (of repeated rows with that id, all say kept)."""
     named = materialize(name_documents(docs, id_col, text_col, block_bytes, hash_bits))
-    groups = named.groupBy("n_blocks", "name").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    out = named.join(groups, ["n_blocks", "name"])
+    groups = named.groupBy("n_blocks", "name").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    out = join_hot(named, groups, ["n_blocks", "name"], F.struct(id_col, F.monotonically_increasing_id()))
+    own = F.col("rows").isNull()  # a text without an equal
+    out = out.select(id_col, F.when(own, F.col(id_col)).otherwise(F.col("least")).alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
     return out.select(id_col, "keep_id", "group_size", (F.col(id_col) == F.col("keep_id")).alias("kept"), "text_sha256")
 
 

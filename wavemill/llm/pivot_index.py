@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 from .graph import components
 
 #: Vectors of a block of an inverted list.
@@ -189,8 +189,8 @@ def near_vectors(
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     smallest = classes.join(reached, "cls").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = classes.join(links, "cls", "left").join(reached, "cls", "left").join(smallest, "component", "left")
+    known = join_hot(classes.join(links, "cls", "left").join(reached, "cls", "left"), smallest, ["component"], F.col("cls"))
     known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.where("usable").join(known, ["label", "vector"]).select("id", "n_links", "component_id")
+    out = join_hot(rows.where("usable"), known, ["label", "vector"], F.col("id"), "inner").select("id", "n_links", "component_id")
     out = out.unionByName(rows.where("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
