@@ -16,27 +16,6 @@ _H = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
 RC = ["record_id", "channel"]
 
 
-@query("src_alarms", "SELECT record_id, seed, alarm_type, y FROM fx_alarms")
-def src_alarms(spark, d):
-    return fx.alarms(spark, d).select("record_id", "seed", "alarm_type", "y")
-
-
-@query("src_record_list", "SELECT DISTINCT trim(source) AS record FROM documents WHERE trim(source) <> ''")
-def src_record_list(spark, d):
-    return fx.read(spark, d, "documents").select(F.trim("source").alias("record")).where("record <> ''").distinct()
-
-
-@query("src_event_labels", "SELECT doc_id AS event_id, lower(trim(CASE WHEN quality = 1 THEN ' True' ELSE 'false ' END)) = 'true' AS decision FROM labels")
-def src_event_labels(spark, d):
-    said = F.when(F.col("quality") == 1, " True").otherwise("false ")
-    return fx.read(spark, d, "labels").select(F.col("doc_id").alias("event_id"), (F.lower(F.trim(said)) == "true").alias("decision"))
-
-
-@query("src_split_table", "SELECT * FROM fx_split")
-def src_split_table(spark, d):
-    return fx.split(spark, d)
-
-
 @query("votes_aggregate", "SELECT event_id, round(avg(decision), 6) AS frac_true, count(*) AS n_annotators FROM fx_votes WHERE NOT is_adjudication GROUP BY event_id")
 def votes_aggregate(spark, d):
     return fx.votes(spark, d).where("not is_adjudication").groupBy("event_id").agg(F.round(F.avg("decision"), 6).alias("frac_true"), F.count("*").alias("n_annotators"))

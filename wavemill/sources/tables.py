@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,29 @@ from pyspark.sql import functions as F
 NAMES = {"ecg": ("ecg", "ekg"), "ppg": ("ppg", "pleth")}
 
 
+_FOLDERS: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name below spark.checkpoint.dir, deleted when the driver ends; without the setting only a local master has one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="wavemill-files-")
+    if not _FOLDERS:
+        atexit.register(_delete_folders)
+    _FOLDERS.append(f"{base.rstrip('/')}/wavemill-files-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def _delete_folders() -> None:
+    context = SparkContext._active_spark_context
+    while _FOLDERS and context is not None and context._jsc is not None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_alarms(spark: SparkSession, path: str) -> DataFrame:
     """Headerless CSV of record, alarm type and label."""
     return spark.read.schema("record_id string, alarm_type string, label int").csv(path)
@@ -43,26 +71,26 @@ def resolve_signal_columns(columns: list[str]) -> dict[str, str]:
     return out
 
 
-def read_subject_csv(spark: SparkSession, directories: dict[int, str]) -> DataFrame:
-    """Per-subject CSVs of several class directories: subject, label, t, ecg, ppg; columns may differ between classes."""
+def read_subject_csv(spark: SparkSession, directories: dict[int, str], name: str = r"([^/]+)\.csv$") -> DataFrame:
+    """Per-subject CSVs of several class directories: subject (from the path), label, t, ecg, ppg; columns may differ between classes."""
     out = None
     for label, path in directories.items():
         rows = spark.read.option("header", True).csv(path)
         found = resolve_signal_columns(rows.columns)
         time = next(c for c in rows.columns if c.lower() == "time")
         one = rows.select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1).alias("subject"), F.lit(label).alias("label"), F.col(time).try_cast("double").alias("t"),
+            F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("subject"), F.lit(label).alias("label"), F.col(time).try_cast("double").alias("t"),
             *(F.nanvl(F.col(c).try_cast("double"), F.lit(None)).alias(channel) for channel, c in found.items()),
         )
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def subject_id_map(spark: SparkSession, path: str) -> DataFrame:
+def subject_id_map(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^./]+$") -> DataFrame:
     """Export name -> original subject, read from sidecar texts."""
     rows = spark.read.text(path, wholetext=True)
     original = F.nullif(F.regexp_extract("value", r"Original Subject ID:\s*(\S+)", 1), F.lit(""))
-    export = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+    export = F.regexp_extract(F.col("_metadata.file_path"), name, 1)
     return rows.select(export.alias("export"), F.coalesce(original, export).alias("subject"))
 
 
@@ -78,4 +106,4 @@ def unfinished(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return rows
     done = spark.read.parquet(path).select(*keys).distinct()
-    return rows.join(F.broadcast(done), keys, "left_anti")
+    return rows.join(done, keys, "left_anti")
