@@ -17,16 +17,23 @@ def intervals(beats: DataFrame, key: str) -> DataFrame:
 
 
 def rate_stats(beats: DataFrame, key: str, start: float, end: float) -> DataFrame:
-    """Count, rate, variability, irregularity and gaps, borders included in the longest gap."""
+    """Count (all, and in the last 5 units), rate, variability, irregularity and gaps, borders included in the longest gap.
+
+    With fewer than two beats there is no interval: rate and variation are 0, the longest and shortest interval the whole
+    span, everything irregular.
+    """
     rr = intervals(beats, key)
     med = rr.groupBy(key).agg(F.percentile("rr", 0.5).alias("med"))
     rows = rr.join(med, key)
     agg = rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.first("med").alias("med"), (F.stddev_pop("rr") / F.avg("rr")).alias("rr_cv"), F.max("rr").alias("rr_max"), F.min("rr").alias("rr_min"),
+        F.count("*").alias("n"), F.count_if(F.col("t") >= end - 5.0).alias("n_last5"), F.first("med").alias("med"), (F.stddev_pop("rr") / F.avg("rr")).alias("rr_cv"), F.max("rr").alias("rr_max"), F.min("rr").alias("rr_min"),
         F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), F.avg((F.abs(F.col("rr") - F.col("med")) > 0.2 * F.col("med")).cast("int")).alias("irregular"),
         (F.lit(end) - F.max("t")).alias("gap_to_end"), F.greatest(F.lit(end) - F.max("t"), F.min("t") - F.lit(start), F.coalesce(F.max("rr"), F.lit(0.0))).alias("longest_gap"),
     )
-    return agg.select(key, "n", (F.lit(60.0) / F.nullif("med", F.lit(0.0))).alias("rate"), "rr_cv", "rr_max", "rr_min", "rmssd", "irregular", "gap_to_end", "longest_gap")
+    agg = agg.withColumn("rate", F.lit(60.0) / F.nullif("med", F.lit(0.0)))
+    alone = {"rate": 0.0, "rr_cv": 0.0, "rr_max": end - start, "rr_min": end - start, "irregular": 1.0}
+    agg = agg.withColumns({c: F.when(F.col("n") < 2, F.lit(v)).otherwise(F.col(c)) for c, v in alone.items()})
+    return agg.select(key, "n", "n_last5", "rate", "rr_cv", "rr_max", "rr_min", F.coalesce("rmssd", F.lit(0.0)).alias("rmssd"), "irregular", "gap_to_end", "longest_gap")
 
 
 def hrv_features(beats: DataFrame, key: str, near: float, nearer: float) -> DataFrame:
@@ -60,7 +67,10 @@ def linear_trend(beats: DataFrame, key: str) -> DataFrame:
 
 
 def sample_entropy(rows: DataFrame, key: str, m: int = 2, share: float = 0.2) -> DataFrame:
-    """-ln(A / B) over the n - m templates of both lengths, Chebyshev distance <= share * deviation; NULL when undefined."""
+    """-ln(A / B) over the n - m templates of both lengths, Chebyshev distance <= share * deviation, one row per key.
+
+    0 for a flat signal, ln(B) where no longer pair is left, NULL without any pair or with fewer than m + 4 samples.
+    """
     w = W.partitionBy(key).orderBy("i")
     n, s = F.count("*").over(W.partitionBy(key)), F.stddev_pop("x").over(W.partitionBy(key))
     t = rows.select(key, "i", "x", *(F.lead("x", k).over(w).alias(f"x{k}") for k in range(1, m + 1)), n.alias("n"), (s * share).alias("r"), F.row_number().over(w).alias("rn")).where(F.col("rn") <= F.col("n") - m)
@@ -68,7 +78,9 @@ def sample_entropy(rows: DataFrame, key: str, m: int = 2, share: float = 0.2) ->
     short = F.greatest(*(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("x", *(f"x{k}" for k in range(1, m)))))
     pairs = a.join(b, key).where((F.col("a_rn") < F.col("b_rn")) & (short <= F.col("r")))
     c = pairs.groupBy(key).agg(F.count("*").alias("B"), F.count_if(F.abs(F.col(f"a_x{m}") - F.col(f"b_x{m}")) <= F.col("r")).alias("A"))
-    return c.select(key, F.when((F.col("A") > 0) & (F.col("B") > 0), -F.log(F.col("A") / F.col("B"))).alias("sampen"))
+    all_ = rows.groupBy(key).agg(F.count("*").alias("n"), F.stddev_pop("x").alias("s")).join(c, key, "left")
+    value = F.when(F.col("n") < m + 4, None).when(F.col("s") < 1e-8, 0.0).when(F.col("A") > 0, -F.log(F.col("A") / F.col("B"))).when(F.col("B") > 0, F.log("B"))
+    return all_.select(key, value.alias("sampen"))
 
 
 def rr_irregularity(beats: DataFrame, key: str, low: float, high: float, near: float, nearer: float) -> DataFrame:

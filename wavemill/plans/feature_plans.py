@@ -22,9 +22,10 @@ def _r(*cols, digits=5):
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
 
 
-@query("rate_stats", f"""WITH {_RR}, m AS (SELECT record_id, median(rr) AS med FROM rr GROUP BY record_id), f AS (SELECT record_id, count(*) AS n, 60 / nullif(max(med), 0) AS rate, stddev_pop(rr) / avg(rr) AS rr_cv, max(rr) AS rr_max, min(rr) AS rr_min, sqrt(avg(d * d)) AS rmssd,
+@query("rate_stats", f"""WITH {_RR}, m AS (SELECT record_id, median(rr) AS med FROM rr GROUP BY record_id), f AS (SELECT record_id, count(*) AS n, count(*) FILTER (t >= {END}::DOUBLE - 5) AS n_last5, 60 / nullif(max(med), 0) AS rate, stddev_pop(rr) / avg(rr) AS rr_cv, max(rr) AS rr_max, min(rr) AS rr_min, sqrt(avg(d * d)) AS rmssd,
   avg((abs(rr - med) > 0.2::DOUBLE * med)::INT) AS irregular, {END}::DOUBLE - max(t) AS gap_to_end, greatest({END}::DOUBLE - max(t), min(t) - {START}::DOUBLE, coalesce(max(rr), 0)) AS longest_gap FROM rr JOIN m USING (record_id) GROUP BY record_id)
-  SELECT record_id, n, {_r('rate', 'rr_cv', 'rr_max', 'rr_min', 'rmssd', 'irregular', 'gap_to_end', 'longest_gap')} FROM f""")
+  SELECT * REPLACE (CASE WHEN n < 2 THEN 0 ELSE rate END AS rate, CASE WHEN n < 2 THEN 0 ELSE rr_cv END AS rr_cv, CASE WHEN n < 2 THEN {END - START}::DOUBLE ELSE rr_max END AS rr_max, CASE WHEN n < 2 THEN {END - START}::DOUBLE ELSE rr_min END AS rr_min,
+    coalesce(rmssd, 0) AS rmssd, CASE WHEN n < 2 THEN 1 ELSE irregular END AS irregular) FROM (SELECT record_id, n, n_last5, {_r('rate', 'rr_cv', 'rr_max', 'rr_min', 'rmssd', 'irregular', 'gap_to_end', 'longest_gap')} FROM f)""")
 def rate_stats(spark, d):
     return rounded(ft.rate_stats(kind(spark, d, "ecg"), "record_id", START, END), "record_id")
 
@@ -48,7 +49,9 @@ def linear_trend(spark, d):
 
 
 @query("sample_entropy", """WITH t AS (SELECT window_id, row_number() OVER w AS rn, x, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, count(*) OVER (PARTITION BY window_id) AS n, 0.2::DOUBLE * stddev_pop(x) OVER (PARTITION BY window_id) AS r FROM fx_windows WINDOW w AS (PARTITION BY window_id ORDER BY i)),
-  p AS (SELECT a.window_id, count(*) AS b, count(*) FILTER (abs(a.x2 - b.x2) <= a.r) AS a FROM t a JOIN t b ON a.window_id = b.window_id AND a.rn < b.rn AND b.rn <= b.n - 2 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) <= a.r GROUP BY a.window_id) SELECT window_id, CASE WHEN a > 0 AND b > 0 THEN round(-ln(a::DOUBLE / b), 5) END AS sampen FROM p""")
+  p AS (SELECT a.window_id, count(*) AS b, count(*) FILTER (abs(a.x2 - b.x2) <= a.r) AS a FROM t a JOIN t b ON a.window_id = b.window_id AND a.rn < b.rn AND b.rn <= b.n - 2 AND greatest(abs(a.x - b.x), abs(a.x1 - b.x1)) <= a.r GROUP BY a.window_id),
+  o AS (SELECT window_id, count(*) AS n, stddev_pop(x) AS s FROM fx_windows GROUP BY window_id)
+  SELECT window_id, CASE WHEN n < 6 THEN NULL WHEN s < 1e-8 THEN 0.0 WHEN a > 0 THEN round(-ln(a::DOUBLE / b), 5) WHEN b > 0 THEN round(ln(b), 5) END AS sampen FROM o LEFT JOIN p USING (window_id)""")
 def sample_entropy(spark, d):
     return rounded(ft.sample_entropy(fx.windows(spark, d), "window_id"), "window_id")
 
