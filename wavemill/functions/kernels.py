@@ -29,13 +29,14 @@ def per_window(rows: DataFrame, key: str, kernel: Callable[[np.ndarray], dict[st
     return packed.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names))
 
 
-def per_window_samples(rows: DataFrame, key: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Windows in, equally long windows out."""
+def per_window_samples(rows: DataFrame, key: str, kernel: Callable[..., np.ndarray], with_key: bool = False) -> DataFrame:
+    """Windows in, equally long windows out; with_key hands the window's key to the kernel as well."""
     packed = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(x=[kernel(np.asarray(x, float)).tolist() for x in frame["x"]])
+            keys = ((k,) for k in frame[key]) if with_key else (() for _ in frame[key])
+            yield frame.assign(x=[kernel(np.asarray(x, float), *k).tolist() for x, k in zip(frame["x"], keys)])
 
     out = packed.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, x array<double>")
     return out.select(key, F.posexplode("x").alias("i", "x"))

@@ -198,7 +198,7 @@ def hr_in_range(beats: DataFrame, key: str, low: float, high: float) -> DataFram
 def category_ids(rows: DataFrame, column: str) -> DataFrame:
     """Stable ids of the sorted distinct values, joined back."""
     ids = rows.select(column).distinct().withColumn("id", (F.row_number().over(W.orderBy(column)) - 1).cast("int"))
-    return rows.join(F.broadcast(ids), column)
+    return rows.join(ids, column)
 
 
 def one_hot(column: Column, values: list) -> list[Column]:

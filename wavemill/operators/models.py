@@ -33,16 +33,16 @@ def prep_pipeline(rows: DataFrame, features: list[str], by: list[str], low: floa
     q = F.array(F.lit(low), F.lit(0.5), F.lit(high))
     edges = fit.groupBy(*by).agg(*(F.percentile(c, q).alias(f"_q_{c}") for c in features))
     filled = lambda t: t.select(*[c for c in rows.columns if c not in features], *(F.least(F.greatest(F.coalesce(F.nanvl(c, F.lit(None)), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[2]).alias(c) for c in features))
-    clipped = filled(rows.join(F.broadcast(edges), by))
+    clipped = filled(rows.join(edges, by))
     stats = clipped.where("role = 'fit'").groupBy(*by).agg(*(s for c in features for s in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
-    out = clipped.join(F.broadcast(stats), by)
+    out = clipped.join(stats, by)
     return out.select(*[c for c in rows.columns if c not in features], *(((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(1e-6))).alias(c) for c in features))
 
 
 def standardize_clip(rows: DataFrame, features: list[str], by: list[str], most: float = 5.0) -> DataFrame:
     stats = rows.where("role = 'fit'").groupBy(*by).agg(*(s for c in features for s in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
     z = lambda c: F.least(F.lit(most), F.greatest(F.lit(-most), (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(1e-6))))
-    return rows.join(F.broadcast(stats), by).select(*[c for c in rows.columns if c not in features], *(z(c).alias(c) for c in features))
+    return rows.join(stats, by).select(*[c for c in rows.columns if c not in features], *(z(c).alias(c) for c in features))
 
 
 def _vectors(rows: DataFrame, features: list[str]) -> DataFrame:

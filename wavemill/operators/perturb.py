@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.kernels import per_window_samples
 
 
 def shift(rows: DataFrame, key: str, n: int, by: int) -> DataFrame:
@@ -78,19 +78,17 @@ def missing(rows: DataFrame, which: Column) -> DataFrame:
 
 
 def phase_scramble(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Keeps the amplitude spectrum, draws the phases; one window at a time in Arrow batches."""
+    """Keeps the amplitude spectrum, draws the phases from the seed and the window's key; windows come in Arrow batches."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        x = frame["x"].to_numpy()
+    def kernel(x: np.ndarray, window: int) -> np.ndarray:
         spectrum = np.fft.rfft(x)
-        phase = np.random.default_rng([seed, int(frame[key].iloc[0]) & 0x7FFFFFFF]).uniform(-np.pi, np.pi, len(spectrum))
+        phase = np.random.default_rng([seed, int(window) & 0x7FFFFFFF]).uniform(-np.pi, np.pi, len(spectrum))
         phase[0] = 0.0
         if len(x) % 2 == 0:
             phase[-1] = 0.0
-        return frame.assign(x=np.fft.irfft(spectrum * np.exp(1j * phase), len(x)))
+        return np.fft.irfft(spectrum * np.exp(1j * phase), len(x))
 
-    return rows.select(key, "i", "x").groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, i int, x double")
+    return per_window_samples(rows, key, kernel, with_key=True)
 
 
 def augment(rows: DataFrame, key: str, n: int, copies: int, seed: str = "aug") -> DataFrame:

@@ -48,19 +48,22 @@ def condition_cross(rows: DataFrame, conditions: DataFrame, draws: int) -> DataF
 
 
 def donor_swap(rows: DataFrame, key: str, record: str, label: str, alarm: str, seed: str = "swap") -> DataFrame:
-    """(key, donor): another record's row with the same label and alarm type, else the same label.
+    """(key, donor): a row of another record with the same label and alarm type, else with the same label; NULL without one.
 
-    Rows are put in MD5 order within each pool and take the next row of another record, so no pool is joined with
-    itself: with at most two rows a record, the next two rows hold one.
+    The records of a pool are put in MD5 order, each takes the next record, the last the first; a record lends its rows in
+    turn. Only records are ordered, no pool is joined with itself.
     """
 
     def next_in(pool: list[str], name: str) -> DataFrame:
-        order = W.partitionBy(*pool).orderBy(draw(F.lit(seed), F.col(record)), record, key)
-        other = lambda s: s[record] != F.col(record)
-        step = rows.withColumn("_n", F.collect_list(F.struct(record, key)).over(order.rowsBetween(1, 2)))
-        step = step.withColumn("_f", F.first(F.struct(record, key)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        later = F.when(F.size(F.filter("_n", other)) > 0, F.filter("_n", other)[0][key])
-        return step.select(key, F.coalesce(later, F.when(F.col("_f")[record] != F.col(record), F.col("_f")[key])).alias(name))
+        own = W.partitionBy(*pool, record)
+        numbered = rows.select(*pool, record, key, (F.row_number().over(own.orderBy(key)) - 1).alias("_k"), F.count("*").over(own).alias("_n"))
+        records = numbered.groupBy(*pool, record).agg(F.max("_n").alias("_n"))
+        order = W.partitionBy(*pool).orderBy(draw(F.lit(seed), F.col(record)), record)
+        after = F.coalesce(F.lead(F.struct(record, "_n")).over(order), F.first(F.struct(record, "_n")).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+        records = records.select(*pool, record, after.alias("_next")).where(F.col("_next")[record] != F.col(record))
+        wants = numbered.drop("_n").join(records, [*pool, record]).select(*pool, key, F.col(f"_next.{record}").alias(record), (F.col("_k") % F.col("_next._n")).alias("_k"))
+        lends = numbered.select(*pool, record, F.col(key).alias(name), "_k")
+        return rows.select(key).join(wants.join(lends, [*pool, record, "_k"]).select(key, name), key, "left")
 
     same = next_in([label, alarm], "d1").join(next_in([label], "d2"), key)
     return same.select(key, F.coalesce("d1", "d2").alias("donor"))

@@ -30,7 +30,7 @@ def temperature_fit(val: DataFrame, by: list[str], rounds: int = 3) -> DataFrame
     centre = val.select(*by).distinct().withColumn("c", F.lit(0.0)).withColumn("w", F.lit(3.0))
     z, y = logit(F.col("prob")), F.col("y").cast("double")
     for _ in range(rounds):
-        rows = val.join(F.broadcast(centre), by).select(*by, "c", "w", z.alias("z"), y.alias("y"), F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("_k"))
+        rows = val.join(centre, by).select(*by, "c", "w", z.alias("z"), y.alias("y"), F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("_k"))
         log_t = F.least(F.lit(3.0), F.greatest(F.lit(-3.0), F.col("c") + F.col("w") * F.col("_k") / F.lit(12.0)))
         q = F.least(F.greatest(sigmoid(F.col("z") / F.exp(log_t)), F.lit(1e-12)), F.lit(1 - 1e-12))
         nll = rows.groupBy(*by, "w", log_t.alias("log_t")).agg(F.avg(-(F.col("y") * F.log(q) + (F.lit(1.0) - F.col("y")) * F.log(F.lit(1.0) - q))).alias("nll"))

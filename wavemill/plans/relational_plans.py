@@ -66,8 +66,11 @@ _DON = "w AS (SELECT window_id, record_id, y, alarm_type, {h} AS h FROM fx_windo
 
 
 def _donor(pool: str, name: str) -> str:
-    o = f"PARTITION BY {pool} ORDER BY h, record_id, window_id"
-    return f"SELECT window_id, coalesce(CASE WHEN r1 <> record_id THEN w1 WHEN r2 <> record_id THEN w2 END, CASE WHEN rf <> record_id THEN wf END) AS {name} FROM (SELECT window_id, record_id, lead(record_id, 1) OVER o AS r1, lead(window_id, 1) OVER o AS w1, lead(record_id, 2) OVER o AS r2, lead(window_id, 2) OVER o AS w2, first(record_id) OVER f AS rf, first(window_id) OVER f AS wf FROM w WINDOW o AS ({o}), f AS ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+    o = f"PARTITION BY {pool} ORDER BY h, record_id"
+    numbered = f"SELECT {pool}, record_id, window_id, row_number() OVER (PARTITION BY {pool}, record_id ORDER BY window_id) - 1 AS k FROM w"
+    records = f"SELECT {pool}, record_id, coalesce(lead(record_id) OVER o, first(record_id) OVER f) AS nr, coalesce(lead(n) OVER o, first(n) OVER f) AS nn FROM (SELECT {pool}, record_id, any_value(h) AS h, count(*) AS n FROM w GROUP BY {pool}, record_id) WINDOW o AS ({o}), f AS ({o} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    same = " AND ".join(f"b.{c} = r.{c}" for c in pool.split(", "))
+    return f"SELECT window_id, {name} FROM w LEFT JOIN (SELECT a.window_id, b.window_id AS {name} FROM ({numbered}) a JOIN ({records}) r USING ({pool}, record_id) JOIN ({numbered}) b ON {same} AND b.record_id = r.nr AND b.k = a.k % r.nn WHERE r.nr <> r.record_id) USING (window_id)"
 
 
 @query("donor_swap", f"WITH {_DON}, a AS ({_donor('y, alarm_type', 'd1')}), b AS ({_donor('y', 'd2')}) SELECT window_id, coalesce(d1, d2) AS donor FROM a JOIN b USING (window_id)")
