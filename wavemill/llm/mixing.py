@@ -71,7 +71,8 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight_
     weight = F.when(weight > 1e-6, F.least(weight, F.lit(1e6))).otherwise(F.lit(1e-6))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), 1, 13), 16, 10).cast("long")
     uniform = (drawn.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = rows.select("id", "source", "digest", "size", (-F.log(uniform) / weight).alias("key"))
+    rows = materialize(rows.select("id", "source", "digest", "size", (-F.log(uniform) / weight).alias("key")))
+    # the sampling of ranges reads the narrow rows, not the texts
     return materialize(rows.repartitionByRange("source", "key").withColumn("bucket", F.spark_partition_id()))
 
 
