@@ -6,7 +6,8 @@ most ``limit`` chunks can occur a ``limit``-th of all times or more, so the tabl
 chunks are encoded where they stand, once per slice or while the task's own part of the table holds them: sending each of
 their positions through a join would move the corpus, not its vocabulary.
 
-A lookup goes by a 64-bit hash and is then checked by the bytes, so chunks whose hashes meet get their own ids.
+The table is keyed by a chunk's bytes. A 64-bit hash only finds the distinct chunks of a slice, and every chunk is then held
+against the bytes that stand for its hash, so chunks whose hashes meet get their own ids.
 """
 
 from __future__ import annotations
@@ -36,32 +37,36 @@ class ChunkTable:
         given: tuple[list[bytes], list[list[int]], list[str]] | None = None,
     ):
         self.encode, self.extra, self.limit, self.hashes = encode, extra, limit, hashes
-        self.place: dict[int, int] = {}
-        self.odd: dict[bytes, int] = {}  # chunks whose hash belongs to another one
+        self.place: dict[bytes, int] = {}  # row of each chunk
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)  # slices that a row was met in
         self.used = self.size = 0
         self.raw: list[bytes] = []
         self.extras: list[str] = []
         self.decimals: list[str] = []
         if given and given[0]:
-            raw, encoded, extras = given
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-            keys = self.hashes(data, np.concatenate(([0], ends[:-1])), ends).tolist()
-            for row, (key, chunk) in enumerate(zip(keys, raw)):
-                if self.place.setdefault(key, row) != row:
-                    self.odd[chunk] = row
-            self._append(list(raw), encoded, list(extras))
-        self.fixed = self.size, self.used, dict(self.place), dict(self.odd)
-
-    def clear(self) -> None:
-        """Back to the given chunks."""
-        self.size, self.used = self.fixed[:2]
-        self.place, self.odd = dict(self.fixed[2]), dict(self.fixed[3])
-        for x in (self.raw, self.extras, self.decimals):
-            del x[self.size :]
+            self._append(*map(list, given))
+        self.fixed = self.size, self.used
+
+    def _shrink(self) -> None:
+        """Keep the given chunks and those that came in more than one slice, unless these are most of the table."""
+        size, used = self.fixed
+        stay = np.flatnonzero(self.met[size : self.size] > 1) + size
+        if len(stay) > self.limit // 2:
+            stay = stay[:0]
+        flat, counts = self.gather(stay)
+        kept = [[column[k] for k in stay.tolist()] for column in (self.raw, self.extras, self.decimals) if column]
+        for chunk in self.raw[size:]:
+            del self.place[chunk]
+        for column, values in zip([c for c in (self.raw, self.extras, self.decimals) if c], kept):
+            column[size:] = values
+        n = size + len(stay)
+        self.ids[used : used + len(flat)] = flat
+        self.first[size:n], self.count[size:n], self.met[size:] = used + np.cumsum(counts) - counts, counts, 0
+        self.size, self.used = n, used + len(flat)
+        self.place.update(zip(self.raw[size:], range(size, n)))
 
     def _append(self, raw: list[bytes], encoded: list[list[int]], extras: list[str] | None) -> None:
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -70,64 +75,59 @@ class ChunkTable:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + more > len(self.first):
-            self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
+            self.first, self.count, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count, self.met))
         self.ids[self.used : self.used + len(flat)] = flat
         self.first[n : n + more] = self.used + np.cumsum(counts) - counts
         self.count[n : n + more] = counts
         self.used += len(flat)
         self.size += more
         self.raw += raw
+        self.place.update(zip(raw, range(n, n + more)))
         if self.extra:
             self.extras += extras
             self.decimals += [" ".join(map(str, ids)) for ids in encoded]
 
-    def _add(self, raw: list[bytes]) -> range:
-        """New rows for the chunks."""
-        begin = self.size
+    def _add(self, raw: list[bytes]) -> None:
         for i in range(0, len(raw), CALL_CHUNKS):
             part = raw[i : i + CALL_CHUNKS]
             chunks = [c.decode("utf-8", "replace") for c in part]
             encoded = self.encode(chunks)
             self._append(part, encoded, [self.extra(c, ids) for c, ids in zip(chunks, encoded)] if self.extra else None)
-        return range(begin, self.size)
+
+    def _rows(self, chunks: list[bytes]) -> list[int]:
+        """The row of each chunk by its bytes; new chunks are encoded."""
+        new = [c for c in chunks if c not in self.place]
+        self._add(list(dict.fromkeys(new)) if new else new)
+        return list(map(self.place.__getitem__, chunks))
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row for each chunk span of the slice."""
         codes, distinct = pd.factorize(self.hashes(data, starts, ends))
-        keys = distinct.tolist()
-        if self.size - self.fixed[0] + len(keys) > self.limit:
-            self.clear()
-        where = np.empty(len(keys), np.int64)
+        if self.size - self.fixed[0] + len(distinct) > self.limit:
+            self._shrink()
+        where = np.empty(len(distinct), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # first place of each distinct hash
         text = data.tobytes()
-        chunks = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-        new = [k for k, h in enumerate(keys) if h not in self.place]
-        self.place.update(zip([keys[k] for k in new], self._add([chunks[k] for k in new])))
-        rows = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
-        # the bytes decide: first each hash's first chunk against the table's, then every chunk against the first one
-        raw = self.raw
-        wrong = [k for k, (r, c) in enumerate(zip(rows.tolist(), chunks)) if raw[r] != c]
-        if wrong:
-            rows[wrong] = self._odd_rows([chunks[k] for k in wrong])
+        rows = np.array(self._rows([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]), np.int64)
+        self.met[rows] += 1
         out = rows[codes]
+        # a hash has found its first chunk only: all others are held against that chunk's bytes
         size, model = ends - starts, where[codes]
         apart = size != size[model]
-        check = np.flatnonzero((size > 8) & ~apart) if self.hashes is span_hashes else np.flatnonzero(~apart)  # up to 8 bytes the hash is a bijection
+        check = ~apart & (model != np.arange(len(codes)))
+        if self.hashes is span_hashes:
+            check &= size > 8  # up to 8 bytes the hash is a bijection
+        check = np.flatnonzero(check & (size > 0))
         if len(check):
             n = size[check]
             same = data[flat_gather(starts[check], n)] == data[flat_gather(starts[model[check]], n)]
             if not same.all():
-                apart[check] |= np.add.reduceat(same, np.cumsum(n) - n) != n if (n > 0).all() else [text[a : a + k] != text[b : b + k] for a, b, k in zip(starts[check], starts[model[check]], n)]
+                apart[check] = np.add.reduceat(same.astype(np.int64), np.cumsum(n) - n) != n
         apart = np.flatnonzero(apart)
         if len(apart):
-            out[apart] = self._odd_rows([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist())])
+            out[apart] = self._rows([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist())])
         return out
 
-    def _odd_rows(self, chunks: list[bytes]) -> list[int]:
-        new = list(dict.fromkeys(c for c in chunks if c not in self.odd))
-        self.odd.update(zip(new, self._add(new)))
-        return [self.odd[c] for c in chunks]
-
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the given table rows in order, and how many each has."""
         counts = self.count[rows]
