@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, cotraining, exact_dedup, hmm, mixing, ngram_join, pii, pivot_index, secret_ledger, sentencepiece_codec, token_files
+from . import conversation_repair, cotraining, exact_dedup, hmm, mixing, ngram_join, pii, pivot_index, secret_ledger, sentencepiece_codec, sharding, token_files
 from .common import table
 
 
@@ -63,7 +63,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_summary(turns, present=F.col("present")).drop("n_rows")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op6_quality_cotraining, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup, op11_conversation_repair)}
+def op12_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op6_quality_cotraining, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup, op11_conversation_repair, op12_consistent_ring)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
