@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_repair, cotraining, exact_dedup, hmm, mixing, ngram_join, pii, pivot_index, secret_ledger, sentencepiece_codec, sharding, token_files
+from . import conversation_repair, cotraining, exact_dedup, hmm, mixing, ngram_join, pii, pivot_index, prefix_trie, secret_ledger, sentencepiece_codec, sharding, token_files
 from .common import table
 
 
@@ -68,7 +68,12 @@ def op12_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op6_quality_cotraining, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup, op11_conversation_repair, op12_consistent_ring)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = prefix_trie.named_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_donors(named))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec, op3_ngram_jaccard, op4_source_mixing, op5_pivot_index, op6_quality_cotraining, op7_token_files, op8_hidden_markov, op9_secret_ledger, op10_exact_dedup, op11_conversation_repair, op12_consistent_ring, op13_prefix_trie)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -108,7 +113,30 @@ def _secrets_sql() -> str:
     """
 
 
+def _crc32_sql(said: str) -> str:
+    """The CRC-32 of a short string of plain characters, bit by bit."""
+    steps = f"flatten(list_transform(range(1, length({said}) + 1), lambda i: list_prepend(ascii(({said})[i])::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT)"
+
+
 ORACLES = {
+    "op13_prefix_trie": f"""
+        WITH turns AS (
+          SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS s FROM conversations WHERE conv_id IS NOT NULL),
+        lists AS (SELECT conv_id, list(s ORDER BY turn NULLS FIRST, s) AS own FROM turns GROUP BY conv_id),
+        held AS (SELECT conv_id, own, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM lists),
+        rebuilt AS (
+          SELECT c.conv_id, list_concat(coalesce(d.own, [])[1:c.h], c.own[c.h + 1:]) AS seq FROM held c LEFT JOIN lists d ON d.conv_id = c.conv_id - c.conv_id % 5),
+        prefixes AS (SELECT conv_id, d, len(seq) AS n, seq[1:d] AS p, CASE WHEN d > 0 THEN strlen(seq[d].t) ELSE 0 END AS bytes FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+        nodes AS (
+          SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, count(*) FILTER (n > d) = 0 AS childless,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+          FROM prefixes GROUP BY p, d),
+        above AS (SELECT p[1:a] AS top, depth, a, childless, (n_convs - 1) * bytes AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM nodes)),
+        subtrees AS (SELECT top, count(*) FILTER (depth = a + 1) AS n_children, count(*) FILTER (childless) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY top)
+        SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+        FROM nodes n JOIN subtrees s ON s.top = n.p LEFT JOIN nodes up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.p = n.p[1:n.depth - 1]
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
