@@ -1,5 +1,6 @@
 import datetime
 import re
+import time
 
 import pytest
 from wavemill.llm import pii, queries
@@ -128,3 +129,13 @@ def test_query_finds_what_a_walk_over_the_characters_finds(spark, sf):
             at, place = b, place + len(new)
         assert r.text[place:] == text[at:]
     assert len(set(images.values())) == len(images)  # different values stay different
+
+
+@pytest.mark.parametrize("unit", ["bob.%d@mail8.example.com ", "70.1.2.%d ", "4111111111111111 ", "a@", "a@a.", "+1 (988) 555-2485 ", "1.", "1984-02-28 "])
+def test_a_long_text_takes_linear_time(unit):
+    many = lambda n: "".join(unit % (k % 250) if "%" in unit else unit for k in range(n // len(unit)))
+    begun = time.monotonic()
+    text = many(1_000_000)
+    new, spans = pii.pseudonymise(text, pii.Pseudonyms(KEY))
+    assert time.monotonic() - begun < 60  # with a look at every value for every other it is hours
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and (len(new) >= len(text) // 2)

@@ -10,8 +10,9 @@ number with its country code and the same number without are linked, because the
 mapping can be undone (``reveal=True``).
 
 One pass without a shuffle: texts without a digit or an @ leave untouched after a look at their bytes. Null text stays
-null with no spans; empty texts stay empty. Repeated rows are treated alike. Extra columns are kept; a column named
-like an output column is replaced.
+null with no spans; empty texts stay empty. Very long texts are read in whole, in time linear in their length and values.
+Where two kinds could claim the same characters the earlier one of ``KINDS`` has them. Repeated rows are treated alike, an
+empty table stays empty. Extra columns are kept; a column named like an output column is replaced.
 """
 
 from __future__ import annotations
@@ -249,19 +250,25 @@ _PATTERNS = [(kind, method, re.compile(pattern, re.ASCII)) for kind, method, pat
 
 def pseudonymise(text: str, names: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with validated values replaced, and (kind, start, end) of the replaced values in the old text."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, disjoint
     for kind, method, pattern in _PATTERNS:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, *_ in found):
+        merged, k = [], 0
+        for m in pattern.finditer(text):  # matches of one pattern come in order and are disjoint
+            a, b = m.span()
+            while k < len(found) and found[k][1] <= a:
+                merged.append(found[k])
+                k += 1
+            if k < len(found) and found[k][0] < b:
                 continue
             new = getattr(names, method)(m[0])
             if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+                merged.append((a, b, kind, new))
+        found = merged + found[k:]
     out, at = [], 0
-    for a, b, _, new in sorted(found):
+    for a, b, _, new in found:
         out += [text[at:a], new]
         at = b
-    return "".join((*out, text[at:])), [(kind, a, b) for a, b, kind, _ in sorted(found)]
+    return "".join((*out, text[at:])), [(kind, a, b) for a, b, kind, _ in found]
 
 
 def _worker(key: bytes, reveal: bool, make: Callable = Pseudonyms):
