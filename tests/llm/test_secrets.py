@@ -1,7 +1,10 @@
 import re
+import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
-from wavemill.llm import secret_ledger
+from wavemill.llm import queries, secret_ledger
 from wavemill.llm.secret_ledger import ALL_RULES, RULES, Rule
 
 TEXTS = [
@@ -56,3 +59,40 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
 def test_main_path_is_native(spark, tmp_path):
     plan = secret_ledger.secrets_by_row(_frame(spark, TEXTS), str(tmp_path / "n"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# texts that a pattern enters again and again without an end; each rule's prefix, alone and with what may follow
+HARD = ["password", "password  ", "token=", "secret'", "api_key = ", "AKIA", "AKIA ", "0123456789abcde ", "f", "-----BEGIN ", "-----BEGIN PRIVATE KEY", "PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----",
+        "-----END A", "eyJ", "eyJa.", "eyJa.eyJ", "eyJa.eyJa ", "xeyJ", "ghp_", "ghp_a", "xoxb-", "xoxb- ", "AIza", "AIza ", "sk_live_", "k_live_"]
+
+
+@pytest.mark.parametrize("unit", HARD)
+def test_a_long_text_takes_linear_time(spark, unit):
+    texts = spark.createDataFrame([("b", unit * (1_000_000 // len(unit)))], "blob string, text string")
+    begun = time.monotonic()
+    found = [secret_ledger.matches(texts, rule).groupBy().count() for rule in ALL_RULES]
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    every.collect()
+    assert time.monotonic() - begun < 30  # a pattern that starts over at every place takes hours
+
+
+def test_more_rules_by_hand():
+    rule = {r.name: r for r in ALL_RULES}
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abc_-DEF"
+    for name, yes, no in [
+        ("jwt", f"x {token}", f"x{token}"), ("jwt", f"({token})", "eyJabc.abc.abc"), ("github", "ghp_" + "a" * 36, "gha_" + "a" * 36), ("slack", "xoxb-1234567890-abcd", "xoxz-1234567890-abcd"),
+        ("google", "AIza" + "b" * 35, "AIz" + "b" * 36), ("stripe", "sk_live_" + "c" * 16, "sk_test_" + "c" * 16), ("pem", "-----BEGIN EC PRIVATE KEY-----\nabcd\n-----END EC PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----"),
+    ]:
+        assert re.search(rule[name].pattern, yes) and not re.search(rule[name].pattern, no)
+
+
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select doc_id, text from '{sf}/documents.parquet' union all select -1 - row_number() over (), t from (values {','.join(repr((t,)).replace(',)', ')') for t in TEXTS[14:] if chr(39) not in t)}) v(t)")
+    want = sorted(con.sql(queries.ORACLES["op9_secret_ledger"]).fetchall())
+    docs = spark.createDataFrame(con.sql("select doc_id, coalesce(text, '') from documents").fetchall(), "doc_id long, text string")
+    got = sorted((r.doc_id, r.spans) for r in secret_ledger.secrets_by_row(docs).collect())
+    assert got == [(r[0], r[-1]) for r in want]
+    assert sum(r[-1].count("jwt:") for r in want) > 0

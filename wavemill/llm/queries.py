@@ -77,33 +77,35 @@ QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_sentencepiece_codec,
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
-# Kinds in their order, patterns, capture group that is measured, fewest characters.
-SECRET_KINDS = (
+# The contract's kinds in their order, patterns, capture group that is measured, fewest characters.
+BASE_SECRETS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    ("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    ("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20),
-    ("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    ("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
 )
+#: SQL's patterns know no look behind: the character before the span is matched and left out of it.
+LOOK_BEHIND, CHARACTER_BEFORE = "(?<![A-Za-z0-9_-])", "(?:^|[^A-Za-z0-9_-])"
 
 
 def _secrets_sql() -> str:
-    quoted = [(kind, pattern.replace("'", "''"), group, least) for kind, pattern, group, least in SECRET_KINDS]
+    # kind, pattern, the same without groups, group measured, group that is the span, fewest characters
+    kinds = [(kind, pattern, pattern.replace("([", "(?:["), group, 0, least) for kind, pattern, group, least in BASE_SECRETS]
+    for rule in secret_ledger.MORE_RULES:
+        lead = CHARACTER_BEFORE if rule.pattern.startswith(LOOK_BEHIND) else ""
+        body = rule.pattern.removeprefix(LOOK_BEHIND)
+        kinds.append((rule.name, f"{lead}({body})", lead + body, 1, 1, rule.least))
+    quoted = lambda pattern: pattern.replace("'", "''")
     cut = " UNION ALL ".join(
-        f"SELECT doc_id, {k} AS place, '{kind}' AS kind, {least} AS least_, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern.replace('([', '(?:[') if group else pattern}') AS gaps, "
-        f"regexp_extract_all(t, '{pattern}', {group}) AS measured FROM d"
-        for k, (kind, pattern, group, least) in enumerate(quoted)
+        f"SELECT doc_id, {k} AS place, '{kind}' AS kind, {least} AS least_, regexp_extract_all(t, '{quoted(pattern)}') AS hits, string_split_regex(t, '{quoted(plain)}') AS gaps, "
+        f"regexp_extract_all(t, '{quoted(pattern)}', {measured}) AS measured, regexp_extract_all(t, '{quoted(pattern)}', {span}) AS owns FROM d"
+        for k, (kind, pattern, plain, measured, span, least) in enumerate(kinds)
     )
     return f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         cut AS ({cut}),
-        laid AS (SELECT doc_id, kind, place, least_, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(measured) AS said, unnest(range(len(hits))) AS nr FROM cut WHERE len(hits) > 0),
-        spans AS (SELECT doc_id, kind, place, hit, said, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS e, least_ FROM laid),
-        good AS (SELECT doc_id, kind, place, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM spans WHERE length(said) >= least_),
+        laid AS (SELECT doc_id, kind, place, least_, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(measured) AS said, unnest(owns) AS own, unnest(range(len(hits))) AS nr FROM cut WHERE len(hits) > 0),
+        spans AS (SELECT doc_id, kind, place, own, said, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS e, least_ FROM laid),
+        good AS (SELECT doc_id, kind, place, (e - length(own))::BIGINT AS s, e::BIGINT AS e FROM spans WHERE length(said) >= least_),
         said AS (
           SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) FILTER (place < 3) AS base,

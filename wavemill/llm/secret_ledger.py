@@ -8,7 +8,8 @@ new version is scanned again alone.
 
 Matches are leftmost and non-overlapping per rule; a match shorter than the rule asks is dropped after matching.
 Positions are code points, end exclusive: the pieces between matches and the matches are laid end to end. Running
-sums are windows over the matches of one text, so a text with very many matches needs no growing array.
+sums are windows over the matches of one text, so a text with very many matches needs no growing array. Every pattern reads
+a text in time linear in its length: a run of characters that a pattern takes in whole is entered at its beginning only.
 
 The registered query starts from an empty ledger; a caller that names a folder scans only what is new in it.
 
@@ -49,7 +50,7 @@ RULES = (
 # Further rules, same form; their order follows that of the first ones.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", 0, 30, r"PRIVATE KEY"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ"),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 0, 40, r"gh[oprsu]_"),
     Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20, r"xox"),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39, r"AIza"),
