@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw
 from ..functions.ranking import ranked
 from .metrics import auc
-from .safety import logit
-from .splits import group_folds
 
 #: name -> (hyperparameters -> estimator). MLP has no weights; all others balance the classes by weightCol.
 ESTIMATORS: dict[str, Callable] = {
@@ -80,38 +78,6 @@ def cross_predict(rows: DataFrame, features: list[str], names: list[str], folds:
     return out
 
 
-def search_val_auc(rows: DataFrame, features: list[str], name: str, grid: list[dict], keep: list[str]) -> tuple[dict, DataFrame]:
-    """The grid point with the best AUC on role = 'val', and its predictions, made once."""
-    best, best_auc, best_model = grid[0], -1.0, None
-    for params in grid:
-        model = fit_fold(rows, features, name, params)
-        found = auc(predict_fold(model, rows, features, keep).where("role = 'val'").withColumn("k", F.lit(1)), ["k"]).first()
-        if found is not None and found.auc is not None and found.auc > best_auc + 1e-12:
-            best, best_auc, best_model = params, found.auc, model
-    return best, predict_fold(best_model or fit_fold(rows, features, name, best), rows, features, keep)
-
-
-def stacked(rows: DataFrame, features: list[str], names: list[str], key: str, inner: int, keep: list[str]) -> DataFrame:
-    """Test predictions of a logistic regression on the members' log-odds.
-
-    Its training rows are the fit rows, each scored by members fitted without the row's group of ``inner`` folds.
-    """
-    fit, other = rows.where("role = 'fit'"), rows.where("role <> 'fit'")
-    dealt = fit.join(group_folds(fit, key, inner, 11).withColumnRenamed("fold", "_inner"), key)
-    out = None
-    for name in names:
-        parts = []
-        for k in range(inner):
-            part = dealt.withColumn("role", F.when(F.col("_inner") == k, "val").otherwise("fit"))
-            parts.append(predict_fold(fit_fold(part, features, name), part, features, [*keep, key]).withColumn("role", F.lit("fit")))
-        parts.append(predict_fold(fit_fold(fit, features, name), other, features, [*keep, key]))
-        own = reduce(DataFrame.unionByName, parts).select(*keep, key, "role", "y", logit(F.col("prob")).alias(f"z_{name}"))
-        out = own if out is None else out.join(own.drop("role", "y"), [*keep, key])
-    members = [f"z_{name}" for name in names]
-    out = out.cache()
-    return predict_fold(fit_fold(out, members, "logreg"), out, members, [*keep, key])
-
-
 def permutation_importance(model, rows: DataFrame, features: list[str], key: str, reps: int = 2, seed: str = "imp") -> DataFrame:
     """(feature, drop): loss of AUC when one feature's values are dealt anew among the rows, mean over repetitions.
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
+from ..operators import batched as bt
 from ..operators import ensemble as en
 from ..operators import features as ft
 from ..operators import metrics as m
@@ -16,6 +15,8 @@ from ..operators import models as md
 from ..operators import signals as sg
 from ..operators import splits as sp
 from ..operators import stats as st
+from ..operators.safety import logit
+from ..sources.tables import stored
 from ..streaming import live
 from . import fixtures as fx
 from .beat_plans import _peaks, kind
@@ -124,58 +125,93 @@ def standardize_clip5(spark, d):
 
 
 def _prepared(spark, d) -> DataFrame:
-    return md.prep_pipeline(_dataset(spark, d), FEATURES, ["fold"]).repartition(8, "window_id").cache()
+    return stored(bt.by_role(md.prep_pipeline(_dataset(spark, d), FEATURES, ["fold"])))
 
 
-def _folds(rows: DataFrame) -> list[tuple[int, DataFrame]]:
-    """Every fold of rows with its rows; folds are few."""
-    return [(r.fold, rows.where(F.col("fold") == r.fold)) for r in rows.select("fold").distinct().orderBy("fold").collect()]
+def _fold_numbers(rows: DataFrame) -> list[int]:
+    """The folds of rows; they are few."""
+    return [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
 
 
 def _classifier(name: str):
     def run(spark, d):
         rows = _prepared(spark, d)
-        return md.cross_predict(rows, FEATURES, [name], [fold for fold, _ in _folds(rows)], ["window_id"]).drop("variant")
+        return md.cross_predict(rows, FEATURES, [name], _fold_numbers(rows), ["window_id"]).drop("variant")
 
     run.__doc__ = f"Predictions of {name} on every fold's validation and test rows."
     return run
 
 
-for _name, _kind in (("clf_logreg", "logreg"), ("clf_rf", "rf"), ("clf_boost", "boost"), ("clf_mlp", "mlp"), ("clf_svc", "svc")):
+for _name, _kind in (("clf_rf", "rf"), ("clf_boost", "boost"), ("clf_mlp", "mlp"), ("clf_svc", "svc")):
     query(_name)(_classifier(_kind))
 
 
+def _logreg(rows: DataFrame, folds: list[int]) -> DataFrame:
+    """(fold, window_id, role, y, prob) of the balanced logistic regression, all folds fitted together."""
+    fitted = bt.logistic_fits(rows, FEATURES, [bt.Fit(fold) for fold in folds])
+    return bt.score_held(rows, fitted, ["fold", "window_id", "role"]).drop("model")
+
+
+@query("clf_logreg")
+def clf_logreg(spark, d):
+    """Predictions of logistic regression on every fold's validation and test rows."""
+    rows = _prepared(spark, d)
+    return _logreg(rows, _fold_numbers(rows))
+
+
+STACK_FOLDS = 5
+
+
 @query("clf_stack")
 def clf_stack(spark, d):
-    """Stacked classifiers per fold: members' log-odds on fit rows come from models that have not seen the row's record."""
+    """Stacked classifiers: a balanced logistic regression (C 0.3) on the members' log-odds, fitted on validation rows.
+
+    Test rows are scored by it, validation rows by five models that did not see the row's part; all folds in one fit.
+    """
     rows = _prepared(spark, d)
-    preds = (md.stacked(part, FEATURES, ["logreg", "rf"], "record_id", 3, ["fold", "window_id"]) for _, part in _folds(rows))
-    return reduce(DataFrame.unionByName, preds)
+    folds = _fold_numbers(rows)
+    others = md.cross_predict(rows, FEATURES, ["rf", "boost", "svc"], folds, ["window_id"])
+    members = _logreg(rows, folds).withColumn("variant", F.lit("logreg")).unionByName(others)
+    wide = members.groupBy("fold", "window_id", "role", "y").pivot("variant", ["logreg", "rf", "boost", "svc"]).agg(F.first(logit(F.col("prob"))))
+    wide = stored(wide)
+    val = wide.where("role = 'val'")
+    inner = sp.strat_window_folds(val.select(F.struct("fold", "window_id").alias("at"), (2 * F.col("fold") + F.col("y")).alias("class")), "at", "class", STACK_FOLDS, 5)
+    inner = inner.select("at.fold", "at.window_id", F.col("fold").alias("inner"))
+    parts = F.when(F.col("role") == "val", F.array(F.lit(0), F.col("inner"))).otherwise(F.array(F.lit(1), F.lit(-1)))
+    wide = stored(wide.join(inner, ["fold", "window_id"], "left").withColumn("parts", parts))
+    fits = [bt.Fit(fold, penalty=1 / 0.3) for fold in folds] + [bt.Fit(fold, k, 1, 1 / 0.3) for fold in folds for k in range(STACK_FOLDS)]
+    fitted = bt.logistic_fits(wide, ["logreg", "rf", "boost", "svc"], fits)
+    return bt.score_held(wide, fitted, ["fold", "window_id", "role"]).drop("model")
 
 
 @query("ens_stack")
 def ens_stack(spark, d):
-    """Logistic regression on the variants' log-odds, fitted on validation rows, applied to test rows, per seed and fold."""
-    from ..operators.safety import logit
-
+    """Balanced logistic regression (C 0.3) on the variants' log-odds, fitted on validation rows, applied to test rows; every seed and fold in one fit."""
     wide = fx.predictions(spark, d).groupBy("seed", "fold", "record_id", "role", "y").pivot("variant", list(fx.VARIANTS)).agg(F.first(logit(F.col("prob"))))
-    rows = wide.withColumn("role", F.when(F.col("role") == "val", "fit").otherwise("test")).cache()
-    parts = [part.where(F.col("seed") == r.seed) for _, part in _folds(rows) for r in part.select("seed").distinct().orderBy("seed").collect()]
-    preds = (md.predict_fold(md.fit_fold(part, list(fx.VARIANTS), "logreg", {"reg": 0.3}), part, list(fx.VARIANTS), ["seed", "fold", "record_id"]) for part in parts)
-    return reduce(DataFrame.unionByName, preds)
+    rows = wide.withColumn("role", F.when(F.col("role") == "val", "fit").otherwise("test")).withColumn("run", F.col("seed") * 5 + F.col("fold"))
+    rows = stored(bt.by_role(rows))
+    runs = [r.run for r in rows.select("run").distinct().orderBy("run").collect()]  # one per seed and fold
+    fitted = bt.logistic_fits(rows, list(fx.VARIANTS), [bt.Fit(run, penalty=1 / 0.3) for run in runs], "run")
+    return bt.score_held(rows, fitted, ["seed", "fold", "record_id", "role"], group="run").drop("model")
+
+
+CONFIGS = 12
 
 
 @query("search_val_auc")
 def search_val_auc(spark, d):
-    grid = [{"reg": r} for r in (0.001, 0.03, 0.3)]
-    found = (md.search_val_auc(part, FEATURES, "logreg", grid, ["fold", "window_id"]) for _, part in _folds(_prepared(spark, d)))
-    return reduce(DataFrame.unionByName, (preds.withColumn("config", F.lit(str(best))) for best, preds in found))
+    """Twelve drawn configurations of each fold, judged on validation rows; the best one's predictions."""
+    rows = _prepared(spark, d)
+    preds, _ = bt.search_val_auc(rows, FEATURES, bt.drawn_configs(spark, CONFIGS), _fold_numbers(rows), ["fold", "window_id"])
+    return preds
 
 
 @query("perm_importance")
 def perm_importance(spark, d):
     """Loss of AUC by feature: five repetitions, mean over folds, the fifteen largest."""
-    parts = (md.permutation_importance(md.fit_fold(part, FEATURES, "logreg"), part.where("role = 'val'"), FEATURES, "window_id", 5) for _, part in _folds(_prepared(spark, d)))
+    rows = _prepared(spark, d)
+    parts = [(rows.where(F.col("fold") == fold), fold) for fold in _fold_numbers(rows)]
+    parts = (md.permutation_importance(md.fit_fold(part, FEATURES, "logreg"), part.where("role = 'val'"), FEATURES, "window_id", 5) for part, _ in parts)
     # a table of a row per fold and feature is put together fold by fold: one plan of all repetitions would be too large
     rows = spark.createDataFrame([tuple(r) for part in parts for r in part.collect()], "feature string, drop double")
     return rows.groupBy("feature").agg(F.avg("drop").alias("drop")).orderBy(F.col("drop").desc(), "feature").limit(15)
@@ -183,38 +219,54 @@ def perm_importance(spark, d):
 
 @query("af_screen")
 def af_screen(spark, d):
-    """Interval irregularity and boosted trees; records of high beat count stand for the positive class."""
+    """Interval irregularity and boosted trees; records of high beat count stand for the positive class. Every fold tests its own records."""
     cols = ["cv", "rmssd", "nrmssd", "pnn50", "pnn20", "mad_diff", "range"]
     rr = ft.rr_irregularity(kind(spark, d, "ecg"), "record_id", 0.5, 48.0, 5.0, 2.0)
     y = fx.read(spark, d, "events").groupBy(F.col("user_id").alias("record_id")).agg((F.avg("value") > 50).cast("int").alias("y"))
     rows = rr.join(y, "record_id")
-    rows = rows.join(sp.strat_group_folds(rows, "record_id", "y", 3).drop("y"), "record_id").withColumn("role", F.when(F.col("fold") == 0, "test").otherwise("fit")).withColumn("fold", F.lit(0))
-    rows = md.prep_pipeline(rows, cols, ["fold"]).cache()
-    return md.predict_fold(md.fit_fold(rows, cols, "boost"), rows, cols, ["record_id"])
+    own = sp.strat_group_folds(rows, "record_id", "y", 3).select("record_id", F.col("fold").alias("own"))
+    rows = rows.join(own, "record_id").withColumn("fold", F.explode(F.array(*map(F.lit, range(3)))))
+    rows = rows.withColumn("role", F.when(F.col("fold") == F.col("own"), "test").otherwise("fit")).drop("own")
+    rows = stored(md.prep_pipeline(rows, cols, ["fold"]))
+    return md.cross_predict(rows, cols, ["boost"], _fold_numbers(rows), ["record_id"]).drop("variant", "role")
+
+
+REPEATS = 10
 
 
 @query("error_predictability")
 def error_predictability(spark, d):
-    """Can persistent errors be told from record attributes: AUC of a logistic regression on held-out windows."""
-    a = fx.alarms(spark, d).groupBy("record_id").agg(F.avg("quality").alias("q"), F.avg("l_quantity").alias("n"), F.avg("l_extendedprice").alias("p"))
-    rows = _errors(spark, d).where("variant = 'A'").select("record_id", F.col("category").startswith("persistent").cast("int").alias("y")).join(a, "record_id")
-    rows = rows.join(sp.strat_window_folds(rows, "record_id", "y", 4).drop("y"), "record_id").withColumn("role", F.when(F.col("fold") == 0, "test").otherwise("fit")).withColumn("fold", F.lit(0))
-    rows = md.prep_pipeline(rows, ["q", "n", "p"], ["fold"]).cache()
-    preds = md.predict_fold(md.fit_fold(rows, ["q", "n", "p"], "logreg"), rows, ["q", "n", "p"], ["record_id"])
-    return m.auc(preds.withColumn("variant", F.lit("A")), ["variant"])
+    """Can persistent errors be told from record attributes, within one variant and class: AUC over ten repeats of stratified five-fold cross validation."""
+    a = fx.alarms(spark, d).groupBy("record_id").agg(F.avg("quality").alias("q"), F.avg("l_quantity").alias("n_lines"), F.avg("l_extendedprice").alias("p"))
+    variant = F.array_position(F.array(*map(F.lit, fx.VARIANTS)), F.col("variant")).cast("int") - 1
+    rows = _errors(spark, d).select((2 * variant + F.col("y")).cast("int").alias("run"), "record_id", F.col("category").startswith("persistent").cast("int").alias("y")).join(a, "record_id")
+    rows = stored(rows)
+    tries = rows.select("run", "y", "record_id", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))).alias("repeat"))
+    tries = tries.select(F.struct("run", "record_id", "repeat").alias("at"), F.struct("run", "repeat", "y").alias("class"))
+    dealt = sp.strat_window_folds(tries.select(F.to_json("at").alias("key"), "class"), "key", "class", 5, 3)
+    dealt = dealt.select(F.from_json("key", "run int, record_id long, repeat int").alias("at"), "fold")
+    parts = dealt.groupBy("at.run", "at.record_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at.repeat", "fold"))), lambda s: s["fold"]).alias("parts"))
+    rows = stored(rows.join(parts, ["run", "record_id"]))
+    runs = [r.run for r in rows.select("run").distinct().orderBy("run").collect()]  # two per variant
+    found = bt.predictability(rows, ["q", "n_lines", "p"], "run", runs, REPEATS)
+    name = F.element_at(F.array(*map(F.lit, fx.VARIANTS)), (F.floor(F.col("run") / 2) + 1).cast("int"))
+    return found.select(name.alias("variant"), (F.col("run") % 2).alias("class"), "n", "n_err", "auc", "auc_sd")
 
 
 @query("signature_check")
 def signature_check(spark, d):
-    """Are perturbed windows separable from clean ones by their spectra: AUC near one half means no signature."""
+    """Are perturbed windows separable from clean ones by their spectra: AUC near one half means no signature. Five-fold by record, all folds in one fit."""
     from ..operators.perturb import block_dropout
 
     names = [*(f"band_{k}" for k in range(5)), "entropy", "kurtosis"]
     one = lambda rows: kn.per_window(rows, "window_id", lambda x: kn.spectral_summary(x, FS, (0.5, 4, 8, 16, 24, 33)), names)
     clean, hit = one(_w(spark, d)).withColumn("y", F.lit(0)), one(block_dropout(_w(spark, d), "window_id", 8, 0.3)).withColumn("y", F.lit(1))
-    rows = clean.unionByName(hit).withColumn("record_id", F.floor(F.col("window_id") / 2)).withColumn("role", F.when(F.col("record_id") % 4 == 0, "test").otherwise("fit")).withColumn("fold", F.lit(0))
-    rows = md.prep_pipeline(rows, names, ["fold"]).cache()
-    return m.auc(md.predict_fold(md.fit_fold(rows, names, "logreg"), rows, names, ["window_id"]).withColumn("kind", F.lit("blocks")), ["kind"])
+    rows = clean.unionByName(hit).withColumn("record_id", F.floor(F.col("window_id") / 2))
+    folds = sp.group_folds(rows, "record_id", 5, 4).withColumnRenamed("fold", "own")
+    rows = stored(rows.join(folds, "record_id").withColumns({"run": F.lit(0), "parts": F.array("own")}))
+    fitted = bt.logistic_fits(rows, names, [bt.Fit(0, k) for k in range(5)], "run")
+    preds = bt.score_held(rows, fitted, ["window_id"], group="run").withColumn("kind", F.lit("blocks"))
+    return m.auc(preds.withColumn("fold", F.col("model")), ["kind", "fold"]).groupBy("kind").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
 
 
 @query("cp_upper")

@@ -37,6 +37,13 @@ def _delete_folders() -> None:
         folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """rows written to a scratch table and read back: computed once, and a lost executor costs no recomputation."""
+    path = scratch_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_alarms(spark: SparkSession, path: str) -> DataFrame:
     """Headerless CSV of record, alarm type and label."""
     return spark.read.schema("record_id string, alarm_type string, label int").csv(path)
