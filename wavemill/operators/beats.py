@@ -38,20 +38,39 @@ def suppress_by_frame(peaks: DataFrame, by: list[str], distance: int, value: str
     return peaks.withColumn("_m", F.max(value).over(w)).where(F.col(value) >= F.col("_m")).drop("_m")
 
 
+#: Longer runs of peaks are solved in Arrow batches, shorter ones by a fold.
+RUN_PEAKS = 64
+
+
 def suppress_exact(peaks: DataFrame, by: list[str], distance: int, value: str = "x") -> DataFrame:
-    """Sequential form, per window in Arrow batches: the highest first, its neighbours nearer than the distance go."""
+    """Sequential form: the highest first (of equal ones the later), its neighbours nearer than the distance go.
+
+    Peaks in a row whose gaps are all shorter than the distance are a run; runs do not touch each other, so each is solved
+    alone, as a fold over its peaks from the highest down. Runs of more than RUN_PEAKS peaks are walked in Arrow batches, each
+    kept peak striking out its neighbours on either side, in time linear in the run but for one sort.
+    """
+    order, columns = W.partitionBy(*by).orderBy("i"), peaks.columns
+    new = F.when(F.col("i") - F.lag("i").over(order) < distance, 0).otherwise(1)
+    rows = peaks.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    peak = F.struct(F.col(value).alias("v"), F.col("i").alias("at"), F.struct(*columns).alias("row"))
+    runs = rows.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(peak), asc=False).alias("peaks"), F.count("*").alias("n"))
+    none = F.slice("peaks", 1, 0)
+    clear = lambda kept, p: ~F.exists(kept, lambda q: F.abs(q["at"] - p["at"]) < distance)
+    kept = F.aggregate("peaks", none, lambda kept, p: F.when(clear(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+    short = runs.where(F.col("n") <= RUN_PEAKS).select(F.explode(kept).alias("p")).select("p.row.*")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("i").reset_index(drop=True)
-        at, keep = frame["i"].to_numpy(), np.ones(len(frame), bool)
+        at, open_, keep = frame["i"].to_numpy(), np.ones(len(frame), bool), np.zeros(len(frame), bool)
         for k in np.argsort(frame[value].to_numpy(), kind="stable")[::-1]:
-            if keep[k]:
-                close = np.abs(at - at[k]) < distance
-                close[k] = False
-                keep &= ~close
-        return frame[keep]
+            if open_[k]:
+                keep[k] = True
+                open_[np.searchsorted(at, at[k] - distance, "right") : np.searchsorted(at, at[k] + distance)] = False
+        return frame.loc[keep, columns]
 
-    return peaks.groupBy(*by).applyInPandas(run, peaks.schema)
+    dense = rows.groupBy(*by, "_run").agg(F.count("*").alias("n")).where(F.col("n") > RUN_PEAKS).drop("n")
+    long = rows.join(dense, [*by, "_run"], "left_semi").groupBy(*by, "_run").applyInPandas(run, peaks.schema)
+    return short.unionByName(long)
 
 
 def peaks_by_prominence(rows: DataFrame, by: list[str], distance: int, share: float = 0.4) -> DataFrame:
@@ -83,17 +102,32 @@ def peaks_by_prominence(rows: DataFrame, by: list[str], distance: int, share: fl
     return rows.select(*by, "i", "x").groupBy(*by).applyInPandas(run, schema)
 
 
+#: Samples of one bucket where spans have no length of their own.
+BUCKET = 256
+
+
+def samples_of(spans: DataFrame, rows: DataFrame, by: list[str], bucket: int = BUCKET) -> DataFrame:
+    """spans (by, _a, _z, ...) with each sample (by, i, ...) of the closed range from _a to _z.
+
+    Equality is on (by, bucket of samples), so a long recording is dealt to many tasks and a span meets its own buckets only.
+    """
+    dealt = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_z") / bucket))))
+    own = rows.withColumn("_b", F.floor(F.col("i") / bucket))
+    return dealt.join(own, [*by, "_b"]).where(F.col("i").between(F.col("_a"), F.col("_z"))).drop("_a", "_z", "_b")
+
+
 def refine(candidates: DataFrame, rows: DataFrame, by: list[str], reach: int) -> DataFrame:
     """Each candidate moves to the largest |x| within reach (ties: the earlier sample); equal results fall together."""
-    near = candidates.select(*by, F.col("i").alias("c")).join(rows.select(*by, "i", "x"), by).where(F.abs(F.col("i") - F.col("c")) <= reach)
+    spans = candidates.select(*by, F.col("i").alias("c"), (F.col("i") - reach).alias("_a"), (F.col("i") + reach).alias("_z"))
+    near = samples_of(spans, rows.select(*by, "i", "x"), by, 2 * reach + 1)
     return near.groupBy(*by, "c").agg(F.max_by("i", F.struct(F.abs("x"), -F.col("i"))).alias("i")).select(*by, "i").distinct()
 
 
 def feet(peaks: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
     """The lowest sample between the previous peak (or the start) and each peak; ties: the earlier."""
     before = F.coalesce(F.lag("i").over(W.partitionBy(*by).orderBy("i")), F.lit(0))
-    spans = peaks.select(*by, F.col("i").alias("peak"), before.alias("a"))
-    near = spans.join(rows.select(*by, "i", "x"), by).where((F.col("i") >= F.col("a")) & (F.col("i") <= F.col("peak")))
+    spans = peaks.select(*by, F.col("i").alias("peak"), before.alias("_a"), F.col("i").alias("_z"))
+    near = samples_of(spans, rows.select(*by, "i", "x"), by)
     return near.groupBy(*by, "peak").agg(F.min_by("i", F.struct("x", "i")).alias("foot"))
 
 
@@ -129,21 +163,48 @@ def match_mutual(reference: DataFrame, detected: DataFrame, key: str, tolerance:
     return near.where("_a = 1 and _b = 1").select(key, "t", "t2")
 
 
+#: Longer chains of beats are solved in Arrow batches, shorter ones by a fold.
+CHAIN_BEATS = 64
+
+
 def match_greedy(reference: DataFrame, detected: DataFrame, key: str, tolerance: float) -> DataFrame:
-    """(key, tp, fp, fn) by taking reference beats in order, each with the nearest free detection; per record in Arrow."""
+    """(key, tp, fp, fn) by taking reference beats in order, each with the nearest free detection (of equally near ones the earlier).
+
+    Beats of both sides in order of time fall into chains: a gap above the tolerance parts two, and no pair reaches across. Each
+    chain is solved alone, as a fold over its reference beats; chains of more than CHAIN_BEATS beats are walked in Arrow batches,
+    where a beat looks at the detections within its tolerance only.
+    """
+    both = reference.select(key, F.col("t").cast("double"), F.lit(0).alias("side")).unionByName(detected.select(key, F.col("t").cast("double"), F.lit(1).alias("side")))
+    order = W.partitionBy(key).orderBy("t", "side")
+    both = both.withColumn("_new", F.when(F.col("t") - F.lag("t").over(order) <= tolerance, 0).otherwise(1))
+    both = both.withColumn("_chain", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    times = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("t"))))
+    chains = both.groupBy(key, "_chain").agg(times(0).alias("ref"), times(1).alias("det"), F.count("*").alias("n"))
+    start = F.struct(F.transform("det", lambda t, k: F.struct(t.alias("t"), k.alias("k"))).alias("free"), F.lit(0).alias("tp"))
+
+    def take(acc, t):
+        near = F.array_min(F.transform(acc["free"], lambda d: F.struct(F.abs(d["t"] - t).alias("gap"), d["k"].alias("k"))))
+        hit = F.coalesce(near["gap"] <= tolerance, F.lit(False))
+        return F.struct(F.when(hit, F.filter(acc["free"], lambda d: d["k"] != near["k"])).otherwise(acc["free"]).alias("free"), (acc["tp"] + hit.cast("int")).alias("tp"))
+
+    short = chains.where(F.col("n") <= CHAIN_BEATS).select(key, F.size("ref").alias("n_ref"), F.size("det").alias("n_det"), F.aggregate("ref", start, take)["tp"].alias("tp"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ref, det = (np.sort(frame.loc[frame["side"] == s, "t"].to_numpy()) for s in (0, 1))
         free, tp = np.ones(len(det), bool), 0
         for t in ref:
-            gaps = np.where(free, np.abs(det - t), np.inf)
+            a, b = np.searchsorted(det, t - tolerance - 1e-6), np.searchsorted(det, t + tolerance + 1e-6, "right")
+            gaps = np.where(free[a:b], np.abs(det[a:b] - t), np.inf)
             if len(gaps) and gaps.min() <= tolerance:
-                free[gaps.argmin()] = False
+                free[a + gaps.argmin()] = False
                 tp += 1
-        return pd.DataFrame({key: [frame[key].iloc[0]], "tp": [tp], "fp": [int(free.sum())], "fn": [len(ref) - tp]})
+        return pd.DataFrame({key: [frame[key].iloc[0]], "n_ref": [len(ref)], "n_det": [len(det)], "tp": [tp]})
 
-    both = reference.select(key, F.col("t").cast("double"), F.lit(0).alias("side")).unionByName(detected.select(key, F.col("t").cast("double"), F.lit(1).alias("side")))
-    return both.groupBy(key).applyInPandas(run, f"{key} {reference.schema[key].dataType.simpleString()}, tp long, fp long, fn long")
+    dense = chains.where(F.col("n") > CHAIN_BEATS).select(key, "_chain")
+    schema = f"{key} {reference.schema[key].dataType.simpleString()}, n_ref int, n_det int, tp int"
+    long = both.join(dense, [key, "_chain"], "left_semi").groupBy(key, "_chain").applyInPandas(run, schema)
+    sums = short.unionByName(long).groupBy(key).agg(*(F.sum(c).alias(c) for c in ("tp", "n_ref", "n_det")))
+    return sums.select(key, "tp", (F.col("n_det") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("tp")).alias("fn"))
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:

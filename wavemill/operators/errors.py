@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 
 def consensus_error(preds: DataFrame, by: list[str]) -> DataFrame:
     """Share of seeds in which a record is wrong at one half, its mean score and label."""
@@ -18,7 +20,7 @@ def error_category(error: Column, y: Column) -> Column:
 
 def terciles(rows: DataFrame, value: str, name: str) -> DataFrame:
     """low, mid, high by the 1/3 and 2/3 quantiles; ties stay together."""
-    edges = rows.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_e"))
+    edges = exact_quantiles(rows, [value], [1 / 3, 2 / 3]).withColumnRenamed(f"q_{value}", "_e")  # one row
     level = F.when(F.col(value) < F.col("_e")[0], "low").when(F.col(value) < F.col("_e")[1], "mid").when(F.col(value).isNotNull(), "high")
     return rows.join(F.broadcast(edges)).withColumn(name, level).drop("_e")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .beats import samples_of
+
 
 def intervals(beats: DataFrame, key: str) -> DataFrame:
     """(key, k, t, rr, d): beat number, interval to the previous beat, change of the interval."""
@@ -105,7 +107,8 @@ def stats_pack(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def template_corr(beats: DataFrame, rows: DataFrame, key: str, reach: int, least: int = 3) -> DataFrame:
     """Correlation of each beat's snippet with the point-wise median beat; beats whose snippet leaves the window are left out."""
-    snip = beats.select(key, F.col("i").alias("beat")).join(rows.select(key, "i", "x"), key).where(F.abs(F.col("i") - F.col("beat")) <= reach).withColumn("o", F.col("i") - F.col("beat"))
+    spans = beats.select(key, F.col("i").alias("beat"), (F.col("i") - reach).alias("_a"), (F.col("i") + reach).alias("_z"))
+    snip = samples_of(spans, rows.select(key, "i", "x"), [key], 2 * reach + 1).withColumn("o", F.col("i") - F.col("beat"))
     snip = snip.withColumn("_n", F.count("*").over(W.partitionBy(key, "beat"))).where(F.col("_n") == 2 * reach + 1)
     snip = snip.withColumn("med", F.percentile("x", 0.5).over(W.partitionBy(key, "o")))
     per = snip.groupBy(key, "beat").agg(F.corr("x", "med").alias("c"))
@@ -164,7 +167,8 @@ def sqi_moments(rows: DataFrame, key: str) -> DataFrame:
 
 def qrs_morphology(beats: DataFrame, rows: DataFrame, key: str, reach: int) -> DataFrame:
     """Per window: mean amplitude, peak-to-peak and samples above half of the beat's maximum, over its beats."""
-    near = beats.select(key, F.col("i").alias("beat")).join(rows.select(key, "i", "x"), key).where(F.abs(F.col("i") - F.col("beat")) <= reach)
+    spans = beats.select(key, F.col("i").alias("beat"), (F.col("i") - reach).alias("_a"), (F.col("i") + reach).alias("_z"))
+    near = samples_of(spans, rows.select(key, "i", "x"), [key], 2 * reach + 1)
     near = near.withColumn("top", F.max(F.abs("x")).over(W.partitionBy(key, "beat")))
     per = near.groupBy(key, "beat").agg(F.max("top").alias("amplitude"), (F.max("x") - F.min("x")).alias("ptp"), F.count_if(F.abs("x") >= F.col("top") / 2).alias("width"))
     return per.groupBy(key).agg(F.count("*").alias("beats"), *(F.avg(c).alias(c) for c in ("amplitude", "ptp", "width")))
@@ -174,7 +178,7 @@ def pulse_morphology(feet: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """From (key, peak, foot): mean amplitude, rise, trapezoid area above the foot and steepest up-slope."""
     nxt = F.lead("x").over(W.partitionBy(key).orderBy("i"))
     at = rows.select(key, "i", "x", nxt.alias("x2"))
-    near = feet.join(at, key).where((F.col("i") >= F.col("foot")) & (F.col("i") <= F.col("peak")))
+    near = samples_of(feet.withColumns({"_a": F.col("foot"), "_z": F.col("peak")}), at, [key])
     near = near.withColumn("base", F.max(F.when(F.col("i") == F.col("foot"), F.col("x"))).over(W.partitionBy(key, "peak")))
     inner = F.col("i") < F.col("peak")
     per = near.groupBy(key, "peak", "foot").agg((F.max(F.when(F.col("i") == F.col("peak"), F.col("x"))) - F.max("base")).alias("amplitude"), F.coalesce(F.sum(F.when(inner, (F.col("x") + F.col("x2")) / 2 - F.col("base"))), F.lit(0.0)).alias("area"), F.max(F.when(inner, F.col("x2") - F.col("x"))).alias("slope")).withColumn("rise", F.col("peak") - F.col("foot"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import ranked
 from .metrics import auc
 
@@ -28,10 +29,9 @@ ESTIMATORS: dict[str, Callable] = {
 def prep_pipeline(rows: DataFrame, features: list[str], by: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Median for NULL, clip to percentiles, standardise; everything learned on role = 'fit' of each ``by`` only."""
     fit = rows.where("role = 'fit'")
-    q = F.array(F.lit(low), F.lit(0.5), F.lit(high))
-    edges = fit.groupBy(*by).agg(*(F.percentile(c, q).alias(f"_q_{c}") for c in features))
+    edges = exact_quantiles(fit, features, [low, 0.5, high], by).withColumnsRenamed({f"q_{c}": f"_q_{c}" for c in features})
     filled = lambda t: t.select(*[c for c in rows.columns if c not in features], *(F.least(F.greatest(F.coalesce(F.nanvl(c, F.lit(None)), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[2]).alias(c) for c in features))
-    clipped = filled(rows.join(edges, by))
+    clipped = filled(rows.join(edges, by, "left"))
     stats = clipped.where("role = 'fit'").groupBy(*by).agg(*(s for c in features for s in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))))
     out = clipped.join(stats, by)
     return out.select(*[c for c in rows.columns if c not in features], *(((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + F.lit(1e-6))).alias(c) for c in features))

@@ -53,7 +53,11 @@ def noise_snr(rows: DataFrame, noise: DataFrame, key: str, n: int, snr_db: float
     count = bank.agg(F.count("*").alias("banks"))
     picks = rows.select(key).distinct().join(F.broadcast(count)).withColumn("c", draw(F.lit(seed), F.col(key)) % F.col("banks")).join(F.broadcast(bank), "c")
     picks = picks.select(key, "channel", (draw(F.lit(seed + "-at"), F.col(key)) % (F.col("len") - n + 1)).alias("off"), F.when(draw(F.lit(seed + "-sign"), F.col(key)) % 2 == 0, 1.0).otherwise(-1.0).alias("sign"))
-    slice_ = picks.join(noise.withColumnRenamed("i", "ni"), "channel").where((F.col("ni") >= F.col("off")) & (F.col("ni") < F.col("off") + n)).select(key, (F.col("ni") - F.col("off")).alias("i"), (F.col("v") * F.col("sign")).alias("v"))
+    # a slice lies in at most two buckets of its own length, so a long channel is read bucket by bucket
+    first, last = F.floor(F.col("off") / n), F.floor((F.col("off") + n - 1) / n)
+    picks = picks.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last))))
+    bank = noise.select("channel", F.col("i").alias("ni"), "v", F.floor(F.col("i") / n).alias("bucket"))
+    slice_ = picks.join(bank, ["channel", "bucket"]).where((F.col("ni") >= F.col("off")) & (F.col("ni") < F.col("off") + n)).select(key, (F.col("ni") - F.col("off")).alias("i"), (F.col("v") * F.col("sign")).alias("v"))
     w = W.partitionBy(key)
     both = rows.join(slice_, [key, "i"]).withColumn("v", F.col("v") - F.avg("v").over(w))
     scale = F.sqrt(F.var_pop("x").over(w) / (F.var_pop("v").over(w) * F.lit(10 ** (snr_db / 10)) + F.lit(1e-12)))

@@ -45,9 +45,10 @@ def refractory_suppress(spark, d):
     return bt.suppress_by_frame(_peaks(spark, d), ["window_id"], 6).select("window_id", "i", *r6("x"))
 
 
-@query("refractory_suppress_exact")
+@query("refractory_suppress_exact", f"""WITH RECURSIVE {_PK}, s AS (SELECT window_id, list({{'i': i, 'x': x}} ORDER BY x DESC, i DESC) AS ahead, (list({{'i': i, 'x': x}}))[1:0] AS kept FROM pk GROUP BY window_id UNION ALL
+  SELECT window_id, list_filter(ahead, lambda p: abs(p.i - ahead[1].i) >= 6), list_append(kept, ahead[1]) FROM s WHERE len(ahead) > 0), f AS (SELECT window_id, unnest(kept) AS p FROM s WHERE len(ahead) = 0) SELECT window_id, p.i::BIGINT AS i, round(p.x, 6) AS x FROM f""")
 def refractory_suppress_exact(spark, d):
-    return bt.suppress_exact(_peaks(spark, d), ["window_id"], 6)
+    return bt.suppress_exact(_peaks(spark, d), ["window_id"], 6).select("window_id", "i", *r6("x"))
 
 
 @query("pulse_peaks")
@@ -95,7 +96,11 @@ def match_beats(spark, d):
     return bt.match_mutual(kind(spark, d, "ecg"), kind(spark, d, "ecg2"), "record_id", TOL).select("record_id", *r6("t", "t2"))
 
 
-@query("match_beats_greedy")
+@query("match_beats_greedy", f"""WITH RECURSIVE {_BT}, b AS (SELECT record_id, list(t ORDER BY t) FILTER (side = 0) AS ref, list(t ORDER BY t) FILTER (side = 1) AS det FROM (SELECT *, 0 AS side FROM ec UNION ALL SELECT *, 1 FROM e2) GROUP BY record_id),
+  s AS (SELECT record_id, coalesce(ref, []) AS ahead, coalesce(det, []) AS free, 0 AS tp, 0 AS fn FROM b UNION ALL
+    SELECT record_id, ahead[2:], CASE WHEN hit THEN list_filter(free, lambda u: u <> near.t) ELSE free END, tp + hit::INT, fn + (NOT hit)::INT FROM (
+      SELECT *, coalesce(near.gap <= 6, false) AS hit FROM (SELECT *, list_min(list_transform(free, lambda u: {{'gap': abs(u - ahead[1]), 't': u}})) AS near FROM s WHERE len(ahead) > 0)))
+  SELECT record_id, tp, len(free) AS fp, fn FROM s WHERE len(ahead) = 0""")
 def match_beats_greedy(spark, d):
     return bt.match_greedy(kind(spark, d, "ecg"), kind(spark, d, "ecg2"), "record_id", TOL)
 

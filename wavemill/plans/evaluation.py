@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..operators import metrics as m
 from . import fixtures as fx
 from .fixtures import query
@@ -131,7 +132,7 @@ def per_alarm_type(spark, d):
   q AS (SELECT o.*, (quality >= a)::INT + (quality >= b)::INT + (quality >= c)::INT AS bin FROM fx_oof o CROSS JOIN e)
   SELECT variant, bin, tp + fp + tn + fn AS n, round({_SENS}, 6) AS sensitivity, round({_SPEC}, 6) AS specificity, round({_F1}, 6) AS f1 FROM ({_conf('q', 'variant, bin')})""")
 def quality_stratified(spark, d):
-    edges = fx.alarms(spark, d).agg(F.percentile("quality", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    edges = exact_quantiles(fx.alarms(spark, d), ["quality"], [0.25, 0.5, 0.75]).withColumnRenamed("q_quality", "edges")  # one row
     rows = oof(spark, d).join(F.broadcast(edges)).withColumn("bin", m.bins_by_edges(F.col("quality"), F.col("edges")))
     out = m.confusion(rows, ["variant", "bin"])
     return out.select("variant", "bin", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), F.round(m.sensitivity(), 6).alias("sensitivity"), F.round(m.specificity(), 6).alias("specificity"), F.round(m.f1(), 6).alias("f1"))

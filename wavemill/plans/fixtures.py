@@ -107,6 +107,8 @@ def with_views(body: str) -> str:
             add(name)
     head = ",\n".join(f"{name} AS MATERIALIZED ({SQL[name][1]})" for name in wanted)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}" if head else body
     return f"WITH {head}\n{body}" if head else body

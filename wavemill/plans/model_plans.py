@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kn
+from ..functions.quantiles import exact_quantiles
 from ..operators import batched as bt
 from ..operators import ensemble as en
 from ..operators import features as ft
@@ -353,5 +354,6 @@ def stream_beat_gap(spark, d):
 @query("stream_triage", "WITH t AS (SELECT event_type AS channel, quantile_cont(least(1.0, value / 200.0::DOUBLE), 0.3) AS t_low FROM events WHERE event_type <> 'error' GROUP BY event_type) SELECT event_id, e.event_type AS channel, CASE WHEN t_low IS NULL THEN 'high' WHEN least(1.0, value / 200.0::DOUBLE) < t_low THEN 'suppress' WHEN least(1.0, value / 200.0::DOUBLE) >= greatest(0.5, t_low) THEN 'high' ELSE 'defer' END AS band FROM events e LEFT JOIN t ON t.channel = e.event_type")
 def stream_triage(spark, d):
     prob = F.least(F.lit(1.0), F.col("x") / F.lit(200.0))
-    limits = _events(spark, d).where("channel <> 'error'").groupBy("channel").agg(F.percentile(prob, 0.3).alias("t_low"))
+    known = _events(spark, d).where("channel <> 'error'").select("channel", prob.alias("p"))
+    limits = exact_quantiles(known, ["p"], [0.3], ["channel"]).select("channel", F.col("q_p")[0].alias("t_low"))
     return live.stream_triage(_events(spark, d), limits, prob).select("event_id", "channel", "band")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..operators import ensemble as en
 from ..operators import errors as er
 from ..operators import metrics as m
@@ -169,7 +170,7 @@ TAGS = ["degraded signal", "clean signal", "borderline score", "seeds disagree"]
 
 def _annotated(spark, d):
     rows = _factors(spark, d)
-    edge = rows.where("variant = 'A'").agg(F.percentile("quality", 0.9).alias("q9"))
+    edge = exact_quantiles(rows.where("variant = 'A'"), ["quality"], [0.9]).select(F.col("q_quality")[0].alias("q9"))  # one row
     rules = [F.col("degraded") == "yes", F.col("quality") >= F.col("q9"), F.col("prob").between(0.4, 0.6), (F.col("error") > 0) & (F.col("error") < 1)]
     return er.rule_annotations(rows.join(F.broadcast(edge)), list(zip(TAGS, rules)))
 
