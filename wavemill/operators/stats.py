@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,14 +44,54 @@ def bootstrap_draws(units: DataFrame, unit: str, draws: int, by: list[str] | Non
     return picks.join(known.drop("n"), [*by, "ord"]).select("b", *by, unit, "weight")
 
 
-def poisson_weights(units: DataFrame, unit: str, draws: int, seed: str = "boot") -> DataFrame:
-    """One-pass bootstrap for very many units: independent Poisson(1) weights from MD5 uniforms, zero weights left out."""
-    u = draw(F.lit(seed), F.col("b"), F.col(unit)) / F.lit(float(1 << 32))
-    # The distribution function of Poisson(1) up to 7.
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    rows = units.select(unit).distinct().select(unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    return rows.withColumn("weight", weight).where("weight > 0")
+# The distribution function of Poisson(1) up to 7.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
+#: Units whose weights a task holds at a time.
+UNIT_ROWS = 512
+
+
+def poisson_weights(units: list[str], draws: int, seed: str = "boot") -> np.ndarray:
+    """(units x draws) independent Poisson(1) weights: each MD5 of "seed:number:unit" gives four uniforms of 32 bits."""
+    raw = b"".join(hashlib.md5(f"{seed}:{k}:{u}".encode()).digest() for u in units for k in range(-(-draws // 4)))
+    u = np.frombuffer(raw, ">u4").reshape(len(units), -1)[:, :draws] / float(1 << 32)
+    return np.searchsorted(POISSON, u, "right").astype(float)
+
+
+COUNTS = ("tp", "fp", "tn", "fn")
+
+
+def replicate_sums(tallies: DataFrame, unit: str, groups: list[str], draws: int, seed: str = "boot") -> DataFrame:
+    """(groups, b, tp, fp, tn, fn): the counts of every group in every bootstrap replicate of the units.
+
+    A unit brings all its rows with one weight per replicate, so groups are paired. Its weights are one vector; a task adds
+    counts x weights as a matrix product, whose size is groups x replicates whatever the number of units, and sends that alone.
+    """
+    said = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in groups))
+    rows = tallies.select(F.col(unit).cast("string").alias("unit"), said.alias("g"), *(F.col(c).cast("double") for c in COUNTS))
+    packed = rows.groupBy("unit").agg(F.collect_list(F.struct("g", *COUNTS)).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for first in range(0, len(batch), UNIT_ROWS):
+                part = batch.slice(first, UNIT_ROWS)
+                weights = poisson_weights(part.column(0).to_pylist(), draws, seed)
+                items = part.column(1)
+                offsets = items.offsets.to_numpy()
+                flat = items.values.slice(offsets[0], offsets[-1] - offsets[0])
+                owner = np.repeat(np.arange(len(part)), np.diff(offsets))
+                names = flat.field("g").dictionary_encode()
+                code, counts = names.indices.to_numpy(), [flat.field(c).to_numpy() for c in COUNTS]
+                for k, name in enumerate(names.dictionary.to_pylist()):
+                    own = code == k
+                    table = np.stack([np.bincount(owner[own], c[own], len(part)) for c in counts])
+                    sums[name] = sums.get(name, 0.0) + table @ weights
+        for name, found in sums.items():
+            yield pa.record_batch([pa.array([name] * draws), pa.array(range(draws), pa.int32()), *map(pa.array, found)], ["g", "b", *COUNTS])
+
+    per = packed.mapInArrow(run, "g string, b int, tp double, fp double, tn double, fn double").groupBy("g", "b").agg(*(F.sum(c).cast("long").alias(c) for c in COUNTS))
+    named = tallies.select(*groups).distinct().withColumn("g", said)
+    return named.join(per, "g").select(*groups, "b", *COUNTS)
 
 
 def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -59,12 +101,14 @@ def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.select(*by, "mean", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"), F.least(F.lit(1.0), 2 * F.least("_l", "_g")).alias("p"))
 
 
-def paired_record_bootstrap(tallies: DataFrame, arm: str, a: str, b: str, record: str, metric: Callable[[], Column], draws: int) -> DataFrame:
-    """(b, diff): the metric's difference b - a on the same drawn records; per seed, then averaged over seeds."""
-    weights = bootstrap_draws(tallies, record, draws)
-    rows = tallies.join(weights, record).groupBy("b", arm, "seed").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("tp", "fp", "tn", "fn")))
-    per = rows.select("b", arm, "seed", metric().alias("m")).groupBy("b", arm).agg(F.avg("m").alias("m"))
-    return per.groupBy("b").agg((F.max(F.when(F.col(arm) == b, F.col("m"))) - F.max(F.when(F.col(arm) == a, F.col("m")))).alias("diff"))
+def paired_differences(sums: DataFrame, arm: str, pairs: list[tuple[str, str]], by: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """(pair, by, b, metric, diff): each metric's difference (second arm less first), per seed, then averaged over seeds."""
+    long = sums.select(arm, *by, "seed", "b", *(c.cast("double").alias(k) for k, c in metrics.items())).unpivot([arm, *by, "seed", "b"], list(metrics), "metric", "value")
+    per = long.groupBy(arm, *by, "b", "metric").agg(F.avg("value").alias("value"))
+    pair = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs))).alias("pair")
+    sides = per.select("*", pair).where((F.col(arm) == F.col("pair.x")) | (F.col(arm) == F.col("pair.y")))
+    value = lambda side: F.max(F.when(F.col(arm) == F.col(f"pair.{side}"), F.col("value")))
+    return sides.groupBy(F.concat_ws("-", "pair.x", "pair.y").alias("pair"), *by, "b", "metric").agg((value("y") - value("x")).alias("diff"))
 
 
 def _fisher_p(a: int, b: int, c: int, d: int, step: int = 1 << 20) -> float:

@@ -280,39 +280,63 @@ def cp_upper(spark, d):
 PAIRS = [("A", "B"), ("A", "C"), ("B", "C")]
 
 
+#: Of the family: metric at its operating point. t50 is the fixed threshold, s95 is set on validation rows.
+FAMILY = {"f1": ("t50", m.f1), "score": ("t50", m.challenge_score), "specificity": ("s95", m.specificity)}
+DRAWS = 2000
+
+
 @query("significance_family")
 def significance_family(spark, d):
-    """A fixed list of pairs: corrected t and record bootstrap of F1, adjusted over the family."""
-    folds = m.confusion(test_rows(spark, d), FOLD).select(*FOLD, m.f1().alias("f1"))
-    tallies = m.confusion(test_rows(spark, d), ["variant", "seed", "record_id"])
-    out = None
-    for a, b in PAIRS:
-        pair = folds.where(F.col("variant") == b).join(folds.where(F.col("variant") == a).select("seed", "fold", F.col("f1").alias("base")), ["seed", "fold"]).select(F.lit(f"{a}-{b}").alias("pair"), (F.col("f1") - F.col("base")).alias("d"))
-        t = st.corrected_t(pair, ["pair"], "d", 0.25).withColumn("p", kn.student_p(F.col("t"), F.col("j") - 1))
-        boot = st.interval(st.paired_record_bootstrap(tallies, "variant", a, b, "record_id", m.f1, 20), [], "diff").select(F.col("low"), F.col("high"), F.col("p").alias("p_boot"))
-        one = t.crossJoin(F.broadcast(boot))
-        out = one if out is None else out.unionByName(one)
-    return st.holm(out, [], "p", "pair")
+    """A fixed list of pairs on three metrics: corrected t over folds and bootstrap of records, both adjusted over the pairs of each metric."""
+    limits = m.threshold_for_sensitivity(fx.predictions(spark, d).where("role = 'val'"), FOLD, {"s95": 0.95})
+    rows = test_rows(spark, d)
+    at = rows.withColumns({"op": F.lit("t50"), "threshold": F.lit(0.5)}).unionByName(rows.join(limits, FOLD))
+    per_record = stored(m.confusion(at, ["op", *FOLD, "record_id"], F.col("threshold")))
+    fold = per_record.groupBy("op", *FOLD).agg(*(F.sum(c).alias(c) for c in st.COUNTS))
+    wanted = lambda df: df.where(" or ".join(f"(metric = '{k}' and op = '{op}')" for k, (op, _) in FAMILY.items()))
+    values = {k: f() for k, (_, f) in FAMILY.items()}
+    # a fold of a seed stands for a replicate of the corrected t
+    folds = fold.withColumn("b", F.col("fold") * 1000 + F.col("seed"))
+    diffs = wanted(st.paired_differences(folds, "variant", PAIRS, ["op"], values))
+    t = st.corrected_t(diffs, ["pair", "metric"], "diff", 0.25).withColumn("p", kn.student_p(F.col("t"), F.col("j") - 1))
+    sums = st.replicate_sums(per_record, "record_id", ["op", "variant", "seed"], DRAWS)
+    reps = wanted(st.paired_differences(sums, "variant", PAIRS, ["op"], values))
+    boot = st.interval(reps, ["pair", "metric"], "diff").select("pair", "metric", "low", "high", F.col("p").alias("p_boot"))
+    both = stored(t.join(boot, ["pair", "metric"]))  # a row per pair and metric
+    both = st.holm(both, ["metric"], "p", "pair")
+    return st.holm(both.withColumnRenamed("holm", "holm_t"), ["metric"], "p_boot", "pair").withColumnRenamed("holm", "holm_boot")
 
 
 @query("guardrail_compare")
 def guardrail_compare(spark, d):
-    """Two arms on five metrics, paired by seed, with the spread of the differences."""
-    per = m.confusion(test_rows(spark, d).where("variant in ('A', 'B')"), ["variant", "seed"])
+    """Two arms on five metrics, paired by seed, with the spread of the differences and their bootstrap interval over records."""
+    per_record = stored(m.confusion(test_rows(spark, d).where("variant in ('A', 'B')"), ["variant", "seed", "record_id"]))
+    per = per_record.groupBy("variant", "seed").agg(*(F.sum(c).alias(c) for c in st.COUNTS))
     values = {k: f() for k, f in m.METRICS.items() if k != "suppression"}
     long = per.select("variant", "seed", *(c.alias(k) for k, c in values.items())).unpivot(["variant", "seed"], list(values), "metric", "value")
     both = long.groupBy("metric", "seed").pivot("variant", ["A", "B"]).agg(F.first("value"))
-    return both.groupBy("metric").agg(F.avg("A").alias("a"), F.avg("B").alias("b"), F.avg(F.col("B") - F.col("A")).alias("diff"), F.stddev_samp(F.col("B") - F.col("A")).alias("sd"))
+    seen = both.groupBy("metric").agg(F.avg("A").alias("a"), F.avg("B").alias("b"), F.avg(F.col("B") - F.col("A")).alias("diff"), F.stddev_samp(F.col("B") - F.col("A")).alias("sd"))
+    reps = st.paired_differences(st.replicate_sums(per_record, "record_id", ["variant", "seed"], DRAWS), "variant", [("A", "B")], [], values)
+    return seen.join(st.interval(reps, ["metric"], "diff").select("metric", "low", "high", "p"), "metric")
 
 
 @query("leaderboard")
 def leaderboard(spark, d):
-    """Members and their mean ensemble by accuracy, with the distance to the best."""
+    """Members and their mean ensemble on the seeds that all of them have, by accuracy, with the distance to the best and its bootstrap interval."""
     single = test_rows(spark, d).select("variant", "seed", "fold", "record_id", "prob", "y")
     mean = en.ens_mean(fx.predictions(spark, d).where("role = 'test'")).select(F.lit("mean").alias("variant"), "seed", "fold", "record_id", "prob", "y")
-    rows = m.binary_metrics(single.unionByName(mean), ["variant"]).withColumn("accuracy", m.accuracy())
-    best = F.max("accuracy").over(W.partitionBy())
-    return rows.select("variant", "accuracy", "f1", "auc", (F.col("accuracy") - best).alias("behind"), F.row_number().over(W.orderBy(F.col("accuracy").desc(), "variant")).alias("place"))
+    rows = single.unionByName(mean)
+    arms = [*fx.VARIANTS, "mean"]
+    common = rows.select("variant", "seed").distinct().groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") == len(arms)).select("seed")
+    rows = stored(rows.join(common, "seed", "left_semi"))
+    board = stored(m.binary_metrics(rows, ["variant"]).withColumn("accuracy", m.accuracy()))
+    best = board.orderBy(F.col("accuracy").desc(), "variant").first().variant
+    sums = st.replicate_sums(m.confusion(rows, ["variant", "seed", "record_id"]), "record_id", ["variant", "seed"], DRAWS)
+    reps = st.paired_differences(sums, "variant", [(best, arm) for arm in arms if arm != best], [], {"accuracy": m.accuracy()})
+    ends = st.interval(reps, ["pair"], "diff").select(F.substring_index("pair", "-", -1).alias("variant"), "low", "high")
+    top = F.max("accuracy").over(W.partitionBy())
+    place = F.row_number().over(W.orderBy(F.col("accuracy").desc(), "variant")).alias("place")
+    return board.select("variant", "accuracy", "f1", "auc", (F.col("accuracy") - top).alias("behind"), place).join(ends, "variant", "left")
 
 
 @query("time_to_verdict", "WITH p AS (SELECT unnest([0, 8, 16, 32]) AS post), c AS (SELECT window_id, post, avg(x) AS v, max(y) AS y FROM fx_windows CROSS JOIN p WHERE i < 32 + post GROUP BY ALL) SELECT post::INT AS post, count(*) AS n, round(avg(((v >= 0)::INT = y)::INT), 6) AS accuracy FROM c GROUP BY post")

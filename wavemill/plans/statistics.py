@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as m
 from ..operators import stats as st
 from . import fixtures as fx
-from .evaluation import _F1, FOLD, _auc, _conf, oof, r6, test_rows
+from .evaluation import _F1, _SENS, _SPEC, FOLD, _auc, _conf, oof, r6, test_rows
 from .fixtures import query
 
 _H = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
@@ -24,28 +24,31 @@ def nb_ttest(spark, d):
     return st.corrected_t(_diffs(spark, d), ["variant"], "d", 0.25).select("variant", "j", *r6("mean"), F.round("t", 5).alias("t"))
 
 
-_B = f"""u AS (SELECT DISTINCT record_id FROM fx_oof), k AS (SELECT record_id, row_number() OVER (ORDER BY record_id) - 1 AS ord, count(*) OVER () AS n FROM u),
-  w AS (SELECT b, {_H.format("'boot:' || b || ':' || ord")} % n AS ord, count(*) AS weight FROM k CROSS JOIN (SELECT unnest(range(20)) AS b) GROUP BY ALL), t AS ({_conf('fx_oof', 'variant, seed, record_id')})"""
+DRAWS = 2000
+# one weight of a record in a replicate; four of them come from one MD5
+_W = f"(SELECT record_id, b, {' + '.join(f'(u >= {c}::DOUBLE)::INT' for c in st.POISSON)} AS weight FROM (SELECT record_id, b, CAST('0x' || substr(md5('boot:' || (b // 4) || ':' || record_id), 1 + 8 * (b % 4), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT record_id FROM fx_oof) CROSS JOIN (SELECT unnest(range({DRAWS})) AS b)))"
+_SUMS = ", ".join(f"sum({c} * weight)::BIGINT AS {c}" for c in st.COUNTS)
 
 
-@query("record_bootstrap", f"""WITH {_B}, s AS (SELECT b, variant, seed, sum(tp * weight) AS tp, sum(fp * weight) AS fp, sum(tn * weight) AS tn, sum(fn * weight) AS fn FROM t JOIN k USING (record_id) JOIN w USING (ord) GROUP BY ALL),
+@query("record_bootstrap", f"""WITH t AS ({_conf("(SELECT * FROM fx_oof WHERE variant IN ('A', 'B'))", 'variant, seed, record_id')}), w AS (SELECT * FROM {_W} WHERE weight > 0), s AS (SELECT b, variant, seed, {_SUMS} FROM t JOIN w USING (record_id) GROUP BY ALL),
   v AS (SELECT b, variant, avg({_F1}) AS m FROM s GROUP BY ALL), x AS (SELECT b, max(m) FILTER (variant = 'B') - max(m) FILTER (variant = 'A') AS diff FROM v GROUP BY b)
   SELECT round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, least(1.0, 2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT)))::DOUBLE AS p FROM x""")
 def record_bootstrap(spark, d):
-    tallies = m.confusion(test_rows(spark, d), ["variant", "seed", "record_id"])
-    reps = st.paired_record_bootstrap(tallies, "variant", "A", "B", "record_id", m.f1, 20)
+    """2,000 replicates: the difference of F1 on the same drawn records, per seed, then averaged over seeds."""
+    tallies = m.confusion(test_rows(spark, d).where("variant in ('A', 'B')"), ["variant", "seed", "record_id"])
+    sums = st.replicate_sums(tallies, "record_id", ["variant", "seed"], DRAWS)
+    reps = st.paired_differences(sums, "variant", [("A", "B")], [], {"f1": m.f1()})
     return st.interval(reps, [], "diff").select(*r6("mean", "low", "high"), "p")
 
 
-@query("cluster_bootstrap", f"""WITH u AS (SELECT record_id, max(y) AS cls FROM fx_oof WHERE variant = 'A' GROUP BY record_id), k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY record_id) - 1 AS ord, count(*) OVER (PARTITION BY cls) AS n FROM u),
-  w AS (SELECT b, cls, {_H.format("'boot:' || b || ':' || cls || ':' || ord")} % n AS ord, count(*) AS weight FROM k CROSS JOIN (SELECT unnest(range(20)) AS b) GROUP BY ALL)
-  SELECT b, sum(weight)::BIGINT AS windows, round(sum(weight * (prob >= 0.5 AND y = 1)::INT)::DOUBLE / sum(weight * y), 6) AS sensitivity FROM fx_oof o JOIN k USING (record_id) JOIN w USING (cls, ord) WHERE o.variant = 'A' GROUP BY b""")
+@query("cluster_bootstrap", f"""WITH t AS ({_conf("(SELECT * FROM fx_oof WHERE variant = 'A')", 'record_id')}), w AS (SELECT * FROM {_W} WHERE weight > 0), s AS (SELECT b, {_SUMS} FROM t JOIN w USING (record_id) GROUP BY b),
+  v AS (SELECT 'sensitivity' AS metric, {_SENS} AS v FROM s UNION ALL SELECT 'specificity', {_SPEC} FROM s) SELECT metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v GROUP BY metric""")
 def cluster_bootstrap(spark, d):
-    """Records are drawn within their class and bring all their windows, as often as they are drawn."""
-    rows = test_rows(spark, d).where("variant = 'A'")
-    weights = st.bootstrap_draws(rows.groupBy("record_id").agg(F.max("y").alias("cls")), "record_id", 20, ["cls"])
-    w = F.col("weight")
-    return rows.join(weights, "record_id").groupBy("b").agg(F.sum(w).alias("windows"), F.round(F.sum(F.when((F.col("prob") >= 0.5) & (F.col("y") == 1), w).otherwise(0)) / F.sum(w * F.col("y")), 6).alias("sensitivity"))
+    """Records are drawn and bring all their windows; both measures are shares within one class. 2,000 replicates."""
+    tallies = m.confusion(test_rows(spark, d).where("variant = 'A'"), ["record_id"]).withColumn("all", F.lit(0))
+    sums = st.replicate_sums(tallies, "record_id", ["all"], DRAWS)
+    long = sums.select(m.sensitivity().alias("sensitivity"), m.specificity().alias("specificity")).unpivot([], ["sensitivity", "specificity"], "metric", "v")
+    return st.interval(long, ["metric"], "v").select("metric", *r6("mean", "low", "high"))
 
 
 @query("window_bootstrap_auc", f"""WITH k AS (SELECT variant, seed, record_id, prob, y, row_number() OVER (PARTITION BY variant, seed ORDER BY record_id) - 1 AS ord, count(*) OVER (PARTITION BY variant, seed) AS n FROM fx_oof),
