@@ -31,6 +31,15 @@ def test_drop_copies(odd, nothing):
     assert exact_dedup.exact_groups(nothing).count() == exact_dedup.drop_copies(nothing).count() == 0
 
 
+def test_null_ids_and_clashing_names(spark):
+    rows = [(None, "a", 1, 2), (None, "a", 1, 3), (None, "b", 1, 2), (4, "b", 1, 2), (5, "c " * 400_000, 1, 2), (6, "c  " * 400_000, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest int, _rows int")
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.kept) for r in exact_dedup.exact_groups(docs).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True), (5, 5, True), (6, 5, False)]
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text[:1]) for r in kept.collect()) == [(0, "a"), (4, "b"), (5, "c")]
+
+
 def _sets(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())

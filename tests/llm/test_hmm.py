@@ -78,7 +78,7 @@ def test_scores(spark, sf, odd, monkeypatch, counted):
         monkeypatch.setattr(hmm, "SYMBOLS", counted)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.selectExpr("doc_id + 100000", "text"))
     expected = _base([(r.doc_id, r.text) for r in docs.distinct().collect()] + [(100003, "   "), (100025, "same text here")])
-    got = hmm.score_texts(docs, warm_texts=60, warm_rounds=3, rounds=1, states=3).collect()
+    got = hmm.score_texts(docs, rounds=4, states=3).collect()
     assert len(got) == docs.count()
     for r in got:
         want = expected[r.doc_id]
@@ -97,7 +97,7 @@ def test_rounds_raise_the_likelihood(spark, sf):
 
 
 def test_nothing_and_nothing_to_learn(spark, nothing):
-    assert hmm.score_texts(nothing, warm_rounds=1, rounds=1).count() == 0
+    assert hmm.score_texts(nothing, rounds=2).count() == 0
     held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
-    (row,) = hmm.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), warm_rounds=1, rounds=1).collect()
+    (row,) = hmm.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), rounds=2).collect()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0) and row.base_score == 0.0

@@ -10,8 +10,10 @@ rows is one row per task. Afterwards only (document, position, integer) rows mov
 different blocks share one, that hash is looked up by the bytes themselves.
 
 Null text counts as empty. Empty texts form one group (one block, zero bytes). Repeated rows (same id and text) stay
-separate rows of the same group. Other columns are ignored; extra columns cannot clash because output names are
-taken from the id column and fixed names only.
+separate rows of the same group. A null id is larger than any id: such a row is kept only in a group without ids, where all
+rows are repeats of each other. Very long texts are many blocks, each named like any other. An empty table gives an empty
+result. Other columns are ignored; extra columns cannot clash because output names are taken from the id column and fixed
+names only, and rows that stay are carried under names of their own.
 """
 
 from __future__ import annotations
@@ -148,7 +150,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = join_hot(named, groups, ["n_blocks", "name"], F.struct(id_col, F.monotonically_increasing_id()))
     own = F.col("rows").isNull()  # a text without an equal
     out = out.select(id_col, F.when(own, F.col(id_col)).otherwise(F.col("least")).alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-    return out.select(id_col, "keep_id", "group_size", (F.col(id_col) == F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +170,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Decisions are joined by id and text digest, so two texts under one id are decided apart.
     """
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _digest string"
-    marked = docs.select(F.col(text_col).cast("string").alias("_text"), "*").mapInArrow(_with_digest, schema)
-    stay = exact_groups(docs, id_col, text_col).where(f"`{id_col}` <=> keep_id")
-    stay = materialize(stay.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_rows")))
-    on = lambda right: marked[id_col].eqNullSafe(right["_id"]) & (marked["_digest"] == right["_sha"])
+    plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows, own_id, text = docs.toDF(*plain.values()), plain[id_col], plain[text_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _digest string"
+    marked = rows.select(F.col(text).cast("string").alias("_text"), "*").mapInArrow(_with_digest, schema)
+    stay = exact_groups(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", "text").where("kept")
+    stay = materialize(stay.groupBy(F.col("id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_rows")))
+    on = lambda right: marked[own_id].eqNullSafe(right["_id"]) & (marked["_digest"] == right["_sha"])
     once = stay.where("_rows = 1")
     out = marked.join(once.hint("shuffle_hash"), on(once), "left_semi")
     more = stay.where("_rows > 1")
     if not more.isEmpty():
-        out = out.unionByName(marked.join(more.hint("shuffle_hash"), on(more), "left_semi").dropDuplicates([id_col, "_digest"]))
-    return out.drop("_digest")
+        out = out.unionByName(marked.join(more.hint("shuffle_hash"), on(more), "left_semi").dropDuplicates([own_id, "_digest"]))
+    return out.select(*(F.col(k).alias(c) for c, k in plain.items()))

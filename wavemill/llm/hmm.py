@@ -14,9 +14,10 @@ Vocabulary sizes are bounded by counts, not by cutting the data: at most ``M`` w
  * broadcast counts: words with at least N / COUNTED occurrences (12 bytes each);
  * all other words join their counts through a shuffle, so counts cover the whole corpus at any size.
 
-The chain starts from random emissions and is fitted on all training texts for ``warm_rounds`` + ``rounds`` rounds (a
-number given as ``warm_texts`` bounds the texts of the first ``warm_rounds``). Texts are turned into emissions once. Null text counts as empty: its only token is the end. Repeated rows are scored
-each. A null id counts as training text. Without training texts every probability is the smoothing's.
+The chain starts from random emissions and is fitted on all training texts for ``rounds`` rounds. Texts are turned into
+emissions once. Null text counts as empty: its only token is the end. Very long texts are a run of their own. Repeated rows
+are scored each. A null id counts as training text. Without training texts every probability is the smoothing's; an empty
+table gives an empty result. Only the id and text columns are used, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -334,7 +335,7 @@ def _score(chain, lexicon):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, warm_texts: int | None = None, warm_rounds: int = 8, rounds: int = 2, seed: int = 5) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = 10, seed: int = 5) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -347,12 +348,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chain = Chain.fresh(lexicon.emissions, states, seed)
     chain = Chain(chain.start, chain.move, chain.emit * _unigram(lexicon)[:, None])
     chain.emit /= chain.emit.sum(axis=0)
-    if warm_texts is None:
-        rounds += warm_rounds
-    else:
-        chosen = train.select("id").orderBy(F.xxhash64("id"), "id").limit(warm_texts)  # a bounded sample, only to start from
-        warm = materialize(train.join(chosen.distinct(), "id", "left_semi").repartition(8))
-        chain, _ = baum_welch(warm, chain, sent, warm_rounds)
     chain, _ = baum_welch(train, chain, sent, rounds)
 
     schema = "id long, n_tokens long, n_known long, log_counts double, score double, words array<long>, times array<long>"

@@ -13,7 +13,8 @@ and only rows of one range of one source are ever sorted together. Texts move on
 
 Size: words ``[^\\x20\\x09-\\x0D]+``, null text 0. Sources in code point order, null last, weigh 1, 2, 3, repeating.
 Targets stop at ``max_epochs`` times the source's size, the excess is reshared by weight. Rows without words take
-nothing. Repeated rows count each. Draws depend on the seed and the id only, so reruns agree.
+nothing. Very long texts are counted in whole. Repeated rows count each. An empty table has no source and gives an empty
+result. Draws depend on the seed and the id only, so reruns agree. ``mix`` carries all columns inside one, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ blocks; block pairs are compared by matrix products and return link counts per v
 never all pairs. A pair is judged only in the list of its smallest shared pivot, so counts are exact.
 
 A vector that is null, empty, zero, or holds a null or a non-finite component links with nothing, nor does one without
-a label, and vectors of different lengths never meet. Rows without an id keep their own component (null).
+a label, and vectors of different lengths never meet. Rows without an id keep their own component (null). An empty table
+gives an empty result. Only the id, label and vector columns are used, so others cannot clash.
 """
 
 from __future__ import annotations

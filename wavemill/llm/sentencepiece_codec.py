@@ -7,7 +7,7 @@ Rarer words are segmented where they stand. The result is what the library gives
 appended, and its decode() of those ids.
 
 Null text counts as empty: only the end id, decoded to "". Very long texts form a slice of their own. The mark itself
-(U+2581) in a text is handled as the library does: it decodes to a space. Repeated rows give repeated results; extra
+(U+2581) in a text is handled as the library does: it decodes to a space. An empty table gives an empty result. Repeated rows give repeated results; extra
 columns of the input are kept unless named like an output column.
 """
 

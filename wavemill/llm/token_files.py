@@ -5,7 +5,7 @@ and rows are written in ascending document order by a range partitioning: one fi
 parallel and a lookup by id is pruned by stripe statistics, row indexes and Bloom filters. The cumulative start of
 each document comes from per-file counts, not from one ordered task.
 
-Null text counts as empty (only the end id). Rows without an id sort first. Rows of one id are in the order of their
+Null text counts as empty (only the end id). Very long texts are a slice of their own and one row. Rows without an id sort first. Rows of one id are in the order of their
 texts; each stored row has its number in the file, which is what starts follow. Empty input gives empty files. Extra
 columns are not written, so their names cannot clash.
 """
