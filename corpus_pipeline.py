@@ -31,7 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside) the smallest doc_id stays, one row of repeated ones.
 
-    Null and empty texts are equal to each other. A row without an id stays unless a row with one has its text.
+    Null and empty texts are equal to each other. A row without an id stays unless a row with one has its text. Very long
+    texts are compared in whole, an empty table stays empty, columns may have any name.
     """
     return exact_dedup.drop_copies(docs)
 
@@ -40,7 +41,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the smallest doc_id stays.
 
-    Null, empty and blank texts are in no group and stay. A row without an id stays only in a group without ids.
+    Null, empty and blank texts are in no group and stay. A row without an id stays only in a group without ids. Very long
+    texts are compared in whole, an empty table stays empty.
     """
     return ngram_join.keep_one_of_each(docs, words=5, share=80)
 
@@ -49,7 +51,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are repeated and drawn to their target weights; a cut copy's n_chars is its own.
 
-    Rows without words are not taken. A null source is a source. Ties are settled by id, size and text.
+    Rows without words are not taken. A null source is a source. Ties are settled by id, size and text. Very long texts are
+    counted in whole, an empty table stays empty, columns may have any name.
     """
     out = mixing.mix(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -57,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @frees_scratch
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every kept copy, an end id each, and the digest of what they decode to; a null text gives the end id alone."""
+    """Ids of every kept copy, an end id each, and the digest of what they decode to; a null text gives the end id alone, an empty table nothing."""
     return sentencepiece_codec.encode(docs, outputs=("n_tokens", "ids", "decoded_sha256")).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
