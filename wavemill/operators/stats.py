@@ -68,7 +68,9 @@ def replicate_sums(tallies: DataFrame, unit: str, groups: list[str], draws: int,
     """
     said = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in groups))
     rows = tallies.select(F.col(unit).cast("string").alias("unit"), said.alias("g"), *(F.col(c).cast("double") for c in COUNTS))
-    packed = rows.groupBy("unit").agg(F.collect_list(F.struct("g", *COUNTS)).alias("items"))
+    # dealt by the number of shuffle partitions: the rows are few, the work on each is not, so parts are not to be joined
+    parts = int(tallies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.repartition(parts, "unit").groupBy("unit").agg(F.collect_list(F.struct("g", *COUNTS)).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

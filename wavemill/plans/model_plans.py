@@ -11,6 +11,7 @@ from ..functions.quantiles import exact_quantiles
 from ..operators import batched as bt
 from ..operators import ensemble as en
 from ..operators import features as ft
+from ..operators import matrix as mx
 from ..operators import metrics as m
 from ..operators import models as md
 from ..operators import signals as sg
@@ -89,7 +90,8 @@ def _matrix(spark, d) -> DataFrame:
 
 @query("feature_matrix")
 def feature_matrix(spark, d):
-    return _matrix(spark, d)
+    """53 columns a record from its two windows as two channels, 64 samples at 8 a second."""
+    return mx.feature_matrix(mx.pack(fx.windows(spark, d), "record_id", F.col("window_id") % 2), "record_id", 64, 8.0, 6)
 
 
 def _dataset(spark, d, k: int = 3) -> DataFrame:
