@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
+from ..functions.ranking import ranked
 
 
 def select_where(rows: DataFrame, **conditions) -> DataFrame:
@@ -51,16 +52,19 @@ def donor_swap(rows: DataFrame, key: str, record: str, label: str, alarm: str, s
     """(key, donor): a row of another record with the same label and alarm type, else with the same label; NULL without one.
 
     The records of a pool are put in MD5 order, each takes the next record, the last the first; a record lends its rows in
-    turn. Only records are ordered, no pool is joined with itself.
+    turn. Only records are ordered, no pool is joined with itself but place by place.
     """
 
     def next_in(pool: list[str], name: str) -> DataFrame:
         own = W.partitionBy(*pool, record)
         numbered = rows.select(*pool, record, key, (F.row_number().over(own.orderBy(key)) - 1).alias("_k"), F.count("*").over(own).alias("_n"))
         records = numbered.groupBy(*pool, record).agg(F.max("_n").alias("_n"))
-        order = W.partitionBy(*pool).orderBy(draw(F.lit(seed), F.col(record)), record)
-        after = F.coalesce(F.lead(F.struct(record, "_n")).over(order), F.first(F.struct(record, "_n")).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-        records = records.select(*pool, record, after.alias("_next")).where(F.col("_next")[record] != F.col(record))
+        # places come from counts of ranges: a pool of very many records is ordered by many tasks
+        records = ranked(records, pool, draw(F.lit(seed), F.col(record)), [record], 0.0, float(1 << 32), "_place")
+        sizes = records.groupBy(*pool).agg(F.count("*").alias("_size"))
+        records = records.join(sizes, pool).withColumn("_after", F.col("_place") % F.col("_size") + 1)
+        others = records.select(*pool, F.col("_place").alias("_after"), F.struct(record, "_n").alias("_next"))
+        records = records.join(others, [*pool, "_after"]).select(*pool, record, "_next").where(F.col("_next")[record] != F.col(record))
         wants = numbered.drop("_n").join(records, [*pool, record]).select(*pool, key, F.col(f"_next.{record}").alias(record), (F.col("_k") % F.col("_next._n")).alias("_k"))
         lends = numbered.select(*pool, record, F.col(key).alias(name), "_k")
         return rows.select(key).join(wants.join(lends, [*pool, record, "_k"]).select(key, name), key, "left")
