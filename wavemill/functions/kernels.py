@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +54,21 @@ def band_pass(x: np.ndarray, fs: float, low: float, high: float, order: int = 4)
     return np.fft.irfft(np.fft.rfft(wide) * gain, len(wide))[pad : pad + len(x)]
 
 
+def resample_polyphase(x: np.ndarray, up: int, down: int, zeros: int = 10, beta: float = 5.0) -> np.ndarray:
+    """x at up / down times its rate by a zero-phase Kaiser-windowed low-pass; samples beyond the ends count as 0.
+
+    Output m stands at input place m * down / up. up and down are reduced by their common divisor; the filter reaches
+    ``zeros`` zero crossings of the slower rate to each side.
+    """
+    up, down = up // math.gcd(up, down), down // math.gcd(up, down)
+    slow = max(up, down)
+    reach = zeros * slow
+    low_pass = np.sinc(np.arange(-reach, reach + 1) / slow) * np.kaiser(2 * reach + 1, beta)
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    return np.convolve(wide, low_pass * up / low_pass.sum())[reach : reach + len(wide) : down]
+
+
 def welch(x: np.ndarray, y: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Frequencies, both spectra and the cross spectrum, averaged over Hann segments with half overlap."""
     size = min(size, len(x))
