@@ -95,17 +95,72 @@ def phase_scramble(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return per_window_samples(rows, key, kernel, with_key=True)
 
 
-def augment(rows: DataFrame, key: str, n: int, copies: int, seed: str = "aug") -> DataFrame:
-    """Training copies (copy 0 is the window itself): a shared circular shift, an amplitude scale and block dropout."""
+def unit(*keys: Column | str | int) -> Column:
+    """A drawn number in (0, 1]."""
+    return (draw(*keys) + 1) / F.lit(float(1 << 32))
+
+
+def gaussian(tag: str, *keys: Column | str | int) -> Column:
+    """A drawn standard normal value, from a radius and an angle."""
+    return F.sqrt(F.lit(-2.0) * F.log(unit(F.lit(tag + "-radius"), *keys))) * F.cos(F.lit(2.0 * np.pi) * unit(F.lit(tag + "-angle"), *keys))
+
+
+def beta_share(alpha: float, tag: str, *keys: Column | str | int, tries: int = 16) -> Column:
+    """A drawn value of Beta(alpha, alpha), 0 < alpha <= 1: the first of the tries whose two powers of drawn numbers sum to at most one.
+
+    A try fails with at most one half (alpha = 1; one in ten at 0.4); where all fail the share is one half.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha lies above 0 and at most at 1")
+
+    def attempt(k: Column) -> Column:
+        side = [F.pow(unit(F.lit(f"{tag}-{s}"), *keys, k), F.lit(1.0 / alpha)).alias(s) for s in ("a", "b")]
+        return F.struct(*side)
+
+    found = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), attempt), lambda t: (t["a"] + t["b"] <= 1) & (t["a"] + t["b"] > 0)), F.lit(0))
+    return F.coalesce(found["a"] / (found["a"] + found["b"]), F.lit(0.5))
+
+
+def augment(rows: DataFrame, key: str, n: int, copies: int, seed: str = "aug", scale: float = 0.15, noise: float = 0.1, drop: float = 0.3, chunk: int | None = None) -> DataFrame:
+    """Training copies (copy 0 is the window itself): log-normal amplitude, noise of a drawn level, a lost chunk, a circular shift.
+
+    The shift, the amplitude and the noise level belong to the copy. With probability ``drop`` one chunk (an eighth of the
+    window unless given) of the copy is zero. Null samples stay null outside the chunk.
+    """
+    chunk = chunk or max(1, n // 8)
     many = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     by = draw(F.lit(seed), F.col(key), F.col("copy")) % n
-    scale = F.lit(0.8) + F.lit(0.4) * draw(F.lit(seed + "-amp"), F.col(key), F.col("copy")) / F.lit(float(1 << 32))
+    level = unit(F.lit(seed + "-level"), F.col(key), F.col("copy")) * F.lit(noise)
+    changed = F.col("x") * F.exp(gaussian(seed + "-amp", F.col(key), F.col("copy")) * F.lit(scale)) + gaussian(seed + "-noise", F.col(key), F.col("copy"), F.col("i")) * level
+    start = draw(F.lit(seed + "-from"), F.col(key), F.col("copy")) % (n - chunk + 1)
+    lost = (unit(F.lit(seed + "-drop"), F.col(key), F.col("copy")) <= drop) & (F.col("i") >= start) & (F.col("i") < start + chunk)
     real = F.col("copy") == 0
-    hit = draw(F.lit(seed + "-drop"), F.col(key), F.col("copy"), F.floor(F.col("i") / 8)) < int(0.1 * (1 << 32))
-    x = F.when(real, F.col("x")).when(hit, F.lit(0.0)).otherwise(F.col("x") * scale)
+    x = F.when(real, F.col("x")).when(lost, F.lit(0.0)).otherwise(changed)
     return many.withColumn("x", x).withColumn("i", F.when(real, F.col("i")).otherwise(F.pmod(F.col("i") + by, F.lit(n))).cast("int"))
 
 
+def mixup(rows: DataFrame, key: str, fold: str, y: str, alpha: float = 0.4, seed: str = "mix", per: int = 1000) -> DataFrame:
+    """Each training window of a fold blended with a drawn partner of the same fold, samples and labels by one Beta(alpha, alpha) share.
+
+    ``rows`` holds a window's samples (i from 0 without gaps, x) once for each fold it trains in; other roles are left out
+    before, so no fold sees what it is tested on. Partners are a permutation of the fold: windows fall by their draw into
+    parts of some ``per`` windows, are ordered by it there, and each meets the next one, the last the first. No part grows
+    with the table, no window is joined with itself or copied more than once. A window alone in its part is its own
+    partner. A missing or null sample counts as zero, a null label gives a null label. Returns fold, key, partner, share, y, i, x.
+    """
+    packed = rows.groupBy(fold, key).agg(F.first(y, ignorenulls=True).cast("double").alias("_y"), F.array_sort(F.collect_list(F.struct("i", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("_s"))
+    sizes = rows.groupBy(fold).agg(F.countDistinct(key).alias("_n")).withColumnRenamed(fold, "_f")  # one row per fold
+    packed = packed.join(F.broadcast(sizes), F.col(fold).eqNullSafe(F.col("_f"))).withColumn("_d", draw(F.lit(seed), F.col(fold), F.col(key)))
+    packed = packed.withColumn("_p", F.floor(F.col("_d") * F.ceil(F.col("_n") / per) / F.lit(float(1 << 32))))
+    part = W.partitionBy(fold, "_p")
+    turn, mate = part.orderBy("_d", key), F.struct(F.col(key).alias("partner"), F.col("_y").alias("y"), F.col("_s").alias("s"))
+    first = F.first(mate).over(turn.rowsBetween(W.unboundedPreceding, W.currentRow))
+    pairs = packed.withColumn("_m", F.coalesce(F.lead(mate).over(turn), first)).withColumn("share", beta_share(alpha, seed, F.col(fold), F.col(key)))
+    here, there = F.col("share"), F.lit(1.0) - F.col("share")
+    blend = F.zip_with("_s", F.col("_m.s"), lambda a, b: F.struct(F.coalesce(a["i"], b["i"]).alias("i"), (here * F.coalesce(a["x"], F.lit(0.0)) + there * F.coalesce(b["x"], F.lit(0.0))).alias("x")))
+    return pairs.select(fold, key, F.col("_m.partner").alias("partner"), "share", (here * F.col("_y") + there * F.col("_m.y")).alias(y), F.inline(blend))
+
+
 #: Perturbation registry: kind -> (rows, key, n) -> rows.
 PERTURBATIONS: dict[str, Callable[[DataFrame, str, int], DataFrame]] = {
     "shift": lambda rows, key, n: shift(rows, key, n, n // 8), "delay": lambda rows, key, n: delay(rows, key, n, n // 8), "reverse": reverse,

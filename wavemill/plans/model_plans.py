@@ -54,7 +54,7 @@ def prep_channel(spark, d):
 
 @query("wavelet_energy")
 def wavelet_energy(spark, d):
-    return kn.per_window(_w(spark, d), "window_id", lambda x: kn.wavelet_energy(x, 4), ["e0", "e1", "e2", "e3", "e4", "entropy"])
+    return kn.per_window(_w(spark, d), "window_id", lambda x: kn.wavelet_energy(x, 6), [*(f"e{k}" for k in range(7)), "entropy"])
 
 
 @query("spectral_summary5")

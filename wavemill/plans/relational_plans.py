@@ -183,9 +183,37 @@ def phase_scramble(spark, d):
     return pb.phase_scramble(_w(spark, d), "window_id")
 
 
-@query("augment_windows")
+def _unit(*keys: str) -> str:
+    return f"((1 + {_H.format(" || ':' || ".join(keys))}) / 4294967296.0::DOUBLE)"
+
+
+def _gauss(tag: str, *keys: str) -> str:
+    return f"sqrt(-2.0::DOUBLE * ln({_unit(f"'{tag}-radius'", *keys)})) * cos(2.0::DOUBLE * pi() * {_unit(f"'{tag}-angle'", *keys)})"
+
+
+@query("augment_windows", f"""WITH c AS (SELECT window_id, i, x, k::INT AS copy, {_H.format("'aug-from:' || window_id || ':' || k")} % 57 AS lost FROM fx_windows CROSS JOIN (SELECT unnest(range(3)) AS k))
+  SELECT window_id, copy, (CASE WHEN copy = 0 THEN i ELSE (i + {_H.format("'aug:' || window_id || ':' || copy")} % 64) % 64 END)::INT AS i,
+    round(CASE WHEN copy = 0 THEN x WHEN {_unit("'aug-drop'", "window_id", "copy")} <= 0.3 AND i >= lost AND i < lost + 8 THEN 0.0
+      ELSE x * exp({_gauss("aug-amp", "window_id", "copy")} * 0.15::DOUBLE) + {_gauss("aug-noise", "window_id", "copy", "i")} * {_unit("'aug-level'", "window_id", "copy")} * 0.1::DOUBLE END, 5) AS x FROM c""")
 def augment_windows(spark, d):
-    return pb.augment(_w(spark, d), "window_id", 64, 2)
+    return pb.augment(_w(spark, d), "window_id", 64, 2).select("window_id", "copy", "i", F.round("x", 5).alias("x"))
+
+
+# a window trains in the two folds that do not test its record; parts of 1,000 windows, each meets the next of its part
+_TRIES = f"list_filter(list_transform(range(16), lambda k: [power({_unit("'mix-a'", 'fold', 'window_id', 'k')}, 2.5), power({_unit("'mix-b'", 'fold', 'window_id', 'k')}, 2.5)]), lambda t: t[1] + t[2] <= 1 AND t[1] + t[2] > 0)[1]"
+
+
+@query("augment_mixup", f"""WITH g AS (SELECT DISTINCT window_id, y, fold FROM fx_windows CROSS JOIN (SELECT unnest(range(3))::INT AS fold) WHERE record_id % 3 <> fold),
+  n AS (SELECT fold, ceil(count(*) / 1000.0::DOUBLE) AS parts FROM g GROUP BY fold), dr AS (SELECT g.*, parts, {_H.format("'mix:' || fold || ':' || window_id")} AS dr FROM g JOIN n USING (fold)),
+  o AS (SELECT *, floor(dr * parts / 4294967296.0::DOUBLE) AS part FROM dr),
+  m AS (SELECT fold, window_id, y, coalesce(lead(window_id) OVER w, first_value(window_id) OVER w) AS partner, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM o WINDOW w AS (PARTITION BY fold, part ORDER BY dr, window_id)),
+  t AS (SELECT *, {_TRIES} AS t FROM m), s AS (SELECT *, coalesce(t[1] / (t[1] + t[2]), 0.5::DOUBLE) AS share FROM t)
+  SELECT s.fold, s.window_id, s.partner, round(share, 6) AS share, round(share * s.y + (1 - share) * y2, 6) AS y, a.i, round(share * a.x + (1 - share) * b.x, 5) AS x
+  FROM s JOIN fx_windows a ON a.window_id = s.window_id JOIN fx_windows b ON b.window_id = s.partner AND b.i = a.i""")
+def augment_mixup(spark, d):
+    """Mix-up pairs of the training windows of three folds over records."""
+    rows = fx.windows(spark, d).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(2)))).where("record_id % 3 <> fold")
+    return pb.mixup(rows, "window_id", "fold", "y").select("fold", "window_id", "partner", *r6("share", "y"), "i", F.round("x", 5).alias("x"))
 
 
 # stress results: the variants are models, the seeds conditions (1 is clean)
