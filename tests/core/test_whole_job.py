@@ -4,7 +4,8 @@ import hashlib
 import math
 
 import numpy as np
-from wavemill.plans import catalog, evaluation
+from wavemill.operators import stats as st
+from wavemill.plans import catalog, evaluation, statistics
 from wavemill.plans import fixtures as fx
 
 
@@ -20,7 +21,10 @@ def test_permutation_test_takes_every_record(spark, sf):
     assert any(i % 10 for i in ids)
     quality, prob = (np.array([np.mean([v[k] for v in held[i]]) for i in ids]) for k in (0, 1))
     rho = np.corrcoef(quality, prob)[0, 1]
-    null = [np.corrcoef(quality, prob[sorted(range(len(ids)), key=lambda k: (_draw("perm", r, ids[k]), ids[k]))])[0, 1] for r in range(20)]
+    number = st._uniforms([str(i) for i in ids], 0, statistics.DRAWS, "perm")
+    assert number[3, 6] == int(hashlib.md5(f"perm:1:{ids[3]}".encode()).hexdigest()[16:24], 16)
+    assert len(ids) <= st.BLOCK_ROWS  # one block: every permutation of all records
+    null = [np.corrcoef(quality, prob[sorted(range(len(ids)), key=lambda k: (number[k, r], ids[k]))])[0, 1] for r in range(statistics.DRAWS)]
     (got,) = catalog.QUERIES["permutation_test"](spark, sf).collect()
     assert math.isclose(got.rho, rho, abs_tol=2e-6) and got.p == np.mean(np.abs(null) >= abs(rho) - 1e-12)
 

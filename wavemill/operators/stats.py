@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..functions.ranking import ranked
 
 
 def corrected_t(diffs: DataFrame, by: list[str], value: str, test_over_train: float) -> DataFrame:
@@ -30,31 +29,21 @@ def holm(pvalues: DataFrame, by: list[str], p: str, tie: str) -> DataFrame:
     return rows.withColumn("holm", F.least(F.lit(1.0), F.max("_s").over(order.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
 
 
-def bootstrap_draws(units: DataFrame, unit: str, draws: int, by: list[str] | None = None, seed: str = "boot") -> DataFrame:
-    """(b, by, unit, weight): how often each of n units is drawn in n draws with replacement, per replicate."""
-    by = by or []
-    known = units.select(*by, unit).distinct()
-    ends = units.agg(F.min(unit).cast("double").alias("_low"), F.max(unit).cast("double").alias("_high"))
-    known = ranked(known.join(F.broadcast(ends)), by, F.col(unit).cast("double"), [unit], F.col("_low"), F.col("_high"), "ord").withColumn("ord", F.col("ord") - 1)
-    sizes = known.groupBy(*by).agg(F.count("*").alias("n"))
-    known = (known.join(sizes, by) if by else known.join(F.broadcast(sizes))).select(*by, unit, "ord", "n")
-    picks = known.select(*by, "ord", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    picks = picks.withColumn("ord", draw(F.lit(seed), F.col("b"), *by, F.col("ord")) % F.col("n"))
-    picks = picks.groupBy(*by, "b", "ord").agg(F.count("*").alias("weight"))
-    return picks.join(known.drop("n"), [*by, "ord"]).select("b", *by, unit, "weight")
-
-
 # The distribution function of Poisson(1) up to 7.
 POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
 #: Units whose weights a task holds at a time.
 UNIT_ROWS = 512
 
 
+def _uniforms(units: list[str], first: int, draws: int, seed: str) -> np.ndarray:
+    """(units x draws) numbers of 32 bits from replicate first on (a multiple of four), four to the MD5 of "seed:number:unit"."""
+    raw = b"".join(hashlib.md5(f"{seed}:{k}:{u}".encode()).digest() for u in units for k in range(first // 4, -(-(first + draws) // 4)))
+    return np.frombuffer(raw, ">u4").reshape(len(units), -1)[:, :draws]
+
+
 def poisson_weights(units: list[str], draws: int, seed: str = "boot") -> np.ndarray:
     """(units x draws) independent Poisson(1) weights: each MD5 of "seed:number:unit" gives four uniforms of 32 bits."""
-    raw = b"".join(hashlib.md5(f"{seed}:{k}:{u}".encode()).digest() for u in units for k in range(-(-draws // 4)))
-    u = np.frombuffer(raw, ">u4").reshape(len(units), -1)[:, :draws] / float(1 << 32)
-    return np.searchsorted(POISSON, u, "right").astype(float)
+    return np.searchsorted(POISSON, _uniforms(units, 0, draws, seed) / float(1 << 32), "right").astype(float)
 
 
 COUNTS = ("tp", "fp", "tn", "fn")
@@ -163,14 +152,114 @@ def _factorial(n: int) -> int:
     return out
 
 
-def permutation_test(rows: DataFrame, a: str, b: str, key: str, draws: int, seed: str = "perm") -> DataFrame:
-    """(rho, p): correlation of a and b, and the share of shuffles of b with at least that |correlation|."""
-    base = rows.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    # ranks in the order of the keys are the same for every shuffle; only the shuffled side is ranked once per draw
-    ends = base.agg(F.min(key).cast("double").alias("_low"), F.max(key).cast("double").alias("_high"))
-    left = ranked(base.select(key, a).join(F.broadcast(ends)), [], F.col(key).cast("double"), [key], F.col("_low"), F.col("_high"), "k").select(a, "k")
-    reps = base.select(key, b, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("r"))
-    right = ranked(reps, ["r"], draw(F.lit(seed), F.col("r"), F.col(key)), [key], 0.0, float(1 << 32), "k").select("r", b, "k")
-    null = left.join(right, "k").groupBy("r").agg(F.corr(a, b).alias("c"))
-    real = base.agg(F.corr(a, b).alias("rho"))
-    return null.join(F.broadcast(real)).groupBy("rho").agg(F.avg((F.abs("c") >= F.abs("rho") - 1e-12).cast("double")).alias("p"))
+#: Rows that trade places with one another in a permutation, on average.
+BLOCK_ROWS = 4096
+#: Replicates that a task holds for a block at a time.
+DRAW_STEP = 200
+
+
+def permutation_test(rows: DataFrame, a: str, b: str, key: str, draws: int, seed: str = "perm", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(rho, p): correlation of a and b, and the share of permutations of b with at least that |correlation|.
+
+    Rows are dealt to blocks by a draw of their key, and b is permuted inside every block. The blocks do not depend on the
+    values, so these permutations are a group under which the null hypothesis holds, and the test is exact; up to block_rows
+    rows it is the full permutation test. A block is put in order by one task and meets all replicates there; a task sends one
+    number per replicate, whatever the number of rows. Rows without a or b are left out, keys are taken as unique. Without
+    rows p is null, without variation of a or b rho is as well.
+    """
+    spark = rows.sparkSession
+    base = rows.select(F.col(key).alias("k"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
+    whole = base.agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.covar_pop("a", "b").alias("cov"))
+    whole = whole.withColumn("rho", F.col("cov") / F.nullif(F.col("sa") * F.col("sb"), F.lit(0.0)))  # one row
+    dealt = base.join(F.broadcast(whole)).select("k", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"), (draw(F.lit(seed), F.lit("block"), F.col("k")) % F.ceil(F.col("n") / F.lit(block_rows))).alias("block"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = dealt.repartition(parts, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("k", F.col("k").cast("string").alias("u"), "a", "b"))).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(draws)
+        for batch in batches:
+            for items in batch.column("items"):
+                items = items.values
+                units, x, y = items.field("u").to_pylist(), items.field("a").to_numpy(), items.field("b").to_numpy()
+                for first in range(0, draws, DRAW_STEP):
+                    order = np.argsort(_uniforms(units, first, min(DRAW_STEP, draws - first), seed), axis=0, kind="stable")
+                    sums[first : first + DRAW_STEP] += x @ y[order]
+        yield pa.record_batch([pa.array(range(draws), pa.int32()), pa.array(sums)], ["r", "s"])
+
+    null = blocks.mapInArrow(run, "r int, s double").groupBy("r").agg(F.sum("s").alias("s"))
+    scale = F.nullif(F.col("n") * F.col("sa") * F.col("sb"), F.lit(0.0))
+    far = (F.abs(F.col("s") / scale) >= F.abs("rho") - 1e-12).cast("double")
+    return null.join(F.broadcast(whole)).agg(F.max("rho").alias("rho"), F.avg(far).alias("p"))
+
+
+def auc_replicates(rows: DataFrame, unit: str, groups: list[str], score: str, label: str, draws: int, seed: str = "boot") -> DataFrame:
+    """(groups, b, auc): area under the curve of every group in every bootstrap replicate of its rows; null without both classes.
+
+    Rows lie in order of score in ranges, and a row's weights are one vector. A task walks its range in blocks of rows and
+    keeps running vectors alone: it sends the weight of both classes and the area inside its range, and the first and last
+    score apart, which another range may go on with. One value that very many rows share is thereby split over tasks. What
+    is shuffled after that is ranges x replicates. Rows without a score or label are left out.
+    """
+    spark = rows.sparkSession
+    said = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in groups))
+    told = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(said.alias("g"), F.col(score).cast("double").alias("v"), F.concat_ws(":", said, F.col(unit).cast("string")).alias("u"), F.col(label).cast("double").alias("y"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = told.repartitionByRange(parts, "g", "v", F.xxhash64("u")).sortWithinPartitions("g", "v", "u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(draws)
+
+        def piece(g: str, low: float, edge: bool, pos: np.ndarray, neg: np.ndarray, area: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([g] * draws), pa.array(range(draws), pa.int32()), pa.array([low] * draws), pa.array([edge] * draws), *map(pa.array, (pos, neg, area))], ["g", "b", "low", "edge", "pos", "neg", "area"])
+
+        group, open_, started, inner = None, None, False, None  # open_: the value that may go on; inner: values between the edges
+
+        def ends() -> Iterator[pa.RecordBatch]:
+            if inner is not None:
+                yield piece(group, inner[0], False, *inner[1:])
+            if open_ is not None:
+                yield piece(group, open_[0], True, *open_[1:], none)
+
+        for batch in batches:
+            names = batch.column("g").to_pylist()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for start, stop in ((s, e) for x, y in zip(cuts, cuts[1:]) for s, e in _steps(x, y)):
+                if names[start] != group:
+                    yield from ends()
+                    group, open_, started, inner = names[start], None, False, None
+                part = batch.slice(start, stop - start)
+                v, y = part.column("v").to_numpy(), part.column("y").to_numpy()
+                w = poisson_weights(part.column("u").to_pylist(), draws, seed)
+                at = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+                pos, neg = np.add.reduceat(w * y[:, None], at), np.add.reduceat(w * (1 - y)[:, None], at)
+                values = v[at]
+                if open_ is not None:
+                    if open_[0] == values[0]:
+                        pos[0] += open_[1]
+                        neg[0] += open_[2]
+                    else:
+                        values, pos, neg = np.r_[open_[0], values], np.vstack([open_[1], pos]), np.vstack([open_[2], neg])
+                done = len(values) - 1
+                open_ = (float(values[-1]), pos[-1], neg[-1])
+                first = 0
+                if done and not started:
+                    yield piece(group, float(values[0]), True, pos[0], neg[0], none)
+                    started, first = True, 1
+                if first < done:
+                    p, n = pos[first:done], neg[first:done]
+                    low, sum_p, sum_n, area = inner or (float(values[first]), none, none, none)
+                    under = sum_n + np.cumsum(n, axis=0) - n
+                    inner = (low, sum_p + p.sum(0), sum_n + n.sum(0), area + (p * (under + n / 2)).sum(0))
+        yield from ends()
+
+    pieces = ranges.mapInArrow(run, "g string, b int, low double, edge boolean, pos double, neg double, area double")
+    pieces = pieces.groupBy("g", "b", "low", "edge").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "area")))
+    order = W.partitionBy("g", "b").orderBy("low", "edge").rowsBetween(W.unboundedPreceding, 0)
+    under = F.sum("neg").over(order) - F.col("neg")
+    area = F.col("pos") * under + F.when(F.col("edge"), F.col("pos") * F.col("neg") / 2).otherwise(F.col("area"))
+    per = pieces.select("g", "b", "pos", "neg", area.alias("area")).groupBy("g", "b").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    return rows.select(*groups).distinct().withColumn("g", said).join(per, "g").select(*groups, "b", "auc")
+
+
+def _steps(start: int, stop: int) -> Iterator[tuple[int, int]]:
+    return ((k, min(k + UNIT_ROWS, stop)) for k in range(start, stop, UNIT_ROWS))

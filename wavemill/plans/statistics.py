@@ -51,25 +51,31 @@ def cluster_bootstrap(spark, d):
     return st.interval(long, ["metric"], "v").select("metric", *r6("mean", "low", "high"))
 
 
-@query("window_bootstrap_auc", f"""WITH k AS (SELECT variant, seed, record_id, prob, y, row_number() OVER (PARTITION BY variant, seed ORDER BY record_id) - 1 AS ord, count(*) OVER (PARTITION BY variant, seed) AS n FROM fx_oof),
-  w AS (SELECT b, variant, seed, {_H.format("'boot:' || b || ':' || variant || ':' || seed || ':' || ord")} % n AS ord, count(*) AS weight FROM k CROSS JOIN (SELECT unnest(range(20)) AS b) GROUP BY ALL),
-  g AS (SELECT b, variant, seed, prob, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM w JOIN k USING (variant, seed, ord) GROUP BY ALL), c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b, variant, seed ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM g),
+WINDOW_DRAWS = 300
+_U = "CAST('0x' || substr(md5('{0}:' || (b // 4) || ':' || {1}), 1 + 8 * (b % 4), 8) AS BIGINT)"
+
+
+@query("window_bootstrap_auc", f"""WITH u AS (SELECT variant, seed, prob, y, b, {_U.format('boot', "variant || ':' || seed || ':' || record_id")} / 4294967296.0::DOUBLE AS u FROM fx_oof CROSS JOIN (SELECT unnest(range({WINDOW_DRAWS})) AS b)),
+  g AS (SELECT b, variant, seed, prob, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM (SELECT *, {' + '.join(f'(u >= {c}::DOUBLE)::INT' for c in st.POISSON)} AS weight FROM u) GROUP BY ALL),
+  c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY b, variant, seed ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM g),
   a AS (SELECT b, variant, seed, sum(pos * (under + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg))::DOUBLE AS auc FROM c GROUP BY b, variant, seed HAVING sum(pos) > 0 AND sum(neg) > 0)
   SELECT variant, seed, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM a GROUP BY variant, seed""")
 def window_bootstrap_auc(spark, d):
-    """Windows of every variant and seed are drawn anew; a seed has one window per record."""
+    """Windows of every variant and seed are drawn anew, 300 replicates; a seed has one window per record."""
     by = ["variant", "seed"]
-    rows = test_rows(spark, d).select(*by, "record_id", "prob", "y")
-    drawn = rows.join(st.bootstrap_draws(rows, "record_id", 20, by), [*by, "record_id"])
-    return st.interval(m.auc(drawn, ["b", *by], "weight").where("auc is not null"), by, "auc").select(*by, *r6("mean", "low", "high"))
+    reps = st.auc_replicates(test_rows(spark, d).select(*by, "record_id", "prob", "y"), "record_id", by, "prob", "y", WINDOW_DRAWS)
+    return st.interval(reps.where("auc is not null"), by, "auc").select(*by, *r6("mean", "low", "high"))
 
 
 @query("permutation_test", f"""WITH x AS (SELECT record_id, avg(quality) AS quality, round(avg(prob), 9) AS prob FROM fx_oof WHERE variant = 'A' GROUP BY record_id),
-  r AS (SELECT x.*, r FROM x CROSS JOIN (SELECT unnest(range(20)) AS r)), l AS (SELECT r, quality, row_number() OVER (PARTITION BY r ORDER BY record_id) AS k FROM r), s AS (SELECT r, prob, row_number() OVER (PARTITION BY r ORDER BY {_H.format("'perm:' || r || ':' || record_id")}, record_id) AS k FROM r),
-  n AS (SELECT r, corr(quality, prob) AS c FROM l JOIN s USING (r, k) GROUP BY r), t AS (SELECT corr(quality, prob) AS rho FROM x) SELECT round(rho, 6) AS rho, avg((abs(c) >= abs(rho) - 1e-12)::INT) AS p FROM n CROSS JOIN t GROUP BY rho""")
+  t AS (SELECT corr(quality, prob) AS rho, count(*) AS n, avg(quality) AS mq, avg(prob) AS mp, stddev_pop(quality) AS sq, stddev_pop(prob) AS sp FROM x),
+  k AS (SELECT record_id, quality - mq AS a, prob - mp AS b_, {_H.format("'perm:block:' || record_id")} % ceil(n / {st.BLOCK_ROWS}.0)::BIGINT AS block FROM x CROSS JOIN t), l AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY record_id) AS place FROM k),
+  s AS (SELECT b, block, b_, row_number() OVER (PARTITION BY b, block ORDER BY {_U.format('perm', 'record_id')}, record_id) AS place FROM k CROSS JOIN (SELECT unnest(range({DRAWS})) AS b)),
+  c AS (SELECT s.b, sum(l.a * s.b_) AS s FROM l JOIN s USING (block, place) GROUP BY s.b) SELECT round(rho, 6) AS rho, avg((abs(s / (n * sq * sp)) >= abs(rho) - 1e-12)::INT) AS p FROM c CROSS JOIN t GROUP BY rho""")
 def permutation_test(spark, d):
+    """2,000 permutations of the records' mean scores against their quality."""
     rows = oof(spark, d).where("variant = 'A'").groupBy("record_id").agg(F.avg("quality").alias("quality"), F.round(F.avg("prob"), 9).alias("prob"))
-    return st.permutation_test(rows, "quality", "prob", "record_id", 20).select(*r6("rho"), "p")
+    return st.permutation_test(rows, "quality", "prob", "record_id", DRAWS).select(*r6("rho"), "p")
 
 
 @query("holm", f"""WITH {_DIFFS}, q AS (SELECT variant || '-' || seed || '-' || fold AS name, least(1.0::DOUBLE, round(abs(d) * 20, 9)) AS p FROM (SELECT b.variant, seed, fold, b.f1 - a.f1 AS d FROM f b JOIN f a USING (seed, fold) WHERE a.variant = 'A' AND b.variant <> 'A')),
