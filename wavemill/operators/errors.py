@@ -18,11 +18,15 @@ def error_category(error: Column, y: Column) -> Column:
     return F.when((error >= 0.8) & (y == 1), "persistent_fn").when(error >= 0.8, "persistent_fp").when(error <= 0.2, "stable_correct").otherwise("unstable")
 
 
+def tercile_levels(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """For every value -> name: low, mid, high by the 1/3 and 2/3 quantiles; ties stay together. All edges come from one pass."""
+    edges = exact_quantiles(rows, list(names), [1 / 3, 2 / 3])  # one row
+    level = lambda v: F.when(F.col(v) < F.col(f"q_{v}")[0], "low").when(F.col(v) < F.col(f"q_{v}")[1], "mid").when(F.col(v).isNotNull(), "high")
+    return rows.join(F.broadcast(edges)).withColumns({name: level(v) for v, name in names.items()}).drop(*(f"q_{v}" for v in names))
+
+
 def terciles(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """low, mid, high by the 1/3 and 2/3 quantiles; ties stay together."""
-    edges = exact_quantiles(rows, [value], [1 / 3, 2 / 3]).withColumnRenamed(f"q_{value}", "_e")  # one row
-    level = F.when(F.col(value) < F.col("_e")[0], "low").when(F.col(value) < F.col("_e")[1], "mid").when(F.col(value).isNotNull(), "high")
-    return rows.join(F.broadcast(edges)).withColumn(name, level).drop("_e")
+    return tercile_levels(rows, {value: name})
 
 
 def subgroup_breakdown(rows: DataFrame, factors: list[str], by: list[str]) -> DataFrame:

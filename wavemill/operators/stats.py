@@ -153,7 +153,7 @@ def _factorial(n: int) -> int:
 
 
 #: Rows that trade places with one another in a permutation, on average.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 #: Replicates that a task holds for a block at a time.
 DRAW_STEP = 200
 

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 from ..operators import ensemble as en
 from ..operators import errors as er
+from ..operators import features as ft
 from ..operators import metrics as m
 from ..operators import safety as sf
 from ..operators import stats as st
+from ..operators import subgroups as sg
 from . import fixtures as fx
+from .beat_plans import _BT, HIGH, LOW, kind
 from .evaluation import FOLD, _auc, oof, r6, test_rows
+from .feature_plans import _Z
 from .fixtures import query
 from .statistics import _FISH
 
@@ -135,19 +139,53 @@ def terciles(spark, d):
     return _factors(spark, d).where("variant = 'A'").select("record_id", "quality_level")
 
 
-@query("subgroup_factors", f"WITH {_FACT} SELECT variant, record_id, category, alarm_type, lead_signature, quality_level, degraded FROM fc")
+APART, RATES, FASTEST = 0.5, [(1.0, "HR<1"), (1.5, "HR1-1.5"), (2.0, "HR1.5-2")], "HR>=2"  # beats an hour times 60
+# a recording has many alarms: alarm r belongs to recording r % recordings, whose beats and windows give four factors
+_MORE = f"""{_BT}, {_Z}, {_FACT.removeprefix('WITH ')}, rec AS (SELECT max(record_id) + 1 AS n FROM fx_beats),
+  hr AS (SELECT record_id, kind, count(*) AS n, coalesce(60 / nullif(median(rr), 0), 0) AS hr FROM (SELECT record_id, kind, t - lag(t) OVER (PARTITION BY record_id, kind ORDER BY t) AS rr FROM (SELECT DISTINCT record_id, kind, t_h AS t FROM fx_beats WHERE kind IN ('ecg', 'pulse'))) GROUP BY ALL),
+  cv AS (SELECT ec.record_id, count(ptt)::DOUBLE / count(*) AS coverage FROM ec LEFT JOIN pt ON pt.record_id = ec.record_id AND pt.t = ec.t GROUP BY ec.record_id),
+  ac AS (SELECT record_id, max(c) AS peak FROM (SELECT a.record_id, a.window_id, b.i - a.i AS lag, sum(a.z * b.z) / 64 AS c FROM zz a JOIN zz b ON a.window_id = b.window_id AND b.i - a.i BETWEEN 4 AND 20 GROUP BY ALL) GROUP BY record_id),
+  ids AS (SELECT record_id FROM hr UNION SELECT record_id FROM ac),
+  sf AS (SELECT ids.record_id AS recording, CASE WHEN e.n IS NULL AND p.n IS NULL THEN NULL WHEN abs(coalesce(e.hr, 0) - coalesce(p.hr, 0)) < {APART}::DOUBLE THEN 'agree' ELSE 'disagree' END AS detector_disagree,
+    CASE WHEN coverage < 0.5 THEN 'low' WHEN coverage IS NOT NULL THEN 'high' END AS pulse_coverage, CASE WHEN peak < 0.3::DOUBLE THEN 'weak' WHEN peak IS NOT NULL THEN 'clear' END AS pulse_acf,
+    CASE WHEN e.n IS NULL AND p.n IS NULL THEN NULL WHEN coalesce(e.n, 0) < 3 THEN 'few beats' {' '.join(f"WHEN coalesce(e.hr, 0) < {end}::DOUBLE THEN '{name}'" for end, name in RATES)} ELSE '{FASTEST}' END AS hr_regime
+    FROM ids LEFT JOIN hr e ON e.record_id = ids.record_id AND e.kind = 'ecg' LEFT JOIN hr p ON p.record_id = ids.record_id AND p.kind = 'pulse' LEFT JOIN cv ON cv.record_id = ids.record_id LEFT JOIN ac ON ac.record_id = ids.record_id),
+  chn AS (SELECT record_id, round(avg(l_quantity), 9) AS ecg_quality, round(avg(l_extendedprice), 9) AS pulse_quality FROM fx_alarms GROUP BY record_id),
+  che AS (SELECT quantile_cont(ecg_quality, 1.0::DOUBLE / 3) AS ea, quantile_cont(ecg_quality, 2.0::DOUBLE / 3) AS eb, quantile_cont(pulse_quality, 1.0::DOUBLE / 3) AS pa, quantile_cont(pulse_quality, 2.0::DOUBLE / 3) AS pb FROM chn),
+  fa AS (SELECT fc.*, CASE WHEN ecg_quality < ea THEN 'low' WHEN ecg_quality < eb THEN 'mid' ELSE 'high' END AS ecg_quality_level, CASE WHEN pulse_quality < pa THEN 'low' WHEN pulse_quality < pb THEN 'mid' ELSE 'high' END AS pulse_quality_level,
+    CASE WHEN lead_signature = 'P' THEN 'ABP' ELSE 'PPG' END AS pulse_source, CASE WHEN lead_signature = 'O' THEN 'no' ELSE 'yes' END AS abp_recorded, detector_disagree, pulse_coverage, pulse_acf, hr_regime
+    FROM fc JOIN chn ON chn.record_id = fc.record_id CROSS JOIN che CROSS JOIN rec LEFT JOIN sf ON sf.recording = fc.record_id % rec.n)"""
+
+
+def _all_factors(spark, d):
+    """The factors of a record's own rows and those of its recording's signals; levels without signals are null."""
+    beats, w = fx.beats(spark, d), fx.windows(spark, d)
+    peaks = ft.lag_products(w, w, "window_id", list(range(4, 21))).groupBy("window_id").agg(F.max("c").alias("peak"))
+    peaks = peaks.groupBy(F.floor(F.col("window_id") / 2).alias("record_id")).agg(F.max("peak").alias("peak"))
+    found = sg.signal_factors(kind(spark, d, "ecg"), kind(spark, d, "pulse"), peaks, "record_id", LOW, HIGH, APART, rates=RATES, fastest=FASTEST).withColumnRenamed("record_id", "recording")
+    channels = fx.alarms(spark, d).groupBy("record_id").agg(F.round(F.avg("l_quantity"), 9).alias("ecg_quality"), F.round(F.avg("l_extendedprice"), 9).alias("pulse_quality"))
+    channels = er.tercile_levels(channels, {"ecg_quality": "ecg_quality_level", "pulse_quality": "pulse_quality_level"}).drop("ecg_quality", "pulse_quality")
+    recordings = beats.agg((F.max("record_id") + 1).alias("recordings"))  # one row
+    rows = _factors(spark, d).join(channels, "record_id").join(F.broadcast(recordings)).withColumn("recording", F.col("record_id") % F.col("recordings"))
+    source = F.when(F.col("lead_signature") == "P", "ABP").otherwise("PPG").alias("pulse_source")
+    return rows.join(found, "recording", "left").select("*", source, F.when(F.col("lead_signature") == "O", "no").otherwise("yes").alias("abp_recorded")).drop("recording", "recordings")
+
+
+FACTORS = ["alarm_type", "lead_signature", "quality_level", "degraded", "ecg_quality_level", "pulse_quality_level", "detector_disagree", "pulse_coverage", "pulse_acf", "pulse_source", "abp_recorded", "hr_regime"]
+
+
+@query("subgroup_factors", f"WITH {_MORE} SELECT variant, record_id, category, {', '.join(FACTORS)} FROM fa")
 def subgroup_factors(spark, d):
-    return _factors(spark, d).select("variant", "record_id", "category", "alarm_type", "lead_signature", "quality_level", "degraded")
+    return _all_factors(spark, d).select("variant", "record_id", "category", *FACTORS)
 
 
-FACTORS = ["alarm_type", "lead_signature", "quality_level", "degraded"]
-_BRK = f"""{_FACT}, bk AS (SELECT variant, y, CASE WHEN grouping(alarm_type) = 0 THEN 'alarm_type' WHEN grouping(lead_signature) = 0 THEN 'lead_signature' WHEN grouping(quality_level) = 0 THEN 'quality_level' ELSE 'degraded' END AS factor,
-  coalesce(alarm_type, lead_signature, quality_level, degraded) AS level, count(*) AS n, count(*) FILTER (category LIKE 'persistent%') AS persistent, avg(error) AS mean_error FROM fc GROUP BY GROUPING SETS ((variant, y, alarm_type), (variant, y, lead_signature), (variant, y, quality_level), (variant, y, degraded)))"""
+_BRK = f"""{_MORE}, bk AS (SELECT variant, y, CASE {' '.join(f"WHEN grouping({f}) = 0 THEN '{f}'" for f in FACTORS)} END AS factor, coalesce({', '.join(FACTORS)}, 'none') AS level,
+  count(*) AS n, count(*) FILTER (category LIKE 'persistent%') AS persistent, avg(error) AS mean_error FROM fa GROUP BY GROUPING SETS ({', '.join(f'(variant, y, {f})' for f in FACTORS)}))"""
 
 
 @query("subgroup_breakdown", f"WITH {_BRK} SELECT variant, y, factor, level, n, persistent, round(persistent * 100.0::DOUBLE / n, 6) AS percent, round(mean_error, 6) AS mean_error FROM bk")
 def subgroup_breakdown(spark, d):
-    return er.subgroup_breakdown(_factors(spark, d), FACTORS, ["variant", "y"]).withColumn("percent", F.round("percent", 6)).withColumn("mean_error", F.round("mean_error", 6))
+    return er.subgroup_breakdown(_all_factors(spark, d), FACTORS, ["variant", "y"]).withColumn("percent", F.round("percent", 6)).withColumn("mean_error", F.round("mean_error", 6))
 
 
 @query("subgroup_tests", f"""WITH {_BRK}, tt AS (SELECT variant, y, factor, sum(n) AS n, sum(persistent) AS p FROM bk GROUP BY ALL),
@@ -156,7 +194,7 @@ def subgroup_breakdown(spark, d):
   SELECT name, round(p, 6) AS p, round(least(1.0, max(x) OVER (PARTITION BY variant, y ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 6) AS holm FROM h""")
 def subgroup_tests(spark, d):
     """Each level against the rest of its factor: Fisher's exact test, adjusted within variant and class."""
-    bk = er.subgroup_breakdown(_factors(spark, d), FACTORS, ["variant", "y"])
+    bk = er.subgroup_breakdown(_all_factors(spark, d), FACTORS, ["variant", "y"])
     rest = W.partitionBy("variant", "y", "factor")
     tab = bk.withColumn("tn", F.sum("n").over(rest)).withColumn("tp", F.sum("persistent").over(rest)).where("n >= 5 and tn - n >= 5")
     tab = tab.select(F.concat_ws("|", "variant", F.col("y").cast("string"), "factor", "level").alias("name"), "variant", "y", F.col("persistent").alias("a"), (F.col("n") - F.col("persistent")).alias("b"), (F.col("tp") - F.col("persistent")).alias("c"), (F.col("tn") - F.col("n") - F.col("tp") + F.col("persistent")).alias("d"))
