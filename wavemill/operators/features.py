@@ -41,11 +41,13 @@ def rate_stats(beats: DataFrame, key: str, start: float, end: float) -> DataFram
     return agg.select(key, "n", "n_last5", "rate", "rr_cv", "rr_max", "rr_min", F.coalesce("rmssd", F.lit(0.0)).alias("rmssd"), "irregular", "gap_to_end", "longest_gap")
 
 
-def hrv_features(beats: DataFrame, key: str, near: float, nearer: float) -> DataFrame:
+def hrv_features(beats: DataFrame, key: str, near: float, nearer: float, bin_width: float = 1 / 128) -> DataFrame:
+    """Variability of the intervals. rr_tri: intervals over those in the fullest bin of bin_width, null where all are equal."""
     rr = intervals(beats, key)
     w = W.partitionBy(key)
     rows = rr.withColumn("med", F.percentile("rr", 0.5).over(w)).withColumn("n", F.count("rr").over(w)).withColumn("j", F.count("rr").over(w.orderBy("t")))
-    rows = rows.withColumn("dev", F.abs(F.col("rr") - F.col("med")))
+    rows = rows.withColumn("dev", F.abs(F.col("rr") - F.col("med"))).withColumn("bin", F.floor((F.col("rr") - F.min("rr").over(w)) / F.lit(bin_width)))
+    rows = rows.withColumn("full", F.count("rr").over(W.partitionBy(key, "bin")))
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     d, r = F.col("d"), F.col("rr")
     first, last = F.avg(F.when(r.isNotNull() & (F.col("j") <= third), r)), F.avg(F.when(r.isNotNull() & (F.col("j") > F.col("n") - third), r))
@@ -54,6 +56,7 @@ def hrv_features(beats: DataFrame, key: str, near: float, nearer: float) -> Data
         F.stddev_pop("rr").alias("sdnn"), F.sqrt(F.avg(d * d)).alias("rmssd"), F.avg((F.abs(d) > near).cast("int")).alias("pnn50"), F.avg((F.abs(d) > nearer).cast("int")).alias("pnn20"),
         (F.max("rr") - F.min("rr")).alias("rr_range"), F.percentile("dev", 0.5).alias("rr_mad"), F.sqrt(var_d / 2).alias("sd1"), F.sqrt(F.greatest(F.lit(0.0), 2 * var_r - var_d / 2)).alias("sd2"),
         F.max_by("rr", "t").alias("last_rr"), (last / first).alias("last_first"), F.skewness("rr").alias("rr_skew"),
+        F.when(F.max("rr") > F.min("rr"), F.count("rr") / F.max(F.when(r.isNotNull(), F.col("full")))).alias("rr_tri"),
     )
 
 
@@ -71,18 +74,39 @@ def linear_trend(beats: DataFrame, key: str) -> DataFrame:
     return rr.groupBy(key).agg(F.regr_slope("rr", "k").alias("rr_slope"), F.regr_slope(F.lit(60.0) / F.col("rr"), "k").alias("hr_slope"))
 
 
+def template_cells(rows: DataFrame, key: str, m: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of near templates on (key, cell), for keys that are not flat.
+
+    Templates of m + 1 samples with equal values are one row with its number c. A cell is share * deviation wide in each of
+    the first m samples, so templates within that distance lie in the same or in adjoining cells: the right side stands in
+    its own cell, the left one goes to all 3 ** m around its own.
+    """
+    names = ["x", *(f"x{k}" for k in range(1, m + 1))]
+    w, whole = W.partitionBy(key).orderBy("i"), W.partitionBy(key)
+    t = rows.select(key, F.row_number().over(w).alias("rn"), F.count("*").over(whole).alias("n"), F.stddev_pop("x").over(whole).alias("s"), "x", *(F.lead("x", k).over(w).alias(f"x{k}") for k in range(1, m + 1)))
+    t = t.where((F.col("rn") <= F.col("n") - m) & (F.col("s") >= 1e-8)).groupBy(key, (F.col("s") * share).alias("r"), *names).agg(F.count("*").alias("c"))
+    # a little wider than the tolerance, so that rounding moves no near template by two cells
+    t = t.withColumns({f"g{k}": F.floor(F.col(c) / (F.col("r") * 1.0001)) for k, c in enumerate(names[:m])})
+    left = t.select(key, "r", F.struct(*names).alias("a"), F.col("c").alias("ca"), *(f"g{k}" for k in range(m)))
+    for k in range(m):
+        left = left.withColumn(f"g{k}", F.explode(F.sequence(F.col(f"g{k}") - 1, F.col(f"g{k}") + 1)))
+    return left, t.select(key, F.struct(*names).alias("b"), F.col("c").alias("cb"), *(f"g{k}" for k in range(m)))
+
+
 def sample_entropy(rows: DataFrame, key: str, m: int = 2, share: float = 0.2) -> DataFrame:
     """-ln(A / B) over the n - m templates of both lengths, Chebyshev distance <= share * deviation, one row per key.
 
-    0 for a flat signal, ln(B) where no longer pair is left, NULL without any pair or with fewer than m + 4 samples.
+    0 for a flat signal, ln(B) where no longer pair is left, NULL without any pair or with fewer than m + 4 samples. Only
+    templates of adjoining cells meet, and equal ones are counted without meeting, so a long or repetitive signal makes no
+    square of its samples.
     """
-    w = W.partitionBy(key).orderBy("i")
-    n, s = F.count("*").over(W.partitionBy(key)), F.stddev_pop("x").over(W.partitionBy(key))
-    t = rows.select(key, "i", "x", *(F.lead("x", k).over(w).alias(f"x{k}") for k in range(1, m + 1)), n.alias("n"), (s * share).alias("r"), F.row_number().over(w).alias("rn")).where(F.col("rn") <= F.col("n") - m)
-    a, b = t.select(key, *(F.col(c).alias(f"a_{c}") for c in ("rn", "x", *(f"x{k}" for k in range(1, m + 1)))), "r"), t.select(key, *(F.col(c).alias(f"b_{c}") for c in ("rn", "x", *(f"x{k}" for k in range(1, m + 1)))))
-    short = F.greatest(*(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in ("x", *(f"x{k}" for k in range(1, m)))))
-    pairs = a.join(b, key).where((F.col("a_rn") < F.col("b_rn")) & (short <= F.col("r")))
-    c = pairs.groupBy(key).agg(F.count("*").alias("B"), F.count_if(F.abs(F.col(f"a_x{m}") - F.col(f"b_x{m}")) <= F.col("r")).alias("A"))
+    left, right = template_cells(rows, key, m, share)
+    near = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= F.col("r")
+    pairs = left.join(right, [key, *(f"g{k}" for k in range(m))]).where((F.col("a") <= F.col("b")) & near("x"))
+    for k in range(1, m):
+        pairs = pairs.where(near(f"x{k}"))
+    n = F.when(F.col("a") == F.col("b"), F.expr("ca * (ca - 1) div 2")).otherwise(F.col("ca") * F.col("cb"))
+    c = pairs.groupBy(key).agg(F.sum(n).alias("B"), F.sum(F.when(near(f"x{m}"), n).otherwise(0)).alias("A"))
     all_ = rows.groupBy(key).agg(F.count("*").alias("n"), F.stddev_pop("x").alias("s")).join(c, key, "left")
     value = F.when(F.col("n") < m + 4, None).when(F.col("s") < 1e-8, 0.0).when(F.col("A") > 0, -F.log(F.col("A") / F.col("B"))).when(F.col("B") > 0, F.log("B"))
     return all_.select(key, value.alias("sampen"))
@@ -190,24 +214,88 @@ def sqi_moments(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.kurtosis("x").alias("kurtosis"), F.skewness("x").alias("skewness"), F.avg((F.abs("dx") < 1e-3).cast("int")).alias("flat"), F.max(F.abs("dx")).alias("max_step"), F.sum(F.abs("dx")).alias("line_length"), F.avg("sc").alias("zero_crossings"), mob.alias("mobility"), (mob2 / mob).alias("complexity"))
 
 
-def qrs_morphology(beats: DataFrame, rows: DataFrame, key: str, reach: int) -> DataFrame:
-    """Per window: mean amplitude, peak-to-peak and samples above half of the beat's maximum, over its beats."""
-    spans = beats.select(key, F.col("i").alias("beat"), (F.col("i") - reach).alias("_a"), (F.col("i") + reach).alias("_z"))
-    near = samples_of(spans, rows.select(key, "i", "x"), [key], 2 * reach + 1)
-    near = near.withColumn("top", F.max(F.abs("x")).over(W.partitionBy(key, "beat")))
-    per = near.groupBy(key, "beat").agg(F.max("top").alias("amplitude"), (F.max("x") - F.min("x")).alias("ptp"), F.count_if(F.abs("x") >= F.col("top") / 2).alias("width"))
-    return per.groupBy(key).agg(F.count("*").alias("beats"), *(F.avg(c).alias(c) for c in ("amplitude", "ptp", "width")))
-
-
-def pulse_morphology(feet: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """From (key, peak, foot): mean amplitude, rise, trapezoid area above the foot and steepest up-slope."""
-    nxt = F.lead("x").over(W.partitionBy(key).orderBy("i"))
-    at = rows.select(key, "i", "x", nxt.alias("x2"))
-    near = samples_of(feet.withColumns({"_a": F.col("foot"), "_z": F.col("peak")}), at, [key])
-    near = near.withColumn("base", F.max(F.when(F.col("i") == F.col("foot"), F.col("x"))).over(W.partitionBy(key, "peak")))
-    inner = F.col("i") < F.col("peak")
-    per = near.groupBy(key, "peak", "foot").agg((F.max(F.when(F.col("i") == F.col("peak"), F.col("x"))) - F.max("base")).alias("amplitude"), F.coalesce(F.sum(F.when(inner, (F.col("x") + F.col("x2")) / 2 - F.col("base"))), F.lit(0.0)).alias("area"), F.max(F.when(inner, F.col("x2") - F.col("x"))).alias("slope")).withColumn("rise", F.col("peak") - F.col("foot"))
-    return per.groupBy(key).agg(F.count("*").alias("pulses"), *(F.avg(c).alias(c) for c in ("amplitude", "rise", "area", "slope")))
+def qrs_morphology(beats: DataFrame, rows: DataFrame, key: str, reach: int, t: tuple[int, int, int], p: tuple[int, int], least: int = 5) -> DataFrame:
+    """Per window, over its beats: mean amplitude, peak-to-peak, samples above half of the beat's maximum; T and P wave, last beats.
+
+    The T wave is the largest |x| from t[0] samples after the beat to t[1] after it, ending t[2] before the next beat (or the
+    window's end); the P wave lies from p[0] to p[1] samples before it. Both are divided by |x| at the beat and left out where
+    at most least samples are there. last_vs_all: |x| at the last three beats over that of all, null with a single beat.
+    """
+    w = W.partitionBy(key).orderBy("i")
+    ends = rows.groupBy(key).agg((F.max("i") + 1).alias("_end"))
+    spans = beats.select(key, "i", F.lead("i").over(w).alias("_next"), F.row_number().over(W.partitionBy(key).orderBy(F.col("i").desc())).alias("_last")).join(ends, key)
+    spans = spans.withColumns({"_t0": F.col("i") + t[0], "_t1": F.least(F.col("i") + t[1], F.coalesce("_next", "_end") - t[2]), "_p0": F.greatest(F.col("i") - p[0], F.lit(0)), "_p1": F.col("i") - p[1]})
+    spans = spans.select(key, F.col("i").alias("beat"), "_last", "_t0", "_t1", "_p0", "_p1", (F.col("i") - max(reach, p[0])).alias("_a"), (F.col("i") + max(reach, t[1])).alias("_z"))
+    near = samples_of(spans, rows.select(key, "i", "x"), [key], max(reach, p[0]) + max(reach, t[1]) + 1)
+    size, inside = F.abs("x"), F.abs(F.col("i") - F.col("beat")) <= reach
+    near = near.withColumn("top", F.max(F.when(inside, size)).over(W.partitionBy(key, "beat")))
+    part = lambda a, z: F.max(F.when((F.col("i") >= F.col(a)) & (F.col("i") < F.col(z)) & (F.col(z) - F.col(a) > least), size))
+    per = near.groupBy(key, "beat").agg(
+        F.max("top").alias("amplitude"), (F.max(F.when(inside, F.col("x"))) - F.min(F.when(inside, F.col("x")))).alias("ptp"), F.count_if(inside & (size >= F.col("top") / 2)).alias("width"),
+        F.max(F.when(F.col("i") == F.col("beat"), size)).alias("own"), part("_t0", "_t1").alias("tw"), part("_p0", "_p1").alias("pw"), F.first("_last").alias("last"),
+    )
+    own = F.nullif(F.col("own"), F.lit(0.0))
+    return per.groupBy(key).agg(
+        F.count("*").alias("beats"), *(F.avg(c).alias(c) for c in ("amplitude", "ptp", "width")), F.avg(F.col("tw") / own).alias("t_ratio"), F.avg(F.col("pw") / own).alias("p_ratio"),
+        F.when(F.count("own") > 1, F.avg(F.when(F.col("last") <= 3, F.col("own"))) / F.nullif(F.avg("own"), F.lit(0.0))).alias("last_vs_all"),
+    )
+
+
+def first_bump(x: Column, skip: int, prominence: Column) -> Column:
+    """The first value of an array, more than skip places in, that stands above its neighbours by the prominence; null without one.
+
+    The prominence of a value is what it rises above the higher of the lowest values on either side, up to a higher value.
+    """
+
+    def floor(side: Column, v: Column) -> Column:
+        start = F.struct(v.alias("low"), F.lit(False).alias("over"))
+        step = lambda s, u: F.struct(F.when(s["over"] | (u > v), s["low"]).otherwise(F.least(s["low"], u)).alias("low"), (s["over"] | (u > v)).alias("over"))
+        return F.aggregate(side, start, step, lambda s: s["low"])
+
+    def stands(k: Column) -> Column:
+        v = F.element_at(x, k)
+        peak = (v > F.element_at(x, k - 1)) & (v > F.element_at(x, k + 1))
+        high = v - F.greatest(floor(F.reverse(F.slice(x, 1, k - 1)), v), floor(F.slice(x, k + 1, F.size(x)), v))
+        return F.when(peak, high >= prominence).otherwise(False)
+
+    first, last = F.lit(skip + 2), F.size(x) - 1
+    found = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), stands)
+    return F.when(F.size(found) > 0, F.element_at(x, F.try_element_at(found, F.lit(1))))
+
+
+def pulse_morphology(feet: DataFrame, rows: DataFrame, key: str, most: int, least: int = 5, skip: int = 3) -> DataFrame:
+    """From (key, peak, foot): shape of a window's pulses, as means over them.
+
+    amplitude, rise, trapezoid area from foot to peak and steepest up-slope; half_width: samples from the foot to the next
+    foot (at most `most` samples after the peak) that reach half the amplitude; dicrotic: height over the amplitude of the
+    first bump of the falling limb more than skip samples after the peak, 0 without one. The last two need more than least
+    falling samples. Of the amplitudes: last_vs_all (the last two), amp_rmssd and perfusion (over the deviation of the
+    window), null with a single pulse.
+    """
+    w = W.partitionBy(key).orderBy("i")
+    at = rows.select(key, "i", "x", F.lead("x").over(w).alias("x2"))
+    whole = rows.groupBy(key).agg((F.max("i") + 1).alias("_end"), F.stddev_pop("x").alias("_sd"))
+    after = F.lead("foot").over(W.partitionBy(key).orderBy("peak"))
+    spans = feet.select(key, "peak", "foot", after.alias("_after")).join(whole, key)
+    spans = spans.withColumn("_next", F.when(F.col("_after") > F.col("peak"), F.col("_after")).otherwise(F.least(F.col("peak") + most, F.col("_end"))))
+    near = samples_of(spans.withColumns({"_a": F.col("foot"), "_z": F.greatest(F.col("peak"), F.col("_next") - 1)}), at, [key])
+    here = W.partitionBy(key, "peak")
+    near = near.withColumns({"base": F.max(F.when(F.col("i") == F.col("foot"), F.col("x"))).over(here), "top": F.max(F.when(F.col("i") == F.col("peak"), F.col("x"))).over(here)})
+    inner, falling = F.col("i") < F.col("peak"), (F.col("i") >= F.col("peak")) & (F.col("i") < F.col("_next"))
+    limb = F.transform(F.array_sort(F.collect_list(F.when(falling, F.struct("i", "x")))), lambda s: s["x"])
+    per = near.groupBy(key, "peak", "foot").agg(
+        (F.max("top") - F.max("base")).alias("amplitude"), F.coalesce(F.sum(F.when(inner, (F.col("x") + F.col("x2")) / 2 - F.col("base"))), F.lit(0.0)).alias("area"), F.max(F.when(inner, F.col("x2") - F.col("x"))).alias("slope"),
+        F.count_if((F.col("i") < F.col("_next")) & (F.col("x") >= F.col("base") + (F.col("top") - F.col("base")) / 2)).alias("wide"), limb.alias("limb"), F.max("base").alias("base"), F.first("_next").alias("_next"), F.first("_sd").alias("_sd"),
+    )
+    whole_limb = F.col("_next") > F.col("peak") + least
+    bump = (first_bump(F.col("limb"), skip, 0.03 * (F.abs("amplitude") + 1e-8)) - F.col("base")) / (F.col("amplitude") + 1e-8)
+    order = W.partitionBy(key).orderBy("peak")
+    per = per.withColumns({"rise": F.col("peak") - F.col("foot"), "half_width": F.when(whole_limb, F.col("wide")), "dicrotic": F.when(whole_limb, F.coalesce(bump, F.lit(0.0))), "step": F.col("amplitude") - F.lag("amplitude").over(order), "last": F.row_number().over(W.partitionBy(key).orderBy(F.col("peak").desc()))})
+    several = lambda c: F.when(F.count("*") > 1, c)
+    return per.groupBy(key).agg(
+        F.count("*").alias("pulses"), *(F.avg(c).alias(c) for c in ("amplitude", "rise", "area", "slope", "half_width", "dicrotic")),
+        several(F.avg(F.when(F.col("last") <= 2, F.col("amplitude"))) / (F.avg("amplitude") + 1e-8)).alias("last_vs_all"), several(F.sqrt(F.avg(F.col("step") * F.col("step")))).alias("amp_rmssd"), several(F.avg("amplitude") / (F.first("_sd") + 1e-8)).alias("perfusion"),
+    )
 
 
 def alarm_detectors(beats: DataFrame, key: str, gap: float, slow: float, fast: float, over: int = 5) -> DataFrame:

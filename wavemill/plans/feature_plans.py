@@ -32,10 +32,11 @@ def rate_stats(spark, d):
 
 @query("hrv_features", f"""WITH {_RR}, w AS (SELECT *, median(rr) OVER (PARTITION BY record_id) AS med, count(rr) OVER (PARTITION BY record_id) AS n, count(rr) OVER (PARTITION BY record_id ORDER BY t) AS j FROM rr),
   f AS (SELECT record_id, stddev_pop(rr) AS sdnn, sqrt(avg(d * d)) AS rmssd, avg((abs(d) > 5)::INT) AS pnn50, avg((abs(d) > 2)::INT) AS pnn20, max(rr) - min(rr) AS rr_range, median(abs(rr - med)) AS rr_mad, sqrt(var_pop(d) / 2) AS sd1, sqrt(greatest(0.0, 2 * var_pop(rr) - var_pop(d) / 2)) AS sd2,
-    max_by(rr, t) AS last_rr, avg(rr) FILTER (j > n - greatest(1, n // 3)) / avg(rr) FILTER (j <= greatest(1, n // 3)) AS last_first, (avg(rr * rr * rr) - 3 * avg(rr) * avg(rr * rr) + 2 * avg(rr) ** 3) / nullif(stddev_pop(rr) ** 3, 0) AS rr_skew FROM w GROUP BY record_id)
-  SELECT record_id, {_r('sdnn', 'rmssd', 'pnn50', 'pnn20', 'rr_range', 'rr_mad', 'sd1', 'sd2', 'last_rr', 'last_first', 'rr_skew')} FROM f""")
+    max_by(rr, t) AS last_rr, avg(rr) FILTER (j > n - greatest(1, n // 3)) / avg(rr) FILTER (j <= greatest(1, n // 3)) AS last_first, (avg(rr * rr * rr) - 3 * avg(rr) * avg(rr * rr) + 2 * avg(rr) ** 3) / nullif(stddev_pop(rr) ** 3, 0) AS rr_skew,
+    CASE WHEN max(rr) > min(rr) THEN count(rr)::DOUBLE / max(full_) FILTER (rr IS NOT NULL) END AS rr_tri FROM (SELECT *, count(rr) OVER (PARTITION BY record_id, floor((rr - lo) / 2.0::DOUBLE)) AS full_ FROM (SELECT *, min(rr) OVER (PARTITION BY record_id) AS lo FROM w)) GROUP BY record_id)
+  SELECT record_id, {_r('sdnn', 'rmssd', 'pnn50', 'pnn20', 'rr_range', 'rr_mad', 'sd1', 'sd2', 'last_rr', 'last_first', 'rr_skew', 'rr_tri')} FROM f""")
 def hrv_features(spark, d):
-    return rounded(ft.hrv_features(kind(spark, d, "ecg"), "record_id", 5.0, 2.0), "record_id")
+    return rounded(ft.hrv_features(kind(spark, d, "ecg"), "record_id", 5.0, 2.0, 2.0), "record_id")
 
 
 @query("rr_histogram_entropy", f"WITH {_RR}, b AS (SELECT record_id, least(11, floor((rr - 2) / (48.0::DOUBLE / 12))) AS b, count(*) AS c FROM rr WHERE rr BETWEEN 2 AND 50 GROUP BY ALL), p AS (SELECT *, c::DOUBLE / sum(c) OVER (PARTITION BY record_id) AS p FROM b) SELECT record_id, round(sum(-p * ln(p)), 5) AS entropy FROM p GROUP BY record_id")
@@ -120,18 +121,33 @@ def sqi_moments(spark, d):
     return rounded(ft.sqi_moments(fx.windows(spark, d), "window_id"), "window_id")
 
 
-@query("qrs_morphology", f"WITH {_PK}, n AS (SELECT pk.window_id, pk.i AS beat, w.x, max(abs(w.x)) OVER (PARTITION BY pk.window_id, pk.i) AS top FROM pk JOIN fx_windows w ON w.window_id = pk.window_id AND abs(w.i - pk.i) <= 3), p AS (SELECT window_id, beat, max(top) AS amplitude, max(x) - min(x) AS ptp, count(*) FILTER (abs(x) >= top / 2) AS width FROM n GROUP BY ALL), f AS (SELECT window_id, count(*) AS beats, avg(amplitude) AS amplitude, avg(ptp) AS ptp, avg(width) AS width FROM p GROUP BY window_id) SELECT window_id, beats, {_r('amplitude', 'ptp', 'width')} FROM f")
+@query("qrs_morphology", f"""WITH {_PK}, sp AS (SELECT window_id, i AS beat, lead(i) OVER (PARTITION BY window_id ORDER BY i) AS nx, row_number() OVER (PARTITION BY window_id ORDER BY i DESC) AS last FROM pk), b AS (SELECT *, least(beat + 6, coalesce(nx, 64) - 1) AS t1, greatest(beat - 6, 0) AS p0 FROM sp),
+  n AS (SELECT b.*, w.i, w.x, abs(w.i - beat) <= 3 AS inside, max(abs(w.x)) FILTER (abs(w.i - beat) <= 3) OVER (PARTITION BY b.window_id, beat) AS top FROM b JOIN fx_windows w ON w.window_id = b.window_id AND w.i BETWEEN beat - 6 AND beat + 6),
+  p AS (SELECT window_id, beat, max(last) AS last, max(top) AS amplitude, max(x) FILTER (inside) - min(x) FILTER (inside) AS ptp, count(*) FILTER (inside AND abs(x) >= top / 2) AS width, max(abs(x)) FILTER (i = beat) AS own,
+    max(abs(x)) FILTER (i >= beat + 1 AND i < t1 AND t1 - (beat + 1) > 1) AS tw, max(abs(x)) FILTER (i >= p0 AND i < beat - 2 AND beat - 2 - p0 > 1) AS pw FROM n GROUP BY ALL),
+  f AS (SELECT window_id, count(*) AS beats, avg(amplitude) AS amplitude, avg(ptp) AS ptp, avg(width) AS width, avg(tw / nullif(own, 0)) AS t_ratio, avg(pw / nullif(own, 0)) AS p_ratio, CASE WHEN count(*) > 1 THEN avg(own) FILTER (last <= 3) / nullif(avg(own), 0) END AS last_vs_all FROM p GROUP BY window_id)
+  SELECT window_id, beats, {_r('amplitude', 'ptp', 'width', 't_ratio', 'p_ratio', 'last_vs_all')} FROM f""")
 def qrs_morphology(spark, d):
-    return rounded(ft.qrs_morphology(_peaks(spark, d), fx.windows(spark, d), "window_id", 3), "window_id")
-
-
-@query("pulse_morphology", f"""WITH {_PK}, s AS (SELECT window_id, i AS peak, coalesce(lag(i) OVER (PARTITION BY window_id ORDER BY i), 0) AS a FROM pk), ft AS (SELECT s.window_id, peak, min_by(w.i, (w.x, w.i)) AS foot FROM s JOIN fx_windows w ON w.window_id = s.window_id AND w.i BETWEEN a AND peak GROUP BY s.window_id, peak),
-  w2 AS (SELECT *, lead(x) OVER (PARTITION BY window_id ORDER BY i) AS x2 FROM fx_windows), n AS (SELECT ft.window_id, peak, foot, w2.i, w2.x, w2.x2, max(CASE WHEN w2.i = foot THEN w2.x END) OVER (PARTITION BY ft.window_id, peak) AS base FROM ft JOIN w2 ON w2.window_id = ft.window_id AND w2.i BETWEEN foot AND peak),
-  p AS (SELECT window_id, peak, max(CASE WHEN i = peak THEN x END) - max(base) AS amplitude, coalesce(sum((x + x2) / 2 - base) FILTER (i < peak), 0.0) AS area, max(x2 - x) FILTER (i < peak) AS slope, peak - max(foot) AS rise FROM n GROUP BY window_id, peak),
-  f AS (SELECT window_id, count(*) AS pulses, avg(amplitude) AS amplitude, avg(rise) AS rise, avg(area) AS area, avg(slope) AS slope FROM p GROUP BY window_id) SELECT window_id, pulses, {_r('amplitude', 'rise', 'area', 'slope')} FROM f""")
+    return rounded(ft.qrs_morphology(_peaks(spark, d), fx.windows(spark, d), "window_id", 3, (1, 6, 1), (6, 2), 1), "window_id")
+
+
+# a bump of the falling limb: lowest values on either side, up to a higher one, by the samples between
+@query("pulse_morphology", f"""WITH {_PK}, s AS (SELECT window_id, i AS peak, coalesce(lag(i) OVER (PARTITION BY window_id ORDER BY i), 0) AS a FROM pk), f0 AS (SELECT s.window_id, peak, min_by(w.i, (w.x, w.i)) AS foot FROM s JOIN fx_windows w ON w.window_id = s.window_id AND w.i BETWEEN a AND peak GROUP BY s.window_id, peak),
+  ft AS (SELECT *, CASE WHEN af > peak THEN af ELSE least(peak + 12, 64) END AS nx FROM (SELECT *, lead(foot) OVER (PARTITION BY window_id ORDER BY peak) AS af FROM f0)),
+  w2 AS (SELECT *, lead(x) OVER (PARTITION BY window_id ORDER BY i) AS x2 FROM fx_windows), n AS (SELECT ft.*, w2.i, w2.x, w2.x2, max(CASE WHEN w2.i = foot THEN w2.x END) OVER (PARTITION BY ft.window_id, peak) AS base, max(CASE WHEN w2.i = peak THEN w2.x END) OVER (PARTITION BY ft.window_id, peak) AS top FROM ft JOIN w2 ON w2.window_id = ft.window_id AND w2.i BETWEEN foot AND greatest(peak, nx - 1)),
+  fall AS (SELECT window_id, peak, i, x, base, top, lag(x) OVER w AS px, lead(x) OVER w AS nxt FROM n WHERE i >= peak AND i < nx WINDOW w AS (PARTITION BY window_id, peak ORDER BY i)),
+  cand AS (SELECT * FROM fall WHERE x > px AND x > nxt AND i - peak > 1),
+  lim AS (SELECT c.window_id, c.peak, c.i, c.x, c.base, c.top, coalesce(max(o.i) FILTER (o.i < c.i AND o.x > c.x), -1) AS l, coalesce(min(o.i) FILTER (o.i > c.i AND o.x > c.x), 9999) AS r FROM cand c JOIN fall o ON o.window_id = c.window_id AND o.peak = c.peak GROUP BY c.window_id, c.peak, c.i, c.x, c.base, c.top),
+  bump AS (SELECT q.window_id, q.peak, q.i, q.x, q.base, q.top, q.x - greatest(min(o.x) FILTER (o.i > q.l AND o.i <= q.i), min(o.x) FILTER (o.i < q.r AND o.i >= q.i)) AS prom FROM lim q JOIN fall o ON o.window_id = q.window_id AND o.peak = q.peak GROUP BY q.window_id, q.peak, q.i, q.x, q.base, q.top),
+  di AS (SELECT window_id, peak, min_by((x - base) / (top - base + 1e-8), i) AS dic FROM bump WHERE prom >= 0.03::DOUBLE * (abs(top - base) + 1e-8) GROUP BY ALL),
+  p AS (SELECT window_id, peak, max(nx) AS nx, max(top) - max(base) AS amplitude, coalesce(sum((x + x2) / 2 - base) FILTER (i < peak), 0.0) AS area, max(x2 - x) FILTER (i < peak) AS slope, peak - max(foot) AS rise, count(*) FILTER (i < nx AND x >= base + (top - base) / 2) AS wide FROM n GROUP BY window_id, peak),
+  p2 AS (SELECT p.*, CASE WHEN nx > p.peak + 2 THEN wide END AS half_width, CASE WHEN nx > p.peak + 2 THEN coalesce(dic, 0) END AS dicrotic, amplitude - lag(amplitude) OVER (PARTITION BY p.window_id ORDER BY p.peak) AS step, row_number() OVER (PARTITION BY p.window_id ORDER BY p.peak DESC) AS last FROM p LEFT JOIN di ON di.window_id = p.window_id AND di.peak = p.peak),
+  sd AS (SELECT window_id, stddev_pop(x) AS sd FROM fx_windows GROUP BY window_id),
+  f AS (SELECT p2.window_id, count(*) AS pulses, avg(amplitude) AS amplitude, avg(rise) AS rise, avg(area) AS area, avg(slope) AS slope, avg(half_width) AS half_width, avg(dicrotic) AS dicrotic, CASE WHEN count(*) > 1 THEN avg(amplitude) FILTER (last <= 2) / (avg(amplitude) + 1e-8) END AS last_vs_all, CASE WHEN count(*) > 1 THEN sqrt(avg(step * step)) END AS amp_rmssd, CASE WHEN count(*) > 1 THEN avg(amplitude) / (max(sd) + 1e-8) END AS perfusion FROM p2 JOIN sd USING (window_id) GROUP BY p2.window_id)
+  SELECT window_id, pulses, {_r('amplitude', 'rise', 'area', 'slope', 'half_width', 'dicrotic', 'last_vs_all', 'amp_rmssd', 'perfusion')} FROM f""")
 def pulse_morphology(spark, d):
     w = fx.windows(spark, d)
-    return rounded(ft.pulse_morphology(bt.feet(_peaks(spark, d), w, ["window_id"]), w, "window_id"), "window_id")
+    return rounded(ft.pulse_morphology(bt.feet(_peaks(spark, d), w, ["window_id"]), w, "window_id", 12, 2, 1), "window_id")
 
 
 @query("alarm_detectors", f"""WITH {_RR}, h AS (SELECT *, 60 / rr AS hr, CASE WHEN count(rr) OVER w = 5 THEN 60 / avg(rr) OVER w END AS roll FROM rr WHERE rr > 0 WINDOW w AS (PARTITION BY record_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
