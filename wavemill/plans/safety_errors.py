@@ -128,10 +128,12 @@ _FACT = f"""{_CONS}, atr AS (SELECT record_id, min(alarm_type) AS alarm_type, mi
   fc AS (SELECT ct.*, alarm_type, lead_signature, CASE WHEN quality < a THEN 'low' WHEN quality < b THEN 'mid' ELSE 'high' END AS quality_level, CASE WHEN quality < 0.6 THEN 'yes' ELSE 'no' END AS degraded FROM ct JOIN atr USING (record_id) CROSS JOIN ed)"""
 
 
-def _factors(spark, d):
-    at = fx.alarms(spark, d).groupBy("record_id").agg(F.min("alarm_type").alias("alarm_type"), F.min("lead_signature").alias("lead_signature"), F.round(F.avg("quality"), 9).alias("quality"))
-    at = er.terciles(at, "quality", "quality_level").withColumn("degraded", F.when(F.col("quality") < 0.6, "yes").otherwise("no"))
-    return _errors(spark, d).join(at, "record_id")
+def _factors(spark, d, channels=()):
+    """Errors with the factors of a record's own rows; channels: (quality, column) whose terciles come from the same pass."""
+    means = [F.round(F.avg(column), 9).alias(name) for name, column in (("quality", "quality"), *channels)]
+    at = fx.alarms(spark, d).groupBy("record_id").agg(F.min("alarm_type").alias("alarm_type"), F.min("lead_signature").alias("lead_signature"), *means)
+    at = er.tercile_levels(at, {name: f"{name}_level" for name in ("quality", *(name for name, _ in channels))})
+    return _errors(spark, d).join(at.withColumn("degraded", F.when(F.col("quality") < 0.6, "yes").otherwise("no")), "record_id")
 
 
 @query("terciles", f"WITH {_FACT} SELECT DISTINCT record_id, quality_level FROM fc WHERE variant = 'A'")
@@ -163,10 +165,8 @@ def _all_factors(spark, d):
     peaks = ft.lag_products(w, w, "window_id", list(range(4, 21))).groupBy("window_id").agg(F.max("c").alias("peak"))
     peaks = peaks.groupBy(F.floor(F.col("window_id") / 2).alias("record_id")).agg(F.max("peak").alias("peak"))
     found = sg.signal_factors(kind(spark, d, "ecg"), kind(spark, d, "pulse"), peaks, "record_id", LOW, HIGH, APART, rates=RATES, fastest=FASTEST).withColumnRenamed("record_id", "recording")
-    channels = fx.alarms(spark, d).groupBy("record_id").agg(F.round(F.avg("l_quantity"), 9).alias("ecg_quality"), F.round(F.avg("l_extendedprice"), 9).alias("pulse_quality"))
-    channels = er.tercile_levels(channels, {"ecg_quality": "ecg_quality_level", "pulse_quality": "pulse_quality_level"}).drop("ecg_quality", "pulse_quality")
     recordings = beats.agg((F.max("record_id") + 1).alias("recordings"))  # one row
-    rows = _factors(spark, d).join(channels, "record_id").join(F.broadcast(recordings)).withColumn("recording", F.col("record_id") % F.col("recordings"))
+    rows = _factors(spark, d, (("ecg_quality", "l_quantity"), ("pulse_quality", "l_extendedprice"))).join(F.broadcast(recordings)).withColumn("recording", F.col("record_id") % F.col("recordings"))
     source = F.when(F.col("lead_signature") == "P", "ABP").otherwise("PPG").alias("pulse_source")
     return rows.join(found, "recording", "left").select("*", source, F.when(F.col("lead_signature") == "O", "no").otherwise("yes").alias("abp_recorded")).drop("recording", "recordings")
 
