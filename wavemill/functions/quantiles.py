@@ -66,7 +66,8 @@ def exact_quantiles(rows: DataFrame, values: list[str], probs: list[float], by:
     known = stored(known)  # one row per wanted rank
     pick = lambda rank, v: known.select("at", "name", F.col("rank").alias(rank), F.col("v").alias(v))
     out = wanted.join(pick("under", "a"), ["at", "name", "under"]).join(pick("over", "b"), ["at", "name", "over"])
-    value = F.when(F.col("share") == 0, F.col("a")).otherwise((1 - F.col("share")) * F.col("a") + F.col("share") * F.col("b"))
+    # between equal values nothing is interpolated: the two products of one value need not add up to it
+    value = F.when((F.col("share") == 0) | (F.col("a") == F.col("b")), F.col("a")).otherwise((1 - F.col("share")) * F.col("a") + F.col("share") * F.col("b"))
     out = out.groupBy("at", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nr", value.alias("q")))), lambda s: s["q"]).alias("q"))
     out = out.groupBy("at").agg(*(F.first(F.when(F.col("name") == c, F.col("q")), ignorenulls=True).alias(f"q_{c}") for c in values))
     return out.select(*(F.col(f"at.k{i}").alias(c) for i, c in enumerate(by)), *(f"q_{c}" for c in values))
