@@ -53,14 +53,35 @@ def challenge_score() -> Column:
 METRICS: dict[str, Callable[[], Column]] = {"sensitivity": sensitivity, "specificity": specificity, "f1": f1, "accuracy": accuracy, "suppression": suppression, "score": challenge_score}
 
 
+#: Ranges of [0, 1] in which the distinct scores of one AUC are put in order; scores outside lie in the outer ones.
+SCORE_RANGES = 4096
+
+
+def _areas(preds: DataFrame, by: list[str], threshold: float, weight: str | None = None) -> DataFrame:
+    """(by, tp, fp, tn, fn, auc) in one pass.
+
+    Rows are summed per distinct score. A task puts the scores of one range in order, the area under a range's own steps is
+    known there, and only the ranges' sums meet per group, so a group's scores need not fit into a task.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    place = F.least(F.lit(SCORE_RANGES - 1), F.greatest(F.lit(0), F.floor(F.col("prob") * SCORE_RANGES)))
+    place = F.when(F.col("prob").isNull(), -1).when(F.isnan("prob"), SCORE_RANGES - 1).otherwise(place).cast("int")
+    per = preds.groupBy(*by, place.alias("_range"), "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, w).otherwise(0)).alias("neg"))
+    before = lambda *within: W.partitionBy(*by, *within[:-1]).orderBy(within[-1]).rowsBetween(W.unboundedPreceding, -1)
+    under = F.coalesce(F.sum("neg").over(before("_range", "prob")), F.lit(0))
+    hit = F.col("prob") >= threshold
+    at = lambda cond, n, name: F.sum(F.when(cond, F.col(n)).otherwise(0)).alias(name)
+    counts = [at(hit, "pos", "tp"), at(hit, "neg", "fp"), at(~hit, "neg", "tn"), at(~hit, "pos", "fn")]
+    own = F.sum(F.col("pos") * (F.col("_under") + F.col("neg") / F.lit(2.0))).alias("won")
+    ranges = per.withColumn("_under", under).groupBy(*by, "_range").agg(own, F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *counts)
+    ranges = ranges.withColumn("_under", F.coalesce(F.sum("neg").over(before("_range")), F.lit(0)))
+    sums = ranges.groupBy(*by).agg(F.sum(F.col("won") + F.col("pos").cast("double") * F.col("_under")).alias("won"), *(F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp", "tn", "fn")))
+    return sums.select(*by, "tp", "fp", "tn", "fn", ratio(F.col("won"), F.col("pos") * F.col("neg")).alias("auc"))
+
+
 def auc(preds: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
     """ROC AUC with ties at mid-rank; NULL on a single class. Rows are summed per distinct score before any ordering."""
-    w = F.col(weight) if weight else F.lit(1)
-    per = preds.groupBy(*by, "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") != 1, w).otherwise(0)).alias("neg"))
-    below = W.partitionBy(*by).orderBy("prob").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / F.lit(2.0)))
-    return per.groupBy(*by).agg(won.alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(*by, ratio(F.col("won"), F.col("pos") * F.col("neg")).alias("auc"))
+    return _areas(preds, by, 0.5, weight).select(*by, "auc")
 
 
 def same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
@@ -68,8 +89,8 @@ def same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
 
 
 def binary_metrics(preds: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
-    counts, areas = confusion(preds, by, threshold), auc(preds, by)
-    return counts.join(areas, by).select(*by, "tp", "fp", "tn", "fn", sensitivity().alias("sensitivity"), specificity().alias("specificity"), f1().alias("f1"), "auc", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), (F.col("tp") + F.col("fn")).alias("n_pos"))
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.lit(True))
+    return _areas(preds.where(known), by, threshold).select(*by, "tp", "fp", "tn", "fn", sensitivity().alias("sensitivity"), specificity().alias("specificity"), f1().alias("f1"), "auc", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("n"), (F.col("tp") + F.col("fn")).alias("n_pos"))
 
 
 def threshold_for_sensitivity(val: DataFrame, by: list[str], targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -112,10 +133,9 @@ def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def regression_quality(rows: DataFrame, by: list[str], y: str, fitted: str) -> DataFrame:
-    """Pearson correlation, R squared and mean absolute error."""
-    mean = F.avg(y).over(W.partitionBy(*by))
-    rows = rows.withColumn("_m", mean)
-    return rows.groupBy(*by).agg(F.corr(y, fitted).alias("pearson"), (F.lit(1.0) - F.sum((F.col(y) - F.col(fitted)) ** 2) / F.sum((F.col(y) - F.col("_m")) ** 2)).alias("r2"), F.avg(F.abs(F.col(y) - F.col(fitted))).alias("mae"))
+    """Pearson correlation, R squared and mean absolute error, in one aggregation."""
+    around = F.var_pop(y) * F.count(y)  # squares around the mean
+    return rows.groupBy(*by).agg(F.corr(y, fitted).alias("pearson"), (F.lit(1.0) - F.sum((F.col(y) - F.col(fitted)) ** 2) / around).alias("r2"), F.avg(F.abs(F.col(y) - F.col(fitted))).alias("mae"))
 
 
 def entropy(prob: Column) -> Column:
