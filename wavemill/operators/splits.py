@@ -3,56 +3,93 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw
-from ..functions.ranking import ranked
+from ..functions.ranking import dealt, part_of, ranked
+from ..sources.tables import stored
 
+#: Most rows of a counted table of edges that every task is given whole.
+EDGES = 100_000
+_END = float(1 << 32)  # above every draw
 
-def _shuffled(rows: DataFrame, key: str, seed: Column | int, by: list[str], name: str = "_r") -> DataFrame:
+
+def _drawn(seed: Column | int, key: str) -> Column:
+    return draw(seed if isinstance(seed, Column) else F.lit(seed), key)
+
+
+def _shuffled(rows: DataFrame, key: str, seed: Column | int, by: list[str], total: int, name: str = "_r") -> DataFrame:
     """rows with their place, from 1, in the shuffled order of each ``by``."""
-    return ranked(rows, by, draw(seed if isinstance(seed, Column) else F.lit(seed), key), [key], 0.0, float(1 << 32), name)
+    return ranked(rows, by, _drawn(seed, key), [key], 0.0, _END, name, total)
 
 
 def group_folds(groups: DataFrame, key: str, k: int, seed: Column | int = 0, by: list[str] | None = None) -> DataFrame:
     """Distinct groups dealt round robin to k folds in shuffled order, once per value of ``by``."""
     by = by or []
-    rows = _shuffled(groups.select(*by, key).distinct(), key, seed, by)
-    return rows.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+    rows = stored(groups.select(*by, key).distinct())
+    return _folds(rows, key, k, seed, by, rows.count())
+
+
+def _folds(rows: DataFrame, key: str, k: int, seed: Column | int, by: list[str], total: int) -> DataFrame:
+    return _shuffled(rows, key, seed, by, total).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
-def _first_share(rows: DataFrame, by: list[str], fraction: float, least: int) -> DataFrame:
-    """Adds _taken: whether the place _r is within max(least, round half even (fraction * n)) of its ``by``."""
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)), "_n")
+def _first_share(rows: DataFrame, key: str, seed: Column | int, by: list[str], fraction: float, least: int) -> DataFrame:
+    """Adds _taken: whether a row's place in the shuffled order is within max(least, round half even (fraction * n)) of its ``by``.
+
+    Only the last row taken of each ``by`` is looked for. Counts of ranges tell the range that holds it, whose rows alone are
+    put in order; the other rows are compared with it where they stand. rows are read three times.
+    """
+    of = [F.col(c).alias(f"_by_{k}") for k, c in enumerate(by)]
     on = F.lit(True)
     for k, c in enumerate(by):
         on &= F.col(c).eqNullSafe(F.col(f"_by_{k}"))
-    take = F.greatest(F.lit(least), F.bround(F.col("_n") * F.lit(fraction)).cast("long"))
-    return rows.join(sizes, on).withColumn("_taken", F.col("_r") <= take).drop("_r", "_n", *(f"_by_{k}" for k in range(len(by))))
+    place = F.struct(_drawn(seed, key).alias("value"), F.col(key).alias("key"))
+    placed = rows.select(*by, place.alias("_place")).withColumn("_part", part_of(F.col("_place.value"), 0.0, _END))
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_in"))
+    within = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumn("_to", F.sum("_in").over(within)).withColumn("_n", F.sum("_in").over(W.partitionBy(*by)))
+    last = F.least(F.col("_n"), F.greatest(F.lit(least), F.bround(F.col("_n") * F.lit(fraction)).cast("long")))
+    nth = (last - (F.col("_to") - F.col("_in"))).alias("_nth")
+    holding = _given(counts.select(*of, F.col("_part").alias("_held"), nth, "_in").where("_nth between 1 and _in").drop("_in"))
+    near = placed.join(holding, on & (F.col("_part") == F.col("_held")))
+    near = near.withColumn("_rn", F.row_number().over(W.partitionBy(*by).orderBy("_place"))).where("_rn = _nth")
+    edges = _given(near.select(*of, F.col("_place").alias("_edge")))
+    return rows.join(edges, on).withColumn("_taken", place <= F.col("_edge")).drop("_edge", *(f"_by_{k}" for k in range(len(by))))
+
+
+def _given(edges: DataFrame) -> DataFrame:
+    """One row per ``by``, counted, so that a short table meets the rows where they stand."""
+    edges = stored(edges)
+    return F.broadcast(edges) if edges.count() <= EDGES else edges
 
 
 def group_holdout(groups: DataFrame, key: str, fraction: float, by: list[str], seed: Column | int = 1) -> DataFrame:
     """Per ``by``: max(1, round half even (fraction * n)) groups become val, the others fit."""
-    rows = _first_share(_shuffled(groups.select(*by, key).distinct(), key, seed, by), by, fraction, 1)
-    return rows.withColumn("role", F.when(F.col("_taken"), "val").otherwise("fit")).drop("_taken")
+    return _held_out(stored(groups.select(*by, key).distinct()), key, fraction, by, seed)
+
+
+def _held_out(rows: DataFrame, key: str, fraction: float, by: list[str], seed: Column | int) -> DataFrame:
+    return _first_share(rows, key, seed, by, fraction, 1).withColumn("role", F.when(F.col("_taken"), "val").otherwise("fit")).drop("_taken")
 
 
 def iter_splits(groups: DataFrame, key: str, seeds: int, k: int, fraction: float) -> DataFrame:
     """(seed, fold, key, role): test groups of each fold, the rest divided into val and fit."""
-    seeded = groups.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
-    dealt = group_folds(seeded, key, k, F.col("seed"), ["seed"]).withColumnRenamed("fold", "own")
-    rows = dealt.select("seed", key, "own", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    rest = group_holdout(rows.where("own <> fold"), key, fraction, ["seed", "fold"], F.concat_ws("-", "seed", "fold"))
+    keys = stored(groups.select(key).distinct())
+    seeded = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+    own = stored(_folds(seeded, key, k, F.col("seed"), ["seed"], keys.count() * seeds).withColumnRenamed("fold", "own"))
+    rows = own.select("seed", key, "own", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    rest = _held_out(rows.where("own <> fold").drop("own"), key, fraction, ["seed", "fold"], F.concat_ws("-", "seed", "fold"))
     return rows.where("own = fold").select("seed", "fold", key, F.lit("test").alias("role")).unionByName(rest)
 
 
 def strat_group_folds(groups: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """Class 1 first, then class 0, one running counter over both, dealt to k folds."""
-    rows = groups.groupBy(key).agg(F.max(label).alias(label))
-    rows = _shuffled(rows, key, seed, [label])
+    rows = stored(groups.groupBy(key).agg(F.max(label).alias(label)))
     # the counter goes on after class 1: only its size is needed, no single ordered partition
     ones = rows.agg(F.count_if(F.col(label) == 1).alias("_ones"))
-    return rows.join(F.broadcast(ones)).withColumn("fold", ((F.col("_r") - 1 + F.when(F.col(label) == 1, 0).otherwise(F.col("_ones"))) % k).cast("int")).drop("_r", "_ones")
+    return _shuffled(rows, key, seed, [label], rows.count()).join(F.broadcast(ones)).withColumn("fold", ((F.col("_r") - 1 + F.when(F.col(label) == 1, 0).otherwise(F.col("_ones"))) % k).cast("int")).drop("_r", "_ones")
 
 
 def strat_group_holdout(groups: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
@@ -62,13 +99,14 @@ def strat_group_holdout(groups: DataFrame, key: str, label: str, fraction: float
 
 def strat_window_folds(windows: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:
     """The leaky comparison: single windows dealt to folds within each class."""
-    return _shuffled(windows.select(key, label), key, seed, [label]).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
+    rows = stored(windows.select(key, label))
+    return _shuffled(rows, key, seed, [label], rows.count()).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def label_budget(windows: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """Windows of a fraction of the records per class, at least two records of each."""
-    records = windows.groupBy(key).agg(F.max(label).alias("_c"))
-    kept = _first_share(_shuffled(records, key, seed, ["_c"]), ["_c"], fraction, 2).where("_taken")
+    records = stored(windows.groupBy(key).agg(F.max(label).alias("_c")))
+    kept = _first_share(records, key, seed, ["_c"], fraction, 2).where("_taken")
     return windows.join(kept.select(key), key, "left_semi")
 
 
@@ -77,8 +115,14 @@ def soft_labels(windows: DataFrame, votes: DataFrame, key: str, label: str) -> D
     return windows.join(votes, key, "left").withColumn("target", F.coalesce("frac_true", F.col(label).cast("double")))
 
 
-def leak_check(splits: DataFrame, key: str) -> DataFrame:
-    """Violations: groups with two roles in a fold, or not tested exactly once per seed. Empty when the split is sound."""
-    twice = splits.groupBy("seed", "fold", key).agg(F.countDistinct("role").alias("n")).where("n > 1").select("seed", key, F.lit("two roles").alias("problem"))
-    tested = splits.groupBy("seed", key).agg(F.count_if(F.col("role") == "test").alias("n")).where("n <> 1").select("seed", key, F.lit("tested not once").alias("problem"))
-    return twice.unionByName(tested)
+def leak_check(splits: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Violations: groups with two roles in a fold, or not tested exactly once per seed. Empty when the split is sound.
+
+    All rows of a group and seed are in one task, so the split is made and moved once; total: about how many rows it has.
+    """
+    rows = dealt(splits.select("seed", "fold", key, "role"), ["seed", key], total)
+    roles = rows.groupBy("seed", key, "fold", "role").agg(F.count("*").alias("n"))
+    folds = roles.groupBy("seed", key, "fold").agg(F.count("role").alias("roles"), F.sum(F.when(F.col("role") == "test", F.col("n")).otherwise(0)).alias("tested"))
+    groups = folds.groupBy("seed", key).agg(F.count_if(F.col("roles") > 1).cast("int").alias("twice"), F.sum("tested").alias("tested"))
+    found = F.concat(F.array_repeat(F.lit("two roles"), F.col("twice")), F.array_repeat(F.lit("tested not once"), (F.col("tested") != 1).cast("int")))
+    return groups.where("twice > 0 or tested <> 1").select("seed", key, F.explode(found).alias("problem"))
