@@ -30,12 +30,17 @@ def terciles(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def subgroup_breakdown(rows: DataFrame, factors: list[str], by: list[str]) -> DataFrame:
-    """One pass over grouping sets: population, persistent errors, their share and mean error per factor level."""
+    """One pass over grouping sets: population, persistent errors, their share and mean error per factor level.
+
+    Rows with the same levels of all factors are summed first, so the sets multiply combinations of levels and not rows.
+    """
+    alike = rows.groupBy(*by, *factors).agg(F.count("*").alias("n"), F.count_if(F.col("category").startswith("persistent")).alias("persistent"), F.sum(F.col("error").cast("double")).alias("_error"), F.count("error").alias("_told"))
     sets = [[*by, f] for f in factors]
-    out = rows.groupingSets(sets, *by, *factors).agg(F.count("*").alias("n"), F.count_if(F.col("category").startswith("persistent")).alias("persistent"), F.avg("error").alias("mean_error"), *(F.grouping(f).alias(f"_g_{f}") for f in factors))
+    out = alike.groupingSets(sets, *by, *factors).agg(*(F.sum(c).alias(c) for c in ("n", "persistent", "_error", "_told")), *(F.grouping(f).alias(f"_g_{f}") for f in factors))
     factor = F.coalesce(*(F.when(F.col(f"_g_{f}") == 0, F.lit(f)) for f in factors))
     level = F.coalesce(*(F.when(F.col(f"_g_{f}") == 0, F.coalesce(F.col(f).cast("string"), F.lit("none"))) for f in factors))
-    return out.select(*by, factor.alias("factor"), level.alias("level"), "n", "persistent", (F.col("persistent") * 100.0 / F.col("n")).alias("percent"), "mean_error")
+    mean = F.when(F.col("_told") > 0, F.col("_error") / F.col("_told")).alias("mean_error")
+    return out.select(*by, factor.alias("factor"), level.alias("level"), "n", "persistent", (F.col("persistent") * 100.0 / F.col("n")).alias("percent"), mean)
 
 
 def rule_annotations(rows: DataFrame, rules: list[tuple[str, Column]], most: int = 3) -> DataFrame:

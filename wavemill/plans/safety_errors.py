@@ -13,6 +13,7 @@ from ..operators import metrics as m
 from ..operators import safety as sf
 from ..operators import stats as st
 from ..operators import subgroups as sg
+from ..sources.tables import stored
 from . import fixtures as fx
 from .beat_plans import _BT, HIGH, LOW, kind
 from .evaluation import FOLD, _auc, oof, r6, test_rows
@@ -128,12 +129,17 @@ _FACT = f"""{_CONS}, atr AS (SELECT record_id, min(alarm_type) AS alarm_type, mi
   fc AS (SELECT ct.*, alarm_type, lead_signature, CASE WHEN quality < a THEN 'low' WHEN quality < b THEN 'mid' ELSE 'high' END AS quality_level, CASE WHEN quality < 0.6 THEN 'yes' ELSE 'no' END AS degraded FROM ct JOIN atr USING (record_id) CROSS JOIN ed)"""
 
 
-def _factors(spark, d, channels=()):
-    """Errors with the factors of a record's own rows; channels: (quality, column) whose terciles come from the same pass."""
+def _record_factors(spark, d, channels=()):
+    """The factors of a record's own rows, made and stored once; channels: (quality, column) whose terciles come from the same pass."""
     means = [F.round(F.avg(column), 9).alias(name) for name, column in (("quality", "quality"), *channels)]
-    at = fx.alarms(spark, d).groupBy("record_id").agg(F.min("alarm_type").alias("alarm_type"), F.min("lead_signature").alias("lead_signature"), *means)
+    at = stored(fx.alarms(spark, d).groupBy("record_id").agg(F.min("alarm_type").alias("alarm_type"), F.min("lead_signature").alias("lead_signature"), *means))
     at = er.tercile_levels(at, {name: f"{name}_level" for name in ("quality", *(name for name, _ in channels))})
-    return _errors(spark, d).join(at.withColumn("degraded", F.when(F.col("quality") < 0.6, "yes").otherwise("no")), "record_id")
+    return at.withColumn("degraded", F.when(F.col("quality") < 0.6, "yes").otherwise("no"))
+
+
+def _factors(spark, d):
+    """Errors with the factors of a record's own rows."""
+    return _errors(spark, d).join(_record_factors(spark, d), "record_id")
 
 
 @query("terciles", f"WITH {_FACT} SELECT DISTINCT record_id, quality_level FROM fc WHERE variant = 'A'")
@@ -166,9 +172,11 @@ def _all_factors(spark, d):
     peaks = peaks.groupBy(F.floor(F.col("window_id") / 2).alias("record_id")).agg(F.max("peak").alias("peak"))
     found = sg.signal_factors(kind(spark, d, "ecg"), kind(spark, d, "pulse"), peaks, "record_id", LOW, HIGH, APART, rates=RATES, fastest=FASTEST).withColumnRenamed("record_id", "recording")
     recordings = beats.agg((F.max("record_id") + 1).alias("recordings"))  # one row
-    rows = _factors(spark, d, (("ecg_quality", "l_quantity"), ("pulse_quality", "l_extendedprice"))).join(F.broadcast(recordings)).withColumn("recording", F.col("record_id") % F.col("recordings"))
+    rows = _record_factors(spark, d, (("ecg_quality", "l_quantity"), ("pulse_quality", "l_extendedprice"))).join(F.broadcast(recordings)).withColumn("recording", F.col("record_id") % F.col("recordings"))
     source = F.when(F.col("lead_signature") == "P", "ABP").otherwise("PPG").alias("pulse_source")
-    return rows.join(found, "recording", "left").select("*", source, F.when(F.col("lead_signature") == "O", "no").otherwise("yes").alias("abp_recorded")).drop("recording", "recordings")
+    # a record meets its recording before its variants' errors, so one row of it is moved
+    rows = rows.join(found, "recording", "left").select("*", source, F.when(F.col("lead_signature") == "O", "no").otherwise("yes").alias("abp_recorded")).drop("recording", "recordings")
+    return _errors(spark, d).join(rows, "record_id")
 
 
 FACTORS = ["alarm_type", "lead_signature", "quality_level", "degraded", "ecg_quality_level", "pulse_quality_level", "detector_disagree", "pulse_coverage", "pulse_acf", "pulse_source", "abp_recorded", "hr_regime"]
