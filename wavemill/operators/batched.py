@@ -17,10 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.hashing import draw
-from .metrics import auc
+from .metrics import auc, ratio
 
 
 @dataclass(frozen=True)
@@ -40,30 +42,51 @@ def by_role(rows: DataFrame) -> DataFrame:
 
 
 def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features (null and NaN as 0), label, group and parts of a batch whose first columns they are."""
+    """Features (null and NaN as 0), label, group and parts of a batch whose first columns they are.
+
+    Parts are a list or, in less space, one signed byte each. Label and group may be lists too: their row stands for as many
+    rows with the same features, whose parts follow each other.
+    """
     x = np.column_stack([np.nan_to_num(batch.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in range(features)])
-    y, group = (batch.column(features + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    y, group = (batch.column(features + k) for k in (0, 1))
+    if pa.types.is_list(y.type):
+        y, group = y.flatten(), group.flatten()
+        x = np.repeat(x, len(y) // len(batch), 0)
     parts = batch.column(features + 2)
-    offsets = parts.offsets.to_numpy()
-    flat = parts.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    return x, y.astype(float), group, flat.reshape(len(batch), -1)
+    if pa.types.is_binary(parts.type):
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset :]
+        flat = np.frombuffer(parts.buffers()[2], np.int8)[offsets[0] : offsets[len(parts)]]
+    else:
+        flat = parts.flatten().to_numpy(zero_copy_only=False)
+    return x, y.to_numpy(zero_copy_only=False).astype(float), group.to_numpy(zero_copy_only=False), flat.reshape(len(y), -1)
+
 
+#: Rows of a group that are summed together; what is made of them stays in a core's cache.
+TILE_ROWS = 2048
 
-def _summed(rows: DataFrame, columns: list[str], features: int, models: list[int], width: int, add) -> np.ndarray:
-    """(models x width) sums of what ``add(model, x, y, group, parts)`` gives for every batch; None leaves a model out."""
+
+def _summed(rows: DataFrame, columns: list[str], features: int, fits: list[Fit], models: list[int], width: int, add) -> np.ndarray:
+    """(fits x width) sums of what ``add(models of a group, x, y, fitted)`` gives for its rows; fitted tells (rows x models) who is fitted by whom."""
+    groups = {g: np.array([k for k in models if fits[k].group == g]) for g in {fits[k].group for k in models}}
+    repeat, held = np.array([f.repeat for f in fits]), np.array([f.held for f in fits])
+    total = len(fits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {}
+        sums = np.zeros((total, width))
         for batch in batches:
             if len(batch):
-                parts = _arrays(batch, features)
-                for k in models:
-                    more = add(k, *parts)
-                    if more is not None:
-                        sums[k] = sums[k] + more if k in sums else more
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["model", "sums"])
-
-    out = np.zeros((max(models) + 1, width))
+                x, y, group, parts = _arrays(batch, features)
+                for g, own in groups.items():
+                    at = np.flatnonzero(group == g)
+                    for start in range(0, len(at), TILE_ROWS):
+                        some = at[start : start + TILE_ROWS]
+                        part = parts[some][:, repeat[own]]
+                        fitted = (part >= 0) & (part != held[own])
+                        sums[own] += add(own, x[some], np.where(fitted.any(1), y[some], 0.0), fitted)
+        found = np.flatnonzero(sums.any(1))
+        yield pa.record_batch([pa.array(found, pa.int32()), pa.array(sums[found].tolist(), pa.list_(pa.float64()))], ["model", "sums"])
+
+    out = np.zeros((total, width))
     per = rows.select(*columns).mapInArrow(run, "model int, sums array<double>").select("model", F.posexplode("sums").alias("at", "v"))
     for model, at, v in per.groupBy("model", "at").agg(F.sum("v")).collect():  # models x width rows
         out[model, at] = v
@@ -71,31 +94,31 @@ def _summed(rows: DataFrame, columns: list[str], features: int, models: list[int
 
 
 class Fitted:
-    """Coefficients of all models in the units of the features, intercept last; ``rows``: fitted rows of each model and how many are positive."""
+    """Coefficients of all models in the units of the features, intercept last; ``rows``: fitted rows of each model and how many are positive.
+
+    ``mean`` and ``scale`` are those of the features over a model's fitted rows.
+    """
 
-    def __init__(self, fits: list[Fit], features: list[str], coef: np.ndarray, rows: np.ndarray, steps: int):
-        self.fits, self.features, self.coef, self.rows, self.steps = fits, features, coef, rows, steps
+    def __init__(self, fits: list[Fit], features: list[str], coef: np.ndarray, rows: np.ndarray, steps: int, mean: np.ndarray, scale: np.ndarray):
+        self.fits, self.features, self.coef, self.rows, self.steps, self.mean, self.scale = fits, features, coef, rows, steps, mean, scale
 
 
 def _columns(features: list[str], y: str, group: str, parts: str) -> list[str]:
     return [*features, y, group, parts]
 
 
-def logistic_fits(rows: DataFrame, features: list[str], fits: list[Fit], group: str = "fold", y: str = "y", parts: str = "parts", most_steps: int = 60) -> Fitted:
-    """All ``fits`` over a stored table; features are standardised by the fitted rows of each model (so the penalty is on standard units)."""
-    p, columns, everyone = len(features), _columns(features, y, group, parts), list(range(len(fits)))
+def logistic_fits(rows: DataFrame, features: list[str], fits: list[Fit], group: str = "fold", y: str = "y", parts: str = "parts", most_steps: int = 60, start: np.ndarray | None = None) -> Fitted:
+    """All ``fits`` over a stored table; features are standardised by the fitted rows of each model (so the penalty is on standard units).
 
-    def own(k: int, group_: np.ndarray, parts_: np.ndarray) -> np.ndarray:
-        f = fits[k]
-        part = parts_[:, f.repeat]
-        return (group_ == f.group) & (part >= 0) & (part != f.held)
+    start: coefficients of each model in the units of the features from which its steps begin.
+    """
+    p, columns, everyone = len(features), _columns(features, y, group, parts), list(range(len(fits)))
 
-    def moments(k, x, y_, group_, parts_):
-        sel = own(k, group_, parts_)
-        a = x[sel]
-        return np.concatenate(([sel.sum(), y_[sel].sum()], a.sum(0), (a * a).sum(0))) if sel.any() else None
+    def moments(own, x, y_, fitted):
+        m = fitted.astype(float)
+        return np.column_stack((m.sum(0), y_ @ m, m.T @ x, m.T @ (x * x)))
 
-    found = _summed(rows, columns, p, everyone, 2 + 2 * p, moments)
+    found = _summed(rows, columns, p, fits, everyone, 2 + 2 * p, moments)
     n, pos = found[:, 0], found[:, 1]
     size = np.maximum(n, 1)[:, None]
     mean = found[:, 2 : 2 + p] / size
@@ -106,27 +129,35 @@ def logistic_fits(rows: DataFrame, features: list[str], fits: list[Fit], group:
     penalty = np.array([f.penalty for f in fits])
     upper = np.triu_indices(p + 1)
     width = 1 + (p + 1) + len(upper[0])
+    # a group's rows are standardised once, by its first model that has rows; ``turn`` leads from there to the units of each model
+    first = {g: next((k for k in everyone if fits[k].group == g and n[k]), 0) for g in {f.group for f in fits}}
+    base = [first[f.group] for f in fits]
+    turn = np.zeros((len(fits), p + 1, p + 1))
+    turn[:, range(p), range(p)] = scale[base] / scale
+    turn[:, :p, p] = (mean[base] - mean) / scale
+    turn[:, p, p] = 1.0
     beta, ahead = np.zeros((len(fits), p + 1)), np.zeros((len(fits), p + 1))  # accepted and tried
+    if start is not None:
+        ahead = np.column_stack((start[:, :p] * scale, start[:, p] + (start[:, :p] * mean).sum(1)))
     loss, step, share = np.full(len(fits), np.inf), np.zeros((len(fits), p + 1)), np.ones(len(fits))
     active = [k for k in everyone if 0 < pos[k] < n[k]]  # a single class has nothing to learn
     steps = 0
     while active and steps < most_steps:
         steps += 1
         tried = ahead.copy()
-
-        def sums(k, x, y_, group_, parts_, tried=tried):
-            sel = own(k, group_, parts_)
-            if not sel.any():
-                return None
-            z = np.column_stack(((x[sel] - mean[k]) / scale[k], np.ones(int(sel.sum()))))
-            t = y_[sel]
-            eta = z @ tried[k]
-            w = np.where(t > 0, w1[k], w0[k])
-            prob = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
-            curve = (z * (w * prob * (1 - prob))[:, None]).T @ z
-            return np.concatenate(([(w * (np.logaddexp(0, eta) - t * eta)).sum()], z.T @ (w * (prob - t)), curve[upper]))
-
-        got = _summed(rows, columns, p, active, width, sums)
+        slope = np.einsum("kij,ki->kj", turn, tried)
+
+        def sums(own, x, y_, fitted, slope=slope):
+            z = np.column_stack(((x - mean[base[own[0]]]) / scale[base[own[0]]], np.ones(len(x))))
+            t = y_[:, None]
+            eta = z @ slope[own].T
+            w = np.where(t > 0, w1[own], w0[own]) * fitted
+            e = np.exp(-np.abs(eta))
+            prob = np.where(eta >= 0, 1.0, e) / (1 + e)
+            loss = (w * (np.maximum(eta, 0) + np.log(1 + e) - t * eta)).sum(0)
+            return np.column_stack((loss, (w * (prob - t)).T @ z, (w * prob * (1 - prob)).T @ (z[:, upper[0]] * z[:, upper[1]])))
+
+        got = _summed(rows, columns, p, fits, active, width, sums)
         left = []
         for k in active:
             ridge = np.append(np.full(p, penalty[k]), 0.0)
@@ -137,15 +168,15 @@ def logistic_fits(rows: DataFrame, features: list[str], fits: list[Fit], group:
                 beta[k], loss[k], share[k] = tried[k], here, 1.0
                 curve = np.zeros((p + 1, p + 1))
                 curve[upper] = got[k, 2 + p :]
-                curve = curve + curve.T - np.diag(curve.diagonal()) + np.diag(ridge + 1e-12)
-                step[k] = np.linalg.lstsq(curve, got[k, 1 : 2 + p] + ridge * tried[k], rcond=None)[0]
+                curve = turn[k] @ (curve + curve.T - np.diag(curve.diagonal())) @ turn[k].T + np.diag(ridge + 1e-12)
+                step[k] = np.linalg.lstsq(curve, turn[k] @ got[k, 1 : 2 + p] + ridge * tried[k], rcond=None)[0]
                 if np.abs(step[k]).max() < 1e-8:
                     continue
             ahead[k] = beta[k] - share[k] * step[k]
             left.append(k)
         active = left
     slopes = beta[:, :p] / scale
-    return Fitted(fits, features, np.column_stack((slopes, beta[:, p] - (slopes * mean).sum(1))), found[:, :2].astype(int), steps)
+    return Fitted(fits, features, np.column_stack((slopes, beta[:, p] - (slopes * mean).sum(1))), found[:, :2].astype(int), steps, mean, scale)
 
 
 def score_held(rows: DataFrame, fitted: Fitted, keep: list[str], models: list[int] | None = None, group: str = "fold", y: str = "y", parts: str = "parts") -> DataFrame:
@@ -195,15 +226,92 @@ def search_val_auc(rows: DataFrame, features: list[str], configs: list[tuple[flo
     return preds.join(F.broadcast(told.select("model", "config", "c", "balanced")), "model").drop("model"), told.drop("model")
 
 
+#: Fitted rows of a model for each range into which its scores are cut; scores that a task holds before it sends them.
+RANGE_ROWS, SENT_SCORES = 500_000, 4_000_000
+
+
+def _doubles(column: pa.ChunkedArray) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(column.to_pylist()), np.float64))
+
+
+def held_auc(rows: DataFrame, fitted: Fitted, group: str = "fold", y: str = "y", parts: str = "parts") -> dict[int, float]:
+    """ROC AUC of every model over the rows that it holds out, ties at mid-rank; none on a single class.
+
+    Rows of many repeats have many scores, so they are not moved as rows: a task sends the scores of a model and range as two
+    arrays, one for each class. A range is put in order alone, and the ranges' sums meet per model. Groups come one
+    after the other; inside ``short_shuffles`` the disk holds one group's scores. Scores are those before the logistic curve.
+    """
+    p, coef, found = len(fitted.features), fitted.coef, {}
+    reach = (np.abs(coef[:, :p]) * fitted.scale).sum(1)  # at least the scores' deviation
+    ranges = np.where(reach > 0, 1 + fitted.rows[:, 0] // RANGE_ROWS, 1)
+    low = (coef[:, :p] * fitted.mean).sum(1) + coef[:, p] - 4 * reach
+    wide = ranges / np.where(reach > 0, 8 * reach, 1.0)  # ranges are of equal width, the outer ones open
+    models = {}
+    for model, f in enumerate(fitted.fits):
+        models.setdefault(f.group, []).append((model, f.repeat, f.held))
+
+    for g, own in models.items():
+
+        def send(batches: Iterator[pa.RecordBatch], g=g, own=own) -> Iterator[pa.RecordBatch]:
+            def ranged(kept):
+                out = []
+                for model, scores in kept.items():
+                    value, hit = (np.concatenate(a) for a in zip(*scores))
+                    sides = [np.sort(value[hit]), np.sort(value[~hit])]
+                    cuts = [np.searchsorted(np.clip((side - low[model]) * wide[model], 0, ranges[model] - 1).astype(int), np.arange(ranges[model] + 1)) for side in sides]
+                    for r in np.flatnonzero((np.diff(cuts[0]) > 0) | (np.diff(cuts[1]) > 0)):
+                        out.append((model, int(r), *(side[cut[r] : cut[r + 1]].tobytes() for side, cut in zip(sides, cuts))))
+                columns = list(zip(*out)) or [[]] * 4
+                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["model", "range", "pos", "neg"])
+
+            kept, size = {}, 0
+            for batch in batches:
+                if len(batch):
+                    x, y_, group_, parts_ = _arrays(batch, p)
+                    some = group_ == g
+                    x, y_, parts_ = x[some], y_[some], parts_[some]
+                    for model, repeat, held in own:
+                        at = np.flatnonzero(parts_[:, repeat] == held)
+                        if len(at):
+                            # column by column, so that equal rows have equal scores wherever they stand
+                            score = sum((x[at, j] * coef[model, j] for j in range(p)), np.full(len(at), coef[model, p]))
+                            kept.setdefault(model, []).append((score, y_[at] == 1))
+                            size += len(at)
+                    if size >= SENT_SCORES:
+                        yield ranged(kept)
+                        kept, size = {}, 0
+            yield ranged(kept)
+
+        def inside(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            pos, neg = _doubles(table.column("pos")), _doubles(table.column("neg"))
+            won = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
+            return pa.table({"model": [key[0].as_py()], "range": [key[1].as_py()], "won": [float(won)], "pos": [len(pos)], "neg": [len(neg)]}, pa.schema([("model", pa.int32()), ("range", pa.int32()), ("won", pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())]))
+
+        of_group = F.array_contains(group, g) if isinstance(rows.schema[group].dataType, ArrayType) else F.col(group) == g
+        sent = rows.where(of_group).select(*_columns(fitted.features, y, group, parts)).mapInArrow(send, "model int, range int, pos binary, neg binary")
+        per = sent.groupBy("model", "range").applyInArrow(inside, "model int, range int, won double, pos bigint, neg bigint")
+        before = F.sum("neg").over(W.partitionBy("model").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+        per = per.withColumn("before", F.coalesce(before, F.lit(0)))
+        sums = per.groupBy("model").agg(F.sum(F.col("won") + F.col("pos").cast("double") * F.col("before")).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        found |= {r.model: r.auc for r in sums.select("model", ratio(F.col("won"), F.col("pos") * F.col("neg")).alias("auc")).where("auc is not null").collect()}  # a row per model
+    return found
+
+
 def predictability(rows: DataFrame, features: list[str], group: str, groups: list[int], repeats: int = 10, k: int = 5, c: float = 0.1, least: int = 8) -> DataFrame:
     """(group, n, n_err, auc, auc_sd): repeated stratified cross validation of a logistic regression on y, all repeats and folds in one fit.
 
-    rows need parts (the fold of each repeat). Groups with fewer than ``least`` rows of a class get no AUC; folds without both classes are left out.
+    rows need parts (the fold of each repeat); y and group may be arrays, see ``_arrays``. Groups with fewer than ``least`` rows of a
+    class get no AUC; folds without both classes are left out.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("n_err"))
+    # models of all rows of a group are near those of its parts, whose steps begin there
+    whole = logistic_fits(rows, features, [Fit(g, -1, 0, 1 / c, False) for g in groups], group)
     fits = [Fit(g, held, r, 1 / c, False) for g in groups for r in range(repeats) for held in range(k)]
-    fitted = logistic_fits(rows, features, fits, group)
-    found = auc(score_held(rows, fitted, [group], group=group), [group, "model"]).where("auc is not null")
+    fitted = logistic_fits(rows, features, fits, group, start=np.repeat(whole.coef, repeats * k, 0))
+    told = [(fits[model].group, value) for model, value in held_auc(rows, fitted, group).items()]
+    found = rows.sparkSession.createDataFrame(told, f"{group} int, auc double")
+    counts = [(g, int(n), int(pos)) for g, (n, pos) in zip(groups, whole.rows) if n]
+    counts = rows.sparkSession.createDataFrame(counts, f"{group} int, n long, n_err long")
     found = found.groupBy(group).agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("auc_sd"))
     enough = (F.col("n_err") >= least) & (F.col("n") - F.col("n_err") >= least)
     out = counts.join(found, group, "left")

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles
 
 
+def wrong_share(prob: Column, y: Column) -> Column:
+    """Aggregate: share of rows that are wrong at one half."""
+    return F.avg(((prob >= 0.5).cast("int") != y).cast("double"))
+
+
 def consensus_error(preds: DataFrame, by: list[str]) -> DataFrame:
     """Share of seeds in which a record is wrong at one half, its mean score and label."""
-    wrong = ((F.col("prob") >= 0.5).cast("int") != F.col("y")).cast("double")
-    return preds.groupBy(*by).agg(F.avg(wrong).alias("error"), F.avg("prob").alias("prob"), F.max("y").alias("y"), F.count("*").alias("seeds"))
+    return preds.groupBy(*by).agg(wrong_share(F.col("prob"), F.col("y")).alias("error"), F.avg("prob").alias("prob"), F.max("y").alias("y"), F.count("*").alias("seeds"))
 
 
 def error_category(error: Column, y: Column) -> Column:

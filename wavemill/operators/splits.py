@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import draw
+from ..functions.hashing import draw, uniforms
 from ..functions.ranking import dealt, part_of, ranked
 from ..sources.tables import stored
 
@@ -103,6 +108,83 @@ def strat_window_folds(windows: DataFrame, key: str, label: str, k: int, seed: i
     return _shuffled(rows, key, seed, [label], rows.count()).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
+#: Ranges of the draws of repeated folds, as a power of two.
+RANGE_BITS = 10
+
+
+def repeated_folds(rows: DataFrame, key: str, strata: str, most: int, k: int, repeats: int, seed: str = "folds") -> DataFrame:
+    """rows with ``parts``: for each number of the array ``strata`` the folds of all repeats, one signed byte each.
+
+    In every repeat the rows of a stratum are drawn anew and cut, in the order of their draws, into k folds whose sizes differ
+    by at most one. Only the last row of each fold is looked for: counts of ranges tell the ranges that hold them, whose rows
+    alone are moved and put in order. All other rows get their folds where they stand, so what is moved does not grow with
+    repeats times rows. rows are read three times; key is a whole number, the strata's numbers are below ``most``, all arrays
+    are of one length, and a null in them gets -1.
+    """
+    spark, shift = rows.sparkSession, 32 - RANGE_BITS
+
+    def tries(keys: pa.Array, numbers: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, (rows x strata x repeats) cells, negative without a stratum, and draws."""
+        of = numbers.flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(len(keys), -1).astype(np.int64)
+        drawn = uniforms([str(name) for name in keys.to_pylist()], 0, of.shape[1] * repeats, seed)
+        cells = np.where(of < 0, -repeats, of * repeats)[:, :, None] + np.arange(repeats)
+        return keys.to_numpy(zero_copy_only=False), cells, drawn.reshape(cells.shape).astype(np.int64)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(most * repeats << RANGE_BITS, np.int64)
+        for batch in batches:
+            if len(batch):
+                _, cells, drawn = tries(*batch.columns)
+                known = cells >= 0
+                counts += np.bincount((cells[known] << RANGE_BITS) + (drawn[known] >> shift), minlength=len(counts))
+        found = counts.reshape(most * repeats, -1)
+        some = np.flatnonzero(found.any(1))
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(found[some].tolist(), pa.list_(pa.int64()))], ["cell", "counts"])
+
+    few = rows.select(key, strata)
+    per = few.mapInArrow(counted, "cell int, counts array<bigint>").select("cell", F.posexplode("counts").alias("range", "n"))
+    per = per.where("n > 0").groupBy("cell", "range").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("cell").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow))
+    per = per.withColumn("before", upto - F.col("n")).withColumn("all", F.sum("n").over(W.partitionBy("cell")))
+    last = F.array(*(F.expr(f"({fold} * all + {k - 1}) div {k} - before") for fold in range(1, k)))  # fold times all / k, rounded up
+    held = per.select("cell", F.col("range").cast("long").alias("range"), "n", F.posexplode(last).alias("fold", "nth")).where("nth between 1 and n")
+    held = held.select((F.shiftleft(F.col("cell").cast("long"), RANGE_BITS) + F.col("range")).alias("slot"), "fold", "nth")
+    told = held.collect()  # a row per stratum, repeat and fold
+    holding = np.zeros(most * repeats << RANGE_BITS, bool)
+    holding[[r.slot for r in told]] = True
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                keys, cells, drawn = tries(*batch.columns)
+                slots = np.where(cells >= 0, (cells << RANGE_BITS) + (drawn >> shift), 0)
+                at = np.nonzero((cells >= 0) & holding[slots])
+                yield pa.record_batch([pa.array(slots[at]), pa.array(drawn[at]), pa.array(keys[at[0]].astype(np.int64))], ["slot", "draw", "key"])
+
+    told = spark.createDataFrame(told, held.schema)
+    place = F.row_number().over(W.partitionBy("slot").orderBy("draw", "key")).alias("nth")
+    edges = few.mapInArrow(near, "slot bigint, draw bigint, key bigint").select("slot", "draw", "key", place).join(F.broadcast(told), ["slot", "nth"])
+    draws, keys_ = np.full((most * repeats, k - 1), 1 << 32), np.zeros((most * repeats, k - 1), np.int64)
+    for r in edges.collect():  # as many
+        draws[r.slot >> RANGE_BITS, r.fold], keys_[r.slot >> RANGE_BITS, r.fold] = r.draw, r.key
+    at_key, at_strata = rows.columns.index(key), rows.columns.index(strata)
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                keys, cells, drawn = tries(batch.column(at_key), batch.column(at_strata))
+                parts = np.zeros(cells.shape, np.int8)
+                for fold in range(k - 1):
+                    edge = draws[cells, fold]
+                    parts += (drawn > edge) | ((drawn == edge) & (keys[:, None, None] > keys_[cells, fold]))
+                parts[cells < 0] = -1
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * (parts.size // len(batch))
+                told = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(parts.tobytes())])
+                yield pa.record_batch([*batch.columns, told], [*batch.schema.names, "parts"])
+
+    return rows.mapInArrow(dealt_out, T.StructType([*rows.schema.fields, T.StructField("parts", T.BinaryType())]))
+
+
 def label_budget(windows: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
     """Windows of a fraction of the records per class, at least two records of each."""
     records = stored(windows.groupBy(key).agg(F.max(label).alias("_c")))
