@@ -43,24 +43,25 @@ def test_equal_draws_are_told_apart_by_key(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    """Rows with a label of their own for each of two groups, and the same rows packed."""
+    """Rows with a label of their own for each of two groups, the same with one row for both, and these packed."""
     rng = np.random.default_rng(9)
     n = 300
     x = np.round(rng.normal(size=(n, 2)), 1)  # with ties
     y = (x[:, :1] + rng.normal(size=(n, 2)) > 0.3).astype(int)
     parts = rng.integers(-1, 3, size=(n, 2, 4))
     flat = [(float(x[k, 0]), float(x[k, 1]), int(y[k, g]), g, [int(v) for v in parts[k, g]]) for k in range(n) for g in (0, 1)]
-    packed = [(float(x[k, 0]), float(x[k, 1]), [int(v) for v in y[k]], [0, 1], bytearray(parts[k].astype(np.int8).tobytes())) for k in range(n)]
+    both = [(float(x[k, 0]), float(x[k, 1]), [int(v) for v in y[k]], [0, 1], bytearray(parts[k].astype(np.int8).tobytes())) for k in range(n)]
     plain = spark.createDataFrame(flat, "a double, b double, y int, fold int, parts array<int>")
-    return stored(plain.repartition(3)), stored(spark.createDataFrame(packed, "a double, b double, y array<int>, fold array<int>, parts binary").repartition(3))
+    both = spark.createDataFrame(both, "a double, b double, y array<int>, fold array<int>, parts binary").repartition(3)
+    return stored(plain.repartition(3)), stored(both), stored(bt.packed(both, ["a", "b"]))
 
 
 FITS = [bt.Fit(g, held, repeat, 2.0, False) for g in (0, 1) for repeat in range(4) for held in range(3)]
 
 
 def test_packed_rows_and_a_start_give_the_same_models(tables):
-    plain, packed = (bt.logistic_fits(df, ["a", "b"], FITS) for df in tables)
-    assert np.allclose(plain.coef, packed.coef, rtol=1e-9) and (plain.rows == packed.rows).all()
+    plain, both, packed = (bt.logistic_fits(df, ["a", "b"], FITS) for df in tables)
+    assert all(np.allclose(plain.coef, other.coef, rtol=1e-9) and (plain.rows == other.rows).all() for other in (both, packed))
     begun = bt.logistic_fits(tables[0], ["a", "b"], FITS, start=plain.coef + 0.01)
     assert np.allclose(plain.coef, begun.coef, rtol=1e-7) and begun.steps <= plain.steps
 

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.hashing import draw
+from ..sources.tables import stored
 from .metrics import auc, ratio
 
 
@@ -41,6 +41,34 @@ def by_role(rows: DataFrame) -> DataFrame:
     return rows.withColumn("parts", F.array(F.when(F.col("role") == "fit", 0).otherwise(1)))
 
 
+#: The only column of packed rows.
+BLOCK = "block"
+
+
+def packed(rows: DataFrame, features: list[str], group: str = "fold", y: str = "y", parts: str = "parts") -> DataFrame:
+    """rows for many fits, a compressed Arrow batch a row: a pass over them costs Spark and the way to Python next to nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                told = pa.BufferOutputStream()
+                with pa.ipc.new_stream(told, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch)
+                yield pa.record_batch([pa.array([told.getvalue().to_pybytes()], pa.binary())], [BLOCK])
+
+    return rows.select(*features, y, group, parts).mapInArrow(run, f"{BLOCK} binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that are not empty; packed ones one by one."""
+    for batch in batches:
+        if batch.schema.names == [BLOCK]:
+            for block in batch.column(0):
+                yield from pa.ipc.open_stream(block.as_buffer())
+        elif len(batch):
+            yield batch
+
+
 def _arrays(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features (null and NaN as 0), label, group and parts of a batch whose first columns they are.
 
@@ -73,16 +101,15 @@ def _summed(rows: DataFrame, columns: list[str], features: int, fits: list[Fit],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((total, width))
-        for batch in batches:
-            if len(batch):
-                x, y, group, parts = _arrays(batch, features)
-                for g, own in groups.items():
-                    at = np.flatnonzero(group == g)
-                    for start in range(0, len(at), TILE_ROWS):
-                        some = at[start : start + TILE_ROWS]
-                        part = parts[some][:, repeat[own]]
-                        fitted = (part >= 0) & (part != held[own])
-                        sums[own] += add(own, x[some], np.where(fitted.any(1), y[some], 0.0), fitted)
+        for batch in _unpacked(batches):
+            x, y, group, parts = _arrays(batch, features)
+            for g, own in groups.items():
+                at = np.flatnonzero(group == g)
+                for start in range(0, len(at), TILE_ROWS):
+                    some = at[start : start + TILE_ROWS]
+                    part = parts[some][:, repeat[own]]
+                    fitted = (part >= 0) & (part != held[own])
+                    sums[own] += add(own, x[some], np.where(fitted.any(1), y[some], 0.0), fitted)
         found = np.flatnonzero(sums.any(1))
         yield pa.record_batch([pa.array(found, pa.int32()), pa.array(sums[found].tolist(), pa.list_(pa.float64()))], ["model", "sums"])
 
@@ -103,16 +130,16 @@ class Fitted:
         self.fits, self.features, self.coef, self.rows, self.steps, self.mean, self.scale = fits, features, coef, rows, steps, mean, scale
 
 
-def _columns(features: list[str], y: str, group: str, parts: str) -> list[str]:
-    return [*features, y, group, parts]
+def _columns(rows: DataFrame, features: list[str], y: str, group: str, parts: str) -> list[str]:
+    return [BLOCK] if rows.columns == [BLOCK] else [*features, y, group, parts]
 
 
 def logistic_fits(rows: DataFrame, features: list[str], fits: list[Fit], group: str = "fold", y: str = "y", parts: str = "parts", most_steps: int = 60, start: np.ndarray | None = None) -> Fitted:
-    """All ``fits`` over a stored table; features are standardised by the fitted rows of each model (so the penalty is on standard units).
+    """All ``fits`` over a stored table, which may be packed; features are standardised by the fitted rows of each model (so the penalty is on standard units).
 
     start: coefficients of each model in the units of the features from which its steps begin.
     """
-    p, columns, everyone = len(features), _columns(features, y, group, parts), list(range(len(fits)))
+    p, columns, everyone = len(features), _columns(rows, features, y, group, parts), list(range(len(fits)))
 
     def moments(own, x, y_, fitted):
         m = fitted.astype(float)
@@ -199,7 +226,7 @@ def score_held(rows: DataFrame, fitted: Fitted, keep: list[str], models: list[in
 
     carried = [F.col(c).alias(f"kept{k}") for k, c in enumerate([*keep, y])]
     schema = ", ".join([*(f"kept{k} {types[c]}" for k, c in enumerate([*keep, y])), "model int", "prob double"])
-    out = rows.select(*_columns(features, y, group, parts), *carried).mapInArrow(run, schema)
+    out = rows.select(*_columns(rows, features, y, group, parts), *carried).mapInArrow(run, schema)
     return out.select(*(F.col(f"kept{k}").alias(c) for k, c in enumerate(keep)), F.col(f"kept{len(keep)}").alias("y"), "model", "prob")
 
 
@@ -266,21 +293,20 @@ def held_auc(rows: DataFrame, fitted: Fitted, group: str = "fold", y: str = "y",
                 return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["model", "range", "pos", "neg"])
 
             kept, size = {}, 0
-            for batch in batches:
-                if len(batch):
-                    x, y_, group_, parts_ = _arrays(batch, p)
-                    some = group_ == g
-                    x, y_, parts_ = x[some], y_[some], parts_[some]
-                    for model, repeat, held in own:
-                        at = np.flatnonzero(parts_[:, repeat] == held)
-                        if len(at):
-                            # column by column, so that equal rows have equal scores wherever they stand
-                            score = sum((x[at, j] * coef[model, j] for j in range(p)), np.full(len(at), coef[model, p]))
-                            kept.setdefault(model, []).append((score, y_[at] == 1))
-                            size += len(at)
-                    if size >= SENT_SCORES:
-                        yield ranged(kept)
-                        kept, size = {}, 0
+            for batch in _unpacked(batches):
+                x, y_, group_, parts_ = _arrays(batch, p)
+                some = group_ == g
+                x, y_, parts_ = x[some], y_[some], parts_[some]
+                for model, repeat, held in own:
+                    at = np.flatnonzero(parts_[:, repeat] == held)
+                    if len(at):
+                        # column by column, so that equal rows have equal scores wherever they stand
+                        score = sum((x[at, j] * coef[model, j] for j in range(p)), np.full(len(at), coef[model, p]))
+                        kept.setdefault(model, []).append((score, y_[at] == 1))
+                        size += len(at)
+                if size >= SENT_SCORES:
+                    yield ranged(kept)
+                    kept, size = {}, 0
             yield ranged(kept)
 
         def inside(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -288,8 +314,7 @@ def held_auc(rows: DataFrame, fitted: Fitted, group: str = "fold", y: str = "y",
             won = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / 2
             return pa.table({"model": [key[0].as_py()], "range": [key[1].as_py()], "won": [float(won)], "pos": [len(pos)], "neg": [len(neg)]}, pa.schema([("model", pa.int32()), ("range", pa.int32()), ("won", pa.float64()), ("pos", pa.int64()), ("neg", pa.int64())]))
 
-        of_group = F.array_contains(group, g) if isinstance(rows.schema[group].dataType, ArrayType) else F.col(group) == g
-        sent = rows.where(of_group).select(*_columns(fitted.features, y, group, parts)).mapInArrow(send, "model int, range int, pos binary, neg binary")
+        sent = rows.select(*_columns(rows, fitted.features, y, group, parts)).mapInArrow(send, "model int, range int, pos binary, neg binary")
         per = sent.groupBy("model", "range").applyInArrow(inside, "model int, range int, won double, pos bigint, neg bigint")
         before = F.sum("neg").over(W.partitionBy("model").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
         per = per.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -301,9 +326,10 @@ def held_auc(rows: DataFrame, fitted: Fitted, group: str = "fold", y: str = "y",
 def predictability(rows: DataFrame, features: list[str], group: str, groups: list[int], repeats: int = 10, k: int = 5, c: float = 0.1, least: int = 8) -> DataFrame:
     """(group, n, n_err, auc, auc_sd): repeated stratified cross validation of a logistic regression on y, all repeats and folds in one fit.
 
-    rows need parts (the fold of each repeat); y and group may be arrays, see ``_arrays``. Groups with fewer than ``least`` rows of a
+    rows need parts (the fold of each repeat); y and group may be arrays, see ``_arrays``. They are read once and kept packed. Groups with fewer than ``least`` rows of a
     class get no AUC; folds without both classes are left out.
     """
+    rows = stored(packed(rows, features, group))
     # models of all rows of a group are near those of its parts, whose steps begin there
     whole = logistic_fits(rows, features, [Fit(g, -1, 0, 1 / c, False) for g in groups], group)
     fits = [Fit(g, held, r, 1 / c, False) for g in groups for r in range(repeats) for held in range(k)]
